@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tarifa.llm import mixing, rules
+from tarifa.llm import exact, mixing, packing, rules, tokens
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op5_exact_dedup": exact.query,
+    "op8_token_counts": tokens.query,
     "op9_quality_rules": rules.query,
+    "op10_packing": packing.query,
 }
-ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op9_quality_rules": rules.ORACLE}
+ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_exact_dedup": exact.ORACLE, "op9_quality_rules": rules.ORACLE}
