@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tarifa.llm import exact, mixing, packing, rules, tokens
+from tarifa.llm import chat, exact, mixing, packing, quality, rules, tokens
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_quality_classifier": quality.query,
     "op5_exact_dedup": exact.query,
+    "op6_chat_formatting": chat.query,
     "op8_token_counts": tokens.query,
     "op9_quality_rules": rules.query,
     "op10_packing": packing.query,
 }
-ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_exact_dedup": exact.ORACLE, "op9_quality_rules": rules.ORACLE}
+ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_exact_dedup": exact.ORACLE, "op6_chat_formatting": chat.ORACLE, "op9_quality_rules": rules.ORACLE}

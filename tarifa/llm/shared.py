@@ -87,3 +87,46 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+_SPACES = np.zeros(256, bool)
+_SPACES[[32, *range(9, 14)]] = True
+_ODD, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0..n of an odd number and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) <= n:
+        for i, base in enumerate((_ODD, _INVERSE)):
+            row = np.full(n + 1, base, np.uint64)
+            row[0] = 1
+            _POWERS[i] = np.cumprod(row, dtype=np.uint64)
+    return _POWERS
+
+
+def rolling(data: np.ndarray) -> np.ndarray:
+    """Sums from which hashes() reads the hash of any byte range."""
+    power = _powers(len(data))[0]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
+    return sums
+
+
+def hashes(sums: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+    """64-bit hashes of the byte ranges, the same wherever they stand."""
+    return mix64((sums[ends] - sums[starts]) * _powers(len(sums))[1][: len(sums)][starts])
+
+
+def word_ranges(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words of texts laid end to end, and how many words precede each text (one more than texts)."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~_SPACES[data]
+    begins = inside[1:-1] & ~inside[:-2]
+    stops = inside[1:-1] & ~inside[2:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    begins[edges] = inside[1:-1][edges]
+    stops[edges - 1] = inside[1:-1][edges - 1]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets)
