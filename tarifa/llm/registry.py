@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tarifa.llm import chat, exact, mixing, packing, pii, quality, rules, tokens
+from tarifa.llm import chat, exact, jaccard, mixing, packing, pii, quality, rules, tokens
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_quality_classifier": quality.query,
+    "op3_ngram_jaccard": jaccard.query,
     "op4_pii": pii.query,
     "op5_exact_dedup": exact.query,
     "op6_chat_formatting": chat.query,
