@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarifa.llm import chat, exact, jaccard, mixing, packing, pii, quality, rules, tokens
+from tarifa.llm import chat, exact, jaccard, mixing, packing, pii, quality, rules, substrings, tokens
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": pii.query,
     "op5_exact_dedup": exact.query,
     "op6_chat_formatting": chat.query,
+    "op7_suffix_dedup": substrings.query,
     "op8_token_counts": tokens.query,
     "op9_quality_rules": rules.query,
     "op10_packing": packing.query,
