@@ -18,7 +18,7 @@ def summary(cover: DataFrame, rollups: DataFrame, as_of: datetime, days: int) ->
     """One row: drops, gaps, median spread, mean confidence, and how fresh the pairs are."""
     day = F.lit((as_of - timedelta(days=days)).date())
     kept = rollups.where(F.col("day") >= day).agg(F.coalesce(F.sum("drops"), F.lit(0)).alias("price_drops"), (F.sum("conf_sum") / F.sum("conf_count")).alias("mean_confidence"))
-    by_sku = priced(cover, as_of, days).groupBy("sku").agg(F.count("*").alias("n"), (F.max("last_priced_cents") - F.min("last_priced_cents")).alias("spread"))
+    by_sku = cover.where(F.col("last_seen_at") >= since(as_of, days)).groupBy("sku").agg(F.count("*").alias("n"), (F.max("last_cents") - F.min("last_cents")).alias("spread"))
     spread = by_sku.agg(F.count_if(F.col("n") < 3).alias("gaps"), F.coalesce(F.median(F.when(F.col("spread") > 0, F.col("spread"))), F.lit(0.0)).alias("median_spread_cents"))
     age = F.lit(as_of).cast("long") - F.col("last_seen_any_at").cast("timestamp").cast("long")
     fresh = cover.agg(
@@ -29,19 +29,20 @@ def summary(cover: DataFrame, rollups: DataFrame, as_of: datetime, days: int) ->
 
 
 def gaps(cover: DataFrame, products: DataFrame, n_stores: int, as_of: datetime, days: int, top: int = 15) -> DataFrame:
-    """Products that the fewest stores carry; the limit comes before the join, so there may be fewer rows."""
-    seen = cover.where(F.col("last_seen_at") >= since(as_of, days)).groupBy("sku").agg(F.count("*").alias("n_stores"))
+    """Products that the fewest stores price; the limit comes before the join, so there may be fewer rows."""
+    seen = priced(cover, as_of, days).groupBy("sku").agg(F.count("*").alias("n_stores"))
     first = seen.where(F.col("n_stores") < n_stores).orderBy("n_stores", "sku").limit(top)
     score = F.round((n_stores - F.col("n_stores")) / n_stores * 100).cast("int")
     return first.join(products, "sku").select("sku", "name", "category", "n_stores", score.alias("opportunity_score"))
 
 
 def price_wars(cover: DataFrame, products: DataFrame, as_of: datetime, days: int, top: int = 10) -> DataFrame:
-    """The widest spreads among products that three stores or more price."""
+    """The widest relative spreads among products that three stores or more price."""
     by_sku = priced(cover, as_of, days).groupBy("sku").agg(F.count("*").alias("n_stores"), F.min("last_priced_cents").alias("low"), F.max("last_priced_cents").alias("high"), F.array_sort(F.collect_list(F.struct("store_id", "last_priced_cents"))).alias("prices"))
-    first = by_sku.where("n_stores >= 3 AND high > low").withColumn("spread", F.col("high") - F.col("low")).orderBy(F.desc("spread"), "sku").limit(top)
+    wide = by_sku.where("n_stores >= 3").withColumn("spread", F.col("high") - F.col("low")).withColumn("spread_pct", F.col("spread") * 100 / F.col("low"))
+    first = wide.orderBy(F.desc("spread_pct"), "sku").limit(top)
     listed = F.array_join(F.transform("prices", lambda p: F.concat_ws(":", p["store_id"], p["last_priced_cents"].cast("string"))), ",")
-    return first.join(products, "sku").select("sku", "name", "n_stores", "spread", (F.col("spread") * 100 / F.col("low")).alias("spread_pct"), listed.alias("prices"))
+    return first.join(products, "sku").select("sku", "name", "n_stores", "spread", "spread_pct", listed.alias("prices"))
 
 
 def restock(cover: DataFrame, products: DataFrame, as_of: datetime, days: int, top: int = 15) -> DataFrame:

@@ -120,7 +120,7 @@ def sales_pairs(t):
 
 @query(
     SNAPS, CLOSES, COVER, ROLLUPS,
-    f"""priced AS (SELECT sku, count(*) AS n, max(last_priced_cents) - min(last_priced_cents) AS spread FROM cover WHERE last_priced_at >= {SINCE} GROUP BY sku)""",
+    f"""priced AS (SELECT sku, count(*) AS n, max(last_cents) - min(last_cents) AS spread FROM cover WHERE last_seen_at >= {SINCE} GROUP BY sku)""",
     """SELECT (SELECT coalesce(sum(drops), 0)::BIGINT FROM rollups WHERE day >= DATE '2001-11-04' - 730) AS price_drops,
       (SELECT sum(conf_sum) / sum(conf_count) FROM rollups WHERE day >= DATE '2001-11-04' - 730) AS mean_confidence,
       (SELECT count(*) FROM priced WHERE n < 3) AS gaps, (SELECT coalesce(median(spread), 0)::DOUBLE FROM priced WHERE spread > 0) AS median_spread_cents,
@@ -133,7 +133,7 @@ def insights_summary(t):
 
 
 @query(SNAPS, COVER, PRODUCTS, f"""SELECT sku, name, category, n_stores, round((5 - n_stores) * 100 / 5)::INT AS opportunity_score FROM (
-  SELECT sku, count(*) AS n_stores FROM cover WHERE last_seen_at >= {SINCE} GROUP BY sku HAVING count(*) < 5 ORDER BY n_stores, sku LIMIT 15) JOIN products USING (sku)""")
+  SELECT sku, count(*) AS n_stores FROM cover WHERE last_priced_at >= {SINCE} GROUP BY sku HAVING count(*) < 5 ORDER BY n_stores, sku LIMIT 15) JOIN products USING (sku)""")
 def catalog_gaps_top(t):
     return insights.gaps(t.cover, t.products, 5, AS_OF, DAYS)
 
@@ -141,7 +141,7 @@ def catalog_gaps_top(t):
 @query(SNAPS, COVER, PRODUCTS, f"""SELECT sku, name, n_stores, spread, spread * 100 / low AS spread_pct, prices FROM (
   SELECT sku, count(*) AS n_stores, min(last_priced_cents) AS low, max(last_priced_cents) - min(last_priced_cents) AS spread,
     string_agg(store_id || ':' || last_priced_cents, ',' ORDER BY store_id) AS prices
-  FROM cover WHERE last_priced_at >= {SINCE} GROUP BY sku HAVING n_stores >= 3 AND spread > 0 ORDER BY spread DESC, sku LIMIT 10) JOIN products USING (sku)""")
+  FROM cover WHERE last_priced_at >= {SINCE} GROUP BY sku HAVING n_stores >= 3 ORDER BY spread * 100 / low DESC, sku LIMIT 10) JOIN products USING (sku)""")
 def price_wars_top(t):
     return insights.price_wars(t.cover, t.products, AS_OF, DAYS)
 
