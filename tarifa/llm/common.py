@@ -19,6 +19,8 @@ from tarifa.llm.shared import blocks, utf8
 
 #: log2 of the bitmap's bits (16 MB), bits of a hash that are compared, bytes of text hashed at a time.
 BITS, COMPARED, BLOCK_BYTES = 27, 48, 2 << 20
+#: Sightings from which a hash is common: one for each run that holds it, two where the run's texts share it.
+COMMON = 6
 #: Hash ranges: a power of two, one for about ROWS_A_RANGE rows.
 RANGES, ROWS_A_RANGE = (64, 1 << 16), 4_000
 
@@ -40,8 +42,8 @@ def unrun(data: bytes) -> np.ndarray:
     return first + np.cumsum(steps, dtype=np.uint64)
 
 
-def bitmap(docs: DataFrame, features: Features) -> np.ndarray:
-    """The bitmap of docs (text), as bytes."""
+def bitmaps(docs: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray]:
+    """Two bitmaps of docs (text), as bytes: hashes of two texts or more, and those that tasks have seen COMMON times or more."""
     ranges = RANGES[0]
     rows = docs.count()
     while ranges < RANGES[1] and ranges * ROWS_A_RANGE < rows:
@@ -74,24 +76,25 @@ def bitmap(docs: DataFrame, features: Features) -> np.ndarray:
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
         runs = [unrun(x) for x in rows["run"]]
-        values = np.concatenate(runs)
-        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(r)).astype(bool) for m, r in zip(rows["many"], runs)])
-        twice = [values[many]]
+        many = [r[np.unpackbits(np.frombuffer(m, np.uint8), count=len(r)).astype(bool)] for m, r in zip(rows["many"], runs)]
+        values = np.concatenate([*runs, *many])
         values.sort()
-        twice.append(values[1:][values[1:] == values[:-1]])
-        slot = np.concatenate(twice) >> np.uint64(COMPARED - BITS)
-        number = int(rows["range"].iloc[0])
-        bits = np.zeros((1 << BITS) // ranges, bool)
-        bits[slot.astype(np.int64) - number * len(bits)] = True
-        return pd.DataFrame({"range": [number], "bits": [np.packbits(bits).tobytes()]})
+        number, out = int(rows["range"].iloc[0]), []
+        for least in (2, COMMON):  # a value that stands as often as `least` is its own neighbour at that distance
+            seen = values[least - 1 :][values[least - 1 :] == values[: len(values) - least + 1]]
+            bits = np.zeros((1 << BITS) // ranges, bool)
+            bits[(seen >> np.uint64(COMPARED - BITS)).astype(np.int64) - number * len(bits)] = True
+            out.append(np.packbits(bits).tobytes())
+        return pd.DataFrame({"range": [number], "shared": out[:1], "common": out[1:]})
 
     runs = docs.select("text").mapInArrow(sent, "range int, run binary, many binary")
-    slices = runs.groupBy("range").applyInPandas(merged, "range int, bits binary").collect()  # 2**BITS bits together
-    out = np.zeros((1 << BITS) // 8, np.uint8)
-    wide = len(out) // ranges
+    slices = runs.groupBy("range").applyInPandas(merged, "range int, shared binary, common binary").collect()  # 2 * 2**BITS bits together
+    out = np.zeros((2, (1 << BITS) // 8), np.uint8)
+    wide = out.shape[1] // ranges
     for row in slices:
-        out[row["range"] * wide : (row["range"] + 1) * wide] = np.frombuffer(row["bits"], np.uint8)
-    return out
+        for bits, name in zip(out, ("shared", "common")):
+            bits[row["range"] * wide : (row["range"] + 1) * wide] = np.frombuffer(row[name], np.uint8)
+    return out[0], out[1]
 
 
 def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:

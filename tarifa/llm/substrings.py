@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import BLOCK_BYTES, RANGES, ROWS_A_RANGE, bitmap, marked
+from tarifa.llm.common import BLOCK_BYTES, RANGES, ROWS_A_RANGE, bitmaps, marked
 from tarifa.llm.shared import blocks, hashes, mix64, rolling, utf8
 
 #: Bytes of the strings that count, bytes of the pieces that anchor them; offsets that an anchor can have.
@@ -252,7 +252,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    bits = spark.sparkContext.broadcast(bitmap(docs, anchor_hashes))  # fixed size
+    bits = spark.sparkContext.broadcast(bitmaps(docs, anchor_hashes)[0])  # fixed size
     ranges = RANGES[0]
     rows = docs.count()
     while ranges < RANGES[1] and ranges * ROWS_A_RANGE < rows:
