@@ -127,11 +127,11 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
         room = size
         if length < size:
             here = counts[length:size]
-            change = np.where(here > 0, counts[: size - length] - here + 1, never)  # half of it: one less here, one more there
+            change = np.where(here > 0, 2 * (counts[: size - length] - here + 1), never)  # one less here, one more there
             if here[0]:
-                change[0] = -here[0] + 1  # it gets full
+                change[0] = 1 - 2 * here[0]  # it gets full
             best = int(change.argmin())
-            if change[best] <= counts[size - length] + 1 and here[best]:
+            if change[best] <= 2 * counts[size - length] + 1 and here[best]:
                 room = best + length
         if room == size:
             sequence[i], made = made, made + 1

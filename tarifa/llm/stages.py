@@ -54,11 +54,11 @@ def mixture(docs: DataFrame) -> DataFrame:
     taken = stored(mixing.mix(docs).where("size > 0").select("doc_id", "copies"), "stage-mix")
     gone = taken.where("copies = 0").select("doc_id")
     empty = mixing.word_count(F.col("text")) == 0
-    more = stored(taken.where("copies > 1"), "stage-more")
+    more = stored(taken.where("copies > 1").withColumnRenamed("copies", "_copies"), "stage-more")
     kept = without(docs.where(~empty), gone)
     if more.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         more = F.broadcast(more)
-    repeated = kept.join(more, "doc_id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))))
+    repeated = kept.join(more, "doc_id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)))))
     return repeated.select(*docs.columns)
 
 
