@@ -19,6 +19,8 @@ from tarifa.llm.shared import blocks, utf8
 
 #: log2 of the bitmap's bits (16 MB), bits of a hash that are compared, bytes of text hashed at a time.
 BITS, COMPARED, BLOCK_BYTES = 27, 48, 2 << 20
+#: Hashes and texts of a run: a text's number in its run stands in the bits below those that are compared.
+RUN_HASHES, RUN_TEXTS = 4_000_000, 1 << (64 - COMPARED)
 #: Sightings from which a hash is common: one for each run that holds it, two where the run's texts share it.
 COMMON = 6
 #: Hash ranges: a power of two, one for about ROWS_A_RANGE rows.
@@ -50,29 +52,38 @@ def bitmaps(docs: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray
         ranges *= 2
     width = ranges.bit_length() - 1
 
+    def runs_of(parts: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.concatenate([np.zeros(0, np.uint64), *parts])
+        parts.clear()
+        keys.sort()
+        found = keys >> np.uint64(64 - COMPARED)
+        first = np.ones(len(keys), bool)
+        first[1:] = found[1:] != found[:-1]
+        at = np.flatnonzero(first)
+        twice = np.zeros(len(keys), bool)
+        twice[1:] = ~first[1:] & (keys[1:] != keys[:-1])  # the same hash in another text
+        many = np.logical_or.reduceat(twice, at) if len(at) else np.zeros(0, bool)
+        found = found[at]
+        cuts = np.searchsorted(found, np.arange(ranges, dtype=np.uint64) << np.uint64(COMPARED - width)).tolist() + [len(found)]
+        full = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
+        runs = [run(found[cuts[i] : cuts[i + 1]]) for i in full]
+        marks = [np.packbits(many[cuts[i] : cuts[i + 1]]).tobytes() for i in full]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(runs, pa.binary()), pa.array(marks, pa.binary())], ["range", "run", "many"])
+
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, texts = [], 0, 0
         for batch in batches:
             offsets, data = utf8(batch.column("text"))
-            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
             for a, b in blocks(offsets, BLOCK_BYTES):
-                found, text = features(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-                parts.append((found >> np.uint64(64 - COMPARED), text + a))
-            found, text = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(found, kind="stable")
-            found, text = found[order], text[order]
-            first = np.ones(len(found), bool)
-            first[1:] = found[1:] != found[:-1]
-            at = np.flatnonzero(first)
-            twice = np.zeros(len(found), bool)
-            twice[1:] = ~first[1:] & (text[1:] != text[:-1])
-            many = np.logical_or.reduceat(twice, at) if len(at) else np.zeros(0, bool)
-            found = found[at]
-            cuts = np.searchsorted(found, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(COMPARED - width)) if len(found) else np.zeros(ranges + 1, int)
-            cuts[-1] = len(found)
-            full = np.flatnonzero(np.diff(cuts))
-            runs = [run(found[cuts[i] : cuts[i + 1]]) for i in full]
-            marks = [np.packbits(many[cuts[i] : cuts[i + 1]]).tobytes() for i in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(runs, pa.binary()), pa.array(marks, pa.binary())], ["range", "run", "many"])
+                while a < b:
+                    if texts == RUN_TEXTS or held >= RUN_HASHES:
+                        yield runs_of(parts)
+                        parts, held, texts = [], 0, 0
+                    c = min(b, a + RUN_TEXTS - texts)
+                    found, text = features(offsets[a : c + 1] - offsets[a], data[offsets[a] : offsets[c]])
+                    parts.append(found >> np.uint64(64 - COMPARED) << np.uint64(64 - COMPARED) | (text + texts).astype(np.uint64))
+                    held, texts, a = held + len(found), texts + c - a, c
+        yield runs_of(parts)
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
         runs = [unrun(x) for x in rows["run"]]
