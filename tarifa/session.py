@@ -18,9 +18,15 @@ def session(app: str = "tarifa", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Rows that Python gets at a time; rows may hold long texts.
+BATCH_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's source to the executors, once a context; their Python can then import it."""
+    """Make a session ready: Python gets few rows at a time, and executors can import this package, which is sent once a context."""
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if not getattr(context, "_tarifa_shipped", False):
         root = Path(__file__).resolve().parent
         path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "tarifa.zip")
