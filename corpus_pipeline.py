@@ -10,13 +10,23 @@ from tarifa.llm import stages
 from tarifa.llm.shared import shared_folder
 from tarifa.session import ship
 
+
+def _stage(function):
+    return lambda spark, docs, sf_dir: function(_ready(spark, docs))
+
+
+def _ready(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    ship(spark)
+    return docs
+
+
 #: (name, function): each takes (spark, docs, sf_dir) and works on all that the one before has kept.
 STAGES = [
-    ("quality_rules", lambda spark, docs, sf_dir: stages.quality_rules(docs)),
-    ("exact_dedup", lambda spark, docs, sf_dir: stages.exact_duplicates(docs)),
-    ("near_dedup", lambda spark, docs, sf_dir: stages.near_duplicates(docs)),
-    ("mixing", lambda spark, docs, sf_dir: stages.mixture(docs)),
-    ("packing", lambda spark, docs, sf_dir: stages.packed(docs)),
+    ("quality_rules", _stage(stages.quality_rules)),
+    ("exact_dedup", _stage(stages.exact_duplicates)),
+    ("near_dedup", _stage(stages.near_duplicates)),
+    ("mixing", _stage(stages.mixture)),
+    ("packing", _stage(stages.packed)),
 ]
 #: The near-copy and packing stages are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
