@@ -42,6 +42,10 @@ ANIMALS = (
     ("reptile", ("زواحف", "reptile")),
     ("small", ("أرنب", "هامستر", "rabbit", "hamster")),
 )
+STOP_WORDS = (
+    "في من على إلى عن مع هذا هذه ذلك تلك هو هي هم لا ان أن و ب ال لل كل ما".split()
+    + "the a an and or for with from to in of is at by on it its this that".split()
+)
 CAPPED = r"(?i)(?:\+\s*$)|(?:^\s*\+)|أكثر\s*من|اكثر\s*من|more\s+than|over\s+\d"
 BRANDS = (
     "Royal Canin", "رويال كانين", "Whiskas", "ويسكاس", "Pedigree", "بيدقري", "Purina", "بورينا", "Hills", "هيلز", "N&D", "Orijen", "اوريجن", "Acana", "اكانا",
@@ -81,8 +85,9 @@ def valid_gtin(value: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Different lower-case words of two letters or more."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(text, r"(?U)[^\w\s]", " ")), r"(?U)\s+"), lambda t: F.length(t) > 1))
+    """Different lower-case words of two letters or more that aren't stop words."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"(?U)[^\w\s]", " ")), r"(?U)\s+"), lambda t: F.length(t) > 1)
+    return F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))
 
 
 def name_similarity(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarifa.functions.numbers import monday_week
 from tarifa.model import MAX_BADGE_STEP, MAX_DAILY_UNITS, MAX_QTY_STEP, MAX_SOLD_STEP, PLACEHOLDER_QTY
 from tarifa.operators.rollups import PAIR, usable_qty, windowed
 
@@ -39,8 +40,8 @@ def window_sales(snaps: DataFrame, as_of: datetime, days: int) -> DataFrame:
     return sums.select(*PAIR, "units", F.round(F.col("units") * F.col("mean_cents")).cast("long").alias("revenue"), "method")
 
 
-def velocity(snaps: DataFrame, as_of: datetime, days: int) -> DataFrame:
-    """Units and revenue (cents) by day over the last days, days without sales included; a pair's first reading only starts it."""
+def steps(snaps: DataFrame, as_of: datetime, days: int) -> DataFrame:
+    """Readings of the window with the units since the one before; a pair's first reading only starts it."""
     rows = windowed(snaps, as_of, days)
     sold, qty = F.coalesce("sold", F.lit(0)), F.coalesce("qty", F.lit(0))
     counted = F.max(sold).over(Window.partitionBy(*PAIR)) > 0
@@ -48,7 +49,18 @@ def velocity(snaps: DataFrame, as_of: datetime, days: int) -> DataFrame:
     step = F.least(F.greatest(sold - F.lag(sold).over(_in_time()), F.lit(0)), F.lit(MAX_DAILY_UNITS))
     odd = before.isin(*PLACEHOLDER_QTY) | qty.isin(*PLACEHOLDER_QTY) | (before > 500)
     drop = F.when(odd, 0).otherwise(F.least(F.greatest(before - qty, F.lit(0)), F.lit(MAX_QTY_STEP)))
-    rows = rows.withColumn("units", F.coalesce(F.when(counted, step).otherwise(drop), F.lit(0)).cast("long"))
+    return rows.withColumn("units", F.coalesce(F.when(counted, step).otherwise(drop), F.lit(0)).cast("long"))
+
+
+def weekly(snaps: DataFrame, as_of: datetime, days: int) -> DataFrame:
+    """Units and revenue (cents) of each store by week of the year from Monday."""
+    rows = steps(snaps, as_of, days)
+    return rows.groupBy("store_id", monday_week(F.col("crawled_at")).alias("week")).agg(F.sum("units").alias("units"), F.sum(F.col("units") * F.coalesce("cents", F.lit(0))).alias("revenue"))
+
+
+def velocity(snaps: DataFrame, as_of: datetime, days: int) -> DataFrame:
+    """Units and revenue (cents) by day over the last days, days without sales included."""
+    rows = steps(snaps, as_of, days)
     by_day = rows.groupBy(F.to_date("crawled_at").alias("day")).agg(F.sum("units").alias("units"), F.sum(F.col("units") * F.coalesce("cents", F.lit(0))).alias("revenue"))
     first, last = (as_of - timedelta(days=days)).date(), as_of.date()
     calendar = snaps.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day"))

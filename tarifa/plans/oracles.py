@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarifa.functions import numbers, text
-from tarifa.operators import discounts, estimates, insights, matching, orders, position, rollups, scanner
+from tarifa.operators import audits, discounts, estimates, insights, matching, orders, position, rollups, scanner
 from tarifa.sources import tables
 from tarifa.streaming import ledger
 
@@ -233,6 +233,35 @@ def velocity_by_day(t):
     return estimates.velocity(t.snapshots, AS_OF, DAYS)
 
 
+@query(SNAPS, RECENT, """steps AS (SELECT store_id, crawled_at, cents, coalesce(least(greatest(sold - lag(sold) OVER (PARTITION BY sku, store_id ORDER BY crawled_at, seq), 0), 30), 0) AS units FROM recent)""",
+"SELECT store_id, strftime(crawled_at, '%Y-W%W') AS week, sum(units)::BIGINT AS units, sum(units * cents)::BIGINT AS revenue FROM steps GROUP BY ALL")
+def store_profile_weekly(t):
+    return estimates.weekly(t.snapshots, AS_OF, DAYS)
+
+
+@query(SNAPS, """placed AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY crawled_at DESC, store_id DESC, seq DESC) AS n FROM snaps),
+two AS (SELECT a.sku, a.cents, a.qty, a.in_stock, b.cents AS c, b.qty AS q, b.in_stock AS i FROM placed a JOIN placed b ON a.sku = b.sku AND a.n = 1 AND b.n = 2)""",
+"SELECT sku, cents < c AS price_drop, in_stock AND NOT i AS back_in_stock, NOT in_stock AND i AS out_of_stock, qty < 10 AND q >= 10 AS low_stock FROM two")
+def last_two_alerts(t):
+    return audits.last_two_alerts(t.snapshots)
+
+
+@query(SNAPS, RECENT, LATEST, OWN, """both_ AS (SELECT sku, o.cents AS own_cents, s.cents AS shown_cents FROM own o FULL JOIN (SELECT * FROM latest WHERE store_id = 'EUROPE') s USING (sku)),
+ratios AS (SELECT *, CASE WHEN own_cents > 0 AND shown_cents > 0 THEN shown_cents / own_cents END AS r FROM both_)""",
+"""SELECT sku, CASE WHEN shown_cents IS NULL THEN 'only_in_catalogue' WHEN own_cents IS NULL THEN 'only_in_store' ELSE 'both' END AS found,
+  CASE WHEN r IS NULL THEN 'unusable' WHEN abs(r - 1.15::DOUBLE) <= 0.005::DOUBLE THEN 'with_vat' WHEN abs(r - 1) <= 0.005::DOUBLE THEN 'equal' ELSE 'other' END AS ratio FROM ratios""")
+def price_audit(t):
+    return audits.price_audit(t.own_products, t.latest.where(F.col("store_id") == tables.OWN_STORE))
+
+
+@query("""SELECT a.p_partkey AS sku, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity
+FROM (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part) a JOIN (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part) b ON b.p_partkey = a.p_partkey + 1""")
+def name_similarity(t):
+    a = t.products.select("sku", text.tokens(F.col("name")).alias("a"))
+    b = t.products.select((F.col("sku") - 1).alias("sku"), text.tokens(F.col("name")).alias("b"))
+    return a.join(b, "sku").select("sku", text.name_similarity(F.col("a"), F.col("b")).alias("similarity"))
+
+
 @query(SNAPS, RECENT, """steps AS (SELECT sku, store_id, cents, coalesce(least(greatest(lag(qty) OVER (PARTITION BY sku, store_id ORDER BY crawled_at, seq) - qty, 0), 10), 0) AS units
   FROM recent WHERE qty NOT IN (99, 100, 999, 1000, 9999, 10000, 99999, 100000) AND qty <= 200)""",
 "SELECT sku, store_id, count(*) AS n, sum(units)::BIGINT AS units, sum(units * cents)::BIGINT AS revenue FROM steps GROUP BY ALL HAVING count(*) >= 3")
