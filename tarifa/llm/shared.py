@@ -20,11 +20,11 @@ SALTS = 32
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (one machine)."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tarifa_folder", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = context._tarifa_folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     return folder.rstrip("/")
 
 
