@@ -15,12 +15,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarifa.llm.shared import blocks, utf8
+from tarifa.llm.shared import blocks, forget, utf8
 
 #: log2 of the bitmap's bits (16 MB), bits of a hash that are compared, bytes of text hashed at a time.
-BITS, COMPARED, BLOCK_BYTES = 27, 48, 2 << 20
+BITS, COMPARED, BLOCK_BYTES = 27, 48, 1 << 20
 #: Hashes and texts of a run: a text's number in its run stands in the bits below those that are compared.
-RUN_HASHES, RUN_TEXTS = 4_000_000, 1 << (64 - COMPARED)
+RUN_HASHES, RUN_TEXTS = 2_000_000, 1 << (64 - COMPARED)
 #: Sightings from which a hash is common: one for each run that holds it, two where the run's texts share it.
 COMMON = 6
 #: Hash ranges: a power of two, one for about ROWS_A_RANGE rows.
@@ -71,6 +71,7 @@ def bitmaps(docs: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(runs, pa.binary()), pa.array(marks, pa.binary())], ["range", "run", "many"])
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         parts, held, texts = [], 0, 0
         for batch in batches:
             offsets, data = utf8(batch.column("text"))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.shared import join_small, stored
+from tarifa.llm.shared import forget, join_small, stored
 
 BUCKET_BYTES, DEPTH = 32 << 20, 16
 #: Groups with more rows than this are joined by broadcast or salt: one of them may hold a third of all rows.
@@ -41,6 +41,7 @@ def _key(digest: bytes) -> int:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         texts = _texts(batch)
         digests = [hashlib.sha256(x).digest() for x in texts]

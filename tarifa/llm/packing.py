@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.shared import blocks, stored, utf8
+from tarifa.llm.shared import REMEMBERED, blocks, forget, stored, utf8
 
 SIZE, GROUP = 2048, 1 << 16
 #: Words that a worker remembers before it starts over; bytes of text that it tokenizes at a time.
@@ -84,7 +84,7 @@ class Words:
         return [b"".join(map(known, own)) for own in words]
 
 
-_MADE: dict[str, Words] = {}
+_MADE: dict[str, Words] = REMEMBERED.setdefault("packing", {})
 
 
 def words_of(file: str) -> Words:
@@ -98,6 +98,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, size: int = SIZE, end_id: int =
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("packing")
         words = words_of(tokenizer_file)
         for batch in batches:
             column = pc.fill_null(batch.column("text"), "")

@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from tarifa.llm.shared import forget
+
 MOST_LOST, LEAST_WORDS, MOST_REPEATED = 50, 50, 50
 PHRASES = ("accept all cookies", "all rights reserved", "click here to", "enable javascript", "privacy policy", "sign up for our newsletter", "skip to content", "terms of use", "terms of service")
 SYMBOLS = b"#*$%&|<>"
@@ -84,6 +86,7 @@ def judge(raw: bytes) -> tuple:
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     for batch in batches:
         texts = pc.fill_null(batch.column("text"), "").cast(pa.binary())

@@ -60,6 +60,17 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
 
 
+#: What workers remember between tasks, by operator.
+REMEMBERED: dict[str, dict] = {}
+
+
+def forget(but: str = "") -> None:
+    """Drop what this worker remembers of operators other than `but`: workers live longer than a query."""
+    for operator, memory in REMEMBERED.items():
+        if operator != but:
+            memory.clear()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (one more than rows) and bytes of a string column; null counts as empty. Nothing is decoded."""
     column = pc.fill_null(column, "") if column.null_count else column

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarifa.llm import exact, jaccard, mixing, packing, rules
-from tarifa.llm.shared import BROADCAST_ROWS, stored
+from tarifa.llm.shared import BROADCAST_ROWS, forget, stored
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -30,6 +30,7 @@ def _marked(docs: DataFrame, name: str, judge) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BooleanType())])
 
     def mark(batches):
+        forget()
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([judge(x.as_py()) for x in texts], pa.bool_())], [*batch.schema.names, name])

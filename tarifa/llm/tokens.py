@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tarifa.llm.shared import blocks, utf8
+from tarifa.llm.shared import REMEMBERED, blocks, forget, utf8
 
 SPACE = "▁"
 #: Characters with a column of their own in the tables; others take the slow way.
@@ -188,7 +188,7 @@ class Transducer:
         return out
 
 
-_MADE: dict[str, Transducer] = {}
+_MADE: dict[str, Transducer] = REMEMBERED.setdefault("tokens", {})
 
 
 def transducer(model_file: str) -> Transducer:
@@ -206,6 +206,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("tokens")
         machine = transducer(model_file)
         for batch in batches:
             column = pc.fill_null(batch.column("text"), "")
