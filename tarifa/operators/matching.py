@@ -58,6 +58,27 @@ def seller_set(pairs: DataFrame) -> DataFrame:
     return direct.unionByName(reverse).unionByName(siblings).where("a <> b").distinct().select(F.col("a").alias("my_sku"), F.col("b").alias("other_sku"))
 
 
+def seller_hubs(pairs: DataFrame) -> DataFrame:
+    """my_sku, other_sku, relation: all that seller_set() joins, without a row for each two products of a hub.
+
+    'direct' rows are matches (my_sku, rival_sku) and 'reverse' rows their reverses, itself aside; 'hub' rows say that my_sku belongs to the
+    hub other_sku. Products with a hub in common are siblings. The rows grow with the matches, however many share a hub. Nulls match nothing.
+    """
+    a, b = F.col("my_sku"), F.col("rival_sku")
+    edges = pairs.select(a, b).where(a.isNotNull() & b.isNotNull()).distinct()
+    row = lambda x, y, relation: F.struct(x.alias("my_sku"), y.alias("other_sku"), F.lit(relation).alias("relation"))
+    rows = edges.select(F.inline(F.array(row(a, b, "direct"), row(b, a, "reverse"), row(a, b, "hub"))))
+    return rows.where("relation = 'hub' OR my_sku <> other_sku")
+
+
+def partners(hubs: DataFrame, asked: DataFrame) -> DataFrame:
+    """my_sku, other_sku of the asked products (my_sku): their rows of seller_set(), from seller_hubs()."""
+    mine = hubs.join(asked.select("my_sku").distinct(), "my_sku", "left_semi")
+    members = hubs.where("relation = 'hub'").select(F.col("other_sku").alias("hub"), F.col("my_sku").alias("sibling"))
+    siblings = mine.where("relation = 'hub'").select("my_sku", F.col("other_sku").alias("hub")).join(members, "hub").select("my_sku", F.col("sibling").alias("other_sku"))
+    return mine.where("relation <> 'hub'").select("my_sku", "other_sku").unionByName(siblings).where("my_sku <> other_sku").distinct()
+
+
 def price_alerts(pairs: DataFrame, least_pct: float = 15.0) -> DataFrame:
     """Per own product its cheapest match, where that is cheaper by the percentage."""
     cheapest = pairs.groupBy("my_sku").agg(F.min_by(F.struct("store_id", "rival_cents", "my_cents"), F.struct("rival_cents", "store_id")).alias("m"))

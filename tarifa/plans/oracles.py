@@ -446,6 +446,13 @@ def seller_set_two_hop(t):
     return matching.seller_set(lines.select((F.col("l_partkey") % 400).alias("my_sku"), (F.col("l_suppkey") + 100000).alias("rival_sku")))
 
 
+# All of lineitem with its own keys. Rivals are below 0, so that they never meet a product's key.
+@query("edges AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem)", """SELECT a AS my_sku, b AS other_sku, unnest(['direct', 'hub']) AS relation FROM edges UNION ALL SELECT b, a, 'reverse' FROM edges""")
+def seller_set_hubs(t):
+    lines = tables.table(t.spark, t.sf_dir, "lineitem")
+    return matching.seller_hubs(lines.select(F.col("l_partkey").alias("my_sku"), (-1 - F.col("l_suppkey")).alias("rival_sku")))
+
+
 @query("""SELECT event_id, (ts + INTERVAL 3 HOURS)::DATE AS ksa_day, strftime(ts, '%Y-W%V') AS iso_week, strftime(ts, '%Y-W%W') AS monday_week FROM events""")
 def calendar_labels(t):
     rows = tables.table(t.spark, t.sf_dir, "events")

@@ -187,3 +187,36 @@ def test_page_cards(spark):
     pages = [(1, "<html>" + "".join(card(f"n{i}", f"1,{i}00.5") for i in range(3)) + "</html>"), (2, '<script type="application/ld+json">{"@type": "Product", "name": "ld", "offers": {"price": "7"}}</script>'), (3, None)]
     got = {(r.page_id, r.name): r.price for r in landed.page_cards(spark.createDataFrame(pages, "page_id long, html string")).collect()}
     assert got == {(1, "n0"): 1000.5, (1, "n1"): 1100.5, (1, "n2"): 1200.5, (2, "ld"): 7.0}
+
+
+def brute_seller_set(edges):
+    """Every pair within two hops, by a loop over the hubs."""
+    edges = {(a, b) for a, b in edges if a is not None and b is not None}
+    hubs = {}
+    for a, b in edges:
+        hubs.setdefault(b, set()).add(a)
+    found = edges | {(b, a) for a, b in edges} | {(x, y) for members in hubs.values() for x in members for y in members}
+    return {(x, y) for x, y in found if x != y}
+
+
+def test_seller_hubs_expand_to_the_seller_set(spark):
+    edges = [(1, 10), (1, 10), (2, 10), (3, 10), (3, 11), (4, 11), (5, 12), (6, 6), (7, 6), (8, 1), (None, 10), (9, None)]
+    pairs = spark.createDataFrame(edges, "my_sku long, rival_sku long")
+    hubs = matching.seller_hubs(pairs)
+    want = brute_seller_set(edges)
+    every = spark.range(20).withColumnRenamed("id", "my_sku")
+    assert sorted(map(tuple, matching.partners(hubs, every).collect())) == sorted(want) == sorted(map(tuple, matching.seller_set(pairs).collect()))
+    assert {tuple(r) for r in matching.partners(hubs, every.where("my_sku = 3")).collect()} == {p for p in want if p[0] == 3}
+    hot = spark.range(300).selectExpr("id AS my_sku", "-1L AS rival_sku")
+    assert matching.seller_hubs(hot).count() == 900
+
+
+def test_seller_set_hubs_reads_all_of_lineitem_with_its_own_keys(spark):
+    from tarifa.plans import oracles
+    from tests.conftest import SMALL
+
+    hubs = oracles.QUERIES["seller_set_hubs"](spark, SMALL)
+    edges = {(r.l_partkey, -1 - r.l_suppkey) for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    assert {(r.my_sku, r.other_sku) for r in hubs.where("relation = 'hub'").collect()} == edges
+    got = matching.partners(hubs, hubs.select("my_sku").distinct()).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_seller_set(edges))
