@@ -6,14 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarifa.llm import exact, jaccard, mixing, packing, rules
-from tarifa.llm.shared import BROADCAST_ROWS, forget, stored
+from tarifa.llm.shared import BROADCAST_ROWS, forget, join_small, stored
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the ids of `gone` (doc_id); it is broadcast up to BROADCAST_ROWS ids, and shuffled beyond."""
+#: The key of a row within a stage; ids may be null, repeated or shared.
+ROW = "_row"
+
+
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs, written once, with a key of its own for every row."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """What an operator is given: its doc_id is the row's key, so that it decides on every row by itself."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows but for the keys of `gone`; it is broadcast up to BROADCAST_ROWS keys, and shuffled beyond."""
     if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti")
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
+
+
+def _losers(rows: DataFrame, members: DataFrame, best) -> DataFrame:
+    """Keys of all members (ROW, group) but the best of each group; best: an aggregate of struct(doc_id, ROW)s."""
+    members = stored(members.join(rows.select(ROW, "doc_id"), ROW), "stage-members")
+    stays = stored(members.groupBy("group").agg(best.alias("stays")).select("group", F.col(f"stays.{ROW}").alias("stays")), "stage-stays")
+    return stored(join_small(members, stays, ["group"]).where(F.col(ROW) != F.col("stays")).select(ROW), "stage-gone")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -39,15 +60,31 @@ def _marked(docs: DataFrame, name: str, judge) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group of equal texts."""
-    found = exact.exact_duplicates(docs)
-    return without(docs, stored(found.where("NOT kept").select("doc_id"), "stage-copies"))
+    """One row of each group of equal texts: one with the largest id, a null one being less than any.
+
+    Null, repeated and shared ids don't matter: rows are told apart by a key of the stage.
+    """
+    rows = _keyed(docs, "stage-exact-rows")
+    found = exact.exact_duplicates(_by_row(rows)).where("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group"))
+    return _without(rows, _losers(rows, found, F.max(F.struct("doc_id", ROW))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies: the one whose id names the group."""
-    found = jaccard.jaccard_components(docs)
-    return without(docs, stored(found.where("component_id <> doc_id").select("doc_id"), "stage-near"))
+    """One row of each group of near copies: one with the least id, a null one only where no other is.
+
+    Rows of one text are near copies whatever their ids. Texts without words link with nothing, and their rows all stay.
+    """
+    rows = _keyed(docs, "stage-near-rows")
+    found = stored(jaccard.jaccard_components(_by_row(rows)).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group")), "stage-components")
+    several = stored(found.where(F.col(ROW) != F.col("group")).select("group").distinct(), "stage-groups")
+    return _without(rows, _losers(rows, join_small(found, several, ["group"]), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the ids of `gone` (doc_id); it is broadcast up to BROADCAST_ROWS ids, and shuffled beyond."""
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def mixture(docs: DataFrame) -> DataFrame:

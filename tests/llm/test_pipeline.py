@@ -52,3 +52,48 @@ def test_run_and_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, SMALL).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def awkward():
+    """(doc_id, text, source): null, repeated and shared ids on exact copies, near copies and lone texts."""
+    base = " ".join(f"w{i}" for i in range(120))
+    near, other = base.replace("w60 ", "x60 "), " ".join(f"v{i}" for i in range(90))
+    lone = {n: " ".join(f"{n}{i}" for i in range(70)) for n in "abc"}
+    return [
+        (None, base, "s"), (None, base.upper(), None), (3, base, "s"), (3, base, "s"), (3, near, "t"), (None, near, "t"),
+        (5, other, "s"), (5, lone["a"], "t"), (9, other, "t"), (9, lone["b"], None), (9, lone["b"], None), (9, lone["b"], None),
+        (None, lone["c"], "s"), (None, lone["c"], "t"), (7, None, "s"), (None, "", "s"),
+    ]
+
+
+def awkward_frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), *"abcdefgh") for i, t, s in rows], SCHEMA).repartition(3)
+
+
+def test_exact_stage_keeps_one_row_a_text_whatever_the_ids(spark):
+    from tarifa.session import ship
+
+    ship(spark)
+    rows = awkward()
+    got = dict(corpus_pipeline.STAGES)["exact_dedup"](spark, awkward_frame(spark, rows), SMALL)
+    assert got.columns == awkward_frame(spark, []).columns
+    groups = collections.defaultdict(list)
+    for i, t, _ in rows:
+        groups[(t or "").translate(LOWER)].append(-1 if i is None else i)
+    assert sorted(((r.text or "").translate(LOWER), -1 if r.doc_id is None else r.doc_id) for r in got.collect()) == sorted((t, max(ids)) for t, ids in groups.items())
+
+
+def test_near_stage_keeps_one_row_a_component_whatever_the_ids(spark):
+    from tarifa.session import ship
+
+    ship(spark)
+    rows = awkward()
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, awkward_frame(spark, rows), SMALL)
+    assert got.columns == awkward_frame(spark, []).columns
+    found = brute_components({n: t for n, (_, t, _) in enumerate(rows)})
+    groups = collections.defaultdict(list)
+    for n, (i, _, _) in enumerate(rows):
+        groups[found[n][1]].append(10**9 if i is None else i)
+    kept = [(n, 10**9 if r.doc_id is None else r.doc_id) for r in got.collect() for n in [next(found[k][1] for k, x in enumerate(rows) if x[1] == r.text and x[0] == r.doc_id)] if r.text]
+    assert sorted(kept) == sorted((n, min(ids)) for n, ids in groups.items() if rows[n][1])
+    assert sum(not r.text for r in got.collect()) == sum(not t for _, t, _ in rows)
