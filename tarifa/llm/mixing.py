@@ -19,15 +19,19 @@ BITS, LEVELS = 12, 3
 KEYS = ["no_source", "source_key"]
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and a hash of BITS * LEVELS bits."""
+def _measured() -> list:
+    """Source, size in words, and a hash of BITS * LEVELS bits, as columns over documents."""
     digits = BITS * LEVELS // 4
-    return docs.select(
-        "doc_id", "source",
+    return [
         F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"),
         word_count(F.col("text")).alias("size"),
         F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, digits), 16, 10).cast("long").alias("hash"),
-    )
+    ]
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size in words, and a hash of BITS * LEVELS bits."""
+    return docs.select("doc_id", "source", *_measured())
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3) -> DataFrame:
@@ -86,11 +90,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
     one doc_id have one hash and are taken alike; so are null ids. A null source is a source of its own, last in
     order. An empty table gives an empty result. Extra columns of docs are not read.
     """
+    rows, bounds = _bounds(docs, weights, share, most)
+    return join_small(rows, bounds, KEYS).select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
+
+
+def _bounds(docs: DataFrame, weights: tuple[int, ...], share: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """sized(docs), and each source's full copies and threshold."""
     rows = stored(sized(docs), "mix-sizes")
     goals = targets(rows.groupBy(*KEYS).agg(F.sum("size").alias("source_size")), weights, share, most)
-    bounds = stored(thresholds(rows, goals), "mix-bounds")
-    copies = F.col("full") + (F.col("hash") < F.col("below")).cast("long")
-    return join_small(rows, bounds, KEYS).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows, stored(thresholds(rows, goals), "mix-bounds")
+
+
+def _copies():
+    return F.col("full") + (F.col("hash") < F.col("below")).cast("long")
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3) -> DataFrame:
+    """Each row of docs, with all its columns, as often as mix() takes it; rows without words, taken for no words, go.
+
+    Only the sources' thresholds are joined, so null, repeated and shared ids are taken as mix() says row by row.
+    """
+    _, bounds = _bounds(docs, weights, share, most)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), *_measured()).where("size > 0")
+    rows = join_small(rows, bounds, KEYS).select("_doc", _copies().alias("_copies")).where("_copies > 0")
+    return rows.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_doc.*")
 
 
 ORACLE = r"""

@@ -80,24 +80,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _without(rows, _losers(rows, join_small(found, several, ["group"]), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the ids of `gone` (doc_id); it is broadcast up to BROADCAST_ROWS ids, and shuffled beyond."""
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti")
-
-
 def mixture(docs: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it; documents without words, which the mix takes for no words, go."""
-    taken = stored(mixing.mix(docs).where("size > 0").select("doc_id", "copies"), "stage-mix")
-    gone = taken.where("copies = 0").select("doc_id")
-    empty = mixing.word_count(F.col("text")) == 0
-    more = stored(taken.where("copies > 1").withColumnRenamed("copies", "_copies"), "stage-more")
-    kept = without(docs.where(~empty), gone)
-    if more.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        more = F.broadcast(more)
-    repeated = kept.join(more, "doc_id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)))))
-    return repeated.select(*docs.columns)
+    """Each row as often as the mix takes it; documents without words, which the mix takes for no words, go."""
+    return mixing.repeated(docs)
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -97,3 +97,20 @@ def test_near_stage_keeps_one_row_a_component_whatever_the_ids(spark):
     kept = [(n, 10**9 if r.doc_id is None else r.doc_id) for r in got.collect() for n in [next(found[k][1] for k, x in enumerate(rows) if x[1] == r.text and x[0] == r.doc_id)] if r.text]
     assert sorted(kept) == sorted((n, min(ids)) for n, ids in groups.items() if rows[n][1])
     assert sum(not r.text for r in got.collect()) == sum(not t for _, t, _ in rows)
+
+
+def test_mixing_stage_takes_each_row_as_the_mix_says_whatever_the_ids(spark):
+    from tarifa.session import ship
+
+    ship(spark)
+    rows = awkward() + [(None, " ".join(["z"] * 400), "t"), (11, "one two", "u"), (11, "one two", "u"), (11, "three", "s"), (None, "one", "u")]
+    docs = awkward_frame(spark, rows)
+    copies = {(r.doc_id, r.source): r.copies for r in mixing.mix(docs).where("size > 0").collect()}
+    want = collections.Counter()
+    for i, t, s in rows:
+        if words(t):
+            want[i, t, s] += copies[i, s]
+    mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SMALL)
+    assert mixed.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text, r.source) for r in mixed.collect()) == +want
+    assert any(n != 1 for (i, _), n in copies.items() if i is None) and max(want.values()) > 3
