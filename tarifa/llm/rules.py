@@ -26,7 +26,7 @@ SYMBOLS = b"#*$%&|<>"
 ODD = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, "
-    "n_lines bigint, n_bad_lines bigint, visible_chars bigint, lost_chars bigint, kept boolean"
+    "n_lines bigint, n_bad_lines bigint, visible_chars bigint, lost_chars bigint, kept boolean, clean_text string"
 )
 _NOTICE = re.compile("|".join(map(re.escape, PHRASES)).encode())
 
@@ -64,25 +64,37 @@ _CONTINUES = bytes(range(0x80, 0xC0))
 
 
 def judge(raw: bytes) -> tuple:
-    """The row of one text, but for its id."""
+    """The row of one text, but for its id and its clean text."""
+    return cleaned(raw)[0]
+
+
+def cleaned(raw: bytes) -> tuple[tuple, bytes]:
+    """judge(raw), and the text without its failing lines; the other lines, blank ones too, stay as they are."""
     lines = raw.split(b"\n")
     split = [x.split() for x in lines]
     words = list(chain.from_iterable(split))
-    total = lost = bad = filled = 0
-    for line, own in zip(lines, split):
+    total = lost = filled = 0
+    bad = set()
+    for i, (line, own) in enumerate(zip(lines, split)):
         if own:
             joined = b"".join(own)
             chars = len(joined) - (0 if joined.isascii() else len(joined) - len(joined.translate(None, _CONTINUES)))
             filled += 1
             total += chars
             if bad_line(line, own, chars):
-                bad += 1
+                bad.add(i)
                 lost += chars
     repeat = repeated_words(words)
     full = [x for x, own in zip(lines, split) if own]
     failed = len(words) < LEAST_WORDS or 100 * repeat > MOST_REPEATED * len(words)
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-    return len(words), total, symbols, len(full) - len(set(full)), repeat, failed, filled, bad, total, lost, not failed and 100 * lost <= MOST_LOST * total
+    row = len(words), total, symbols, len(full) - len(set(full)), repeat, failed, filled, len(bad), total, lost, not failed and 100 * lost <= MOST_LOST * total
+    return row, b"\n".join(x for i, x in enumerate(lines) if i not in bad) if bad else raw
+
+
+def strings(texts: list[bytes | None], kind: pa.DataType) -> pa.Array:
+    """A string column of UTF-8 texts; nothing is decoded."""
+    return pa.array(texts, pa.binary()).view(pa.string()).cast(kind)
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,18 +102,19 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     for batch in batches:
         texts = pc.fill_null(batch.column("text"), "").cast(pa.binary())
-        rows = [judge(x.as_py()) for x in texts]
-        columns = zip(*rows) if rows else [[] for _ in names[1:]]
-        kinds = [pa.bool_() if n in ("base_failed", "kept") else pa.int64() for n in names[1:]]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names)
+        found = [cleaned(x.as_py()) for x in texts]
+        columns = zip(*(row for row, _ in found)) if found else [[] for _ in names[1:-1]]
+        kinds = [pa.bool_() if n in ("base_failed", "kept") else pa.int64() for n in names[1:-1]]
+        clean = strings([x if there else None for (_, x), there in zip(found, batch.column("text").is_valid().to_pylist())], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds)), clean], names)
 
 
 def line_rules(docs: DataFrame) -> DataFrame:
-    """Counts and verdict for every row of docs (doc_id, text); nothing is shuffled.
+    """Counts, verdict and clean_text, the text without its failing lines, for every row of docs (doc_id, text); nothing is shuffled.
 
-    Null and empty texts have no words and fail. A line's equal is looked for among the earlier lines of its own text.
-    Repeated rows are judged alike; a null doc_id stays null; an empty table gives an empty result. Extra columns
-    are not read.
+    Null and empty texts have no words and fail; a null text has a null clean_text. A line's equal is looked for among the earlier lines of its
+    own text. The verdict is on the text as it came. Repeated rows are judged alike; a null doc_id stays null; an empty table gives
+    an empty result. Extra columns are not read.
     """
     return docs.select("doc_id", "text").mapInArrow(_judged, SCHEMA)
 

@@ -42,6 +42,28 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return _marked(docs, "_kept", lambda text: rules.judge(text)[-1]).where("_kept").drop("_kept")
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """What quality_rules() keeps, without the lines that fail; n_chars, where docs has it, follows the text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def clean(batches):
+        forget()
+        for batch in batches:
+            found = [rules.cleaned(x.as_py()) for x in pc.fill_null(batch.column("text"), "").cast(pa.binary())]
+            at = [i for i, (row, _) in enumerate(found) if row[-1]]
+            batch = batch.take(pa.array(at, pa.int64()))
+            text = rules.strings([found[i][1] for i in at], batch.column("text").type)
+            fresh = {"text": text}
+            if "n_chars" in batch.schema.names:
+                lost = pa.array([found[i][0][7] > 0 for i in at], pa.bool_())
+                old = batch.column("n_chars")
+                fresh["n_chars"] = pc.if_else(lost, pc.utf8_length(text).cast(old.type), old)
+            yield pa.RecordBatch.from_arrays([fresh.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def _marked(docs: DataFrame, name: str, judge) -> DataFrame:
     """docs with a boolean column that `judge` gives for each text; every column of docs comes through."""
     import pyarrow as pa

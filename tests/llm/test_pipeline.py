@@ -114,3 +114,38 @@ def test_mixing_stage_takes_each_row_as_the_mix_says_whatever_the_ids(spark):
     assert mixed.columns == docs.columns
     assert collections.Counter((r.doc_id, r.text, r.source) for r in mixed.collect()) == +want
     assert any(n != 1 for (i, _), n in copies.items() if i is None) and max(want.values()) > 3
+
+
+def brute_clean(text):
+    """The lines that don't fail, judged one by one as texts of their own."""
+    return "\n".join(x for x in text.split("\n") if rules.judge(x.encode())[7] == 0)
+
+
+def test_failing_lines_leave_the_text(spark, tmp_path):
+    from tarifa.llm import stages
+    from tarifa.session import ship
+
+    ship(spark)
+    good = "\n".join(" ".join(f"é{i}w{j}" for j in range(12)) for i in range(8))
+    bars, odd, notice = "home | shop | cart | help", "#### **** $$$$ %%%%", "Accept all COOKIES"
+    texts = [good, f"{bars}\n{good}\n\n{odd}\n \n{notice}", good.replace("\n", f"\n{notice}\r\n"), good + "\n", bars, "", None, f"{odd}\n" * 90 + good]
+    docs = awkward_frame(spark, [(i % 3 or None, t, "s") for i, t in enumerate(texts)])
+    got = collections.Counter(r.clean_text for r in rules.line_rules(docs).collect())
+    assert got == collections.Counter(None if t is None else brute_clean(t) for t in texts)
+    want = [(i % 3 or None, brute_clean(t)) for i, t in enumerate(texts) if t and rules.judge(t.encode())[-1]]
+    kept = stages.cleaned(docs)
+    assert kept.columns == docs.columns and len(want) == 4
+    assert collections.Counter((r.doc_id, r.text, r.n_chars) for r in kept.collect()) == collections.Counter((i, t, len(t)) for i, t in want)
+    small = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    want = [brute_clean(t) for t in small if t and rules.judge(t.encode())[-1]]
+    assert collections.Counter(r.text for r in stages.cleaned(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()) == collections.Counter(want)
+    assert sum(t not in small for t in want) == 3
+
+
+def test_run_takes_failing_lines_out(spark, tmp_path, monkeypatch):
+    seen = {}
+    stage = lambda name: lambda spark, docs, sf_dir: seen.setdefault(name, docs)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, f if n == "quality_rules" else stage(n)) for n, f in corpus_pipeline.STAGES])
+    corpus_pipeline.run(spark, SMALL)
+    texts = [r.text for r in seen["exact_dedup"].collect()]
+    assert texts and all(t == brute_clean(t) for t in texts)
