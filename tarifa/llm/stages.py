@@ -9,32 +9,39 @@ from tarifa.llm import exact, jaccard, mixing, packing, rules
 from tarifa.llm.shared import BROADCAST_ROWS, forget, join_small, stored
 
 
-#: The key of a row within a stage; ids may be null, repeated or shared.
+#: The key of a row within a stage: 64 bits of its id and text. Ids may be null, repeated or shared; rows with one id and one text are repeats.
 ROW = "_row"
 
 
-def _keyed(docs: DataFrame, name: str) -> DataFrame:
-    """docs, written once, with a key of its own for every row."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+def _row():
+    return F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "text").alias(ROW)
 
 
-def _by_row(rows: DataFrame) -> DataFrame:
-    """What an operator is given: its doc_id is the row's key, so that it decides on every row by itself."""
-    return rows.select(F.col(ROW).alias("doc_id"), "text")
+def _by_row(docs: DataFrame) -> DataFrame:
+    """What an operator is given: its doc_id is the row's key, so that it decides by that."""
+    return docs.select(_row().alias("doc_id"), "text")
 
 
-def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows but for the keys of `gone`; it is broadcast up to BROADCAST_ROWS keys, and shuffled beyond."""
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return rows.join(gone, ROW, "left_anti").drop(ROW)
+def _join(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """rows joined by key; keys are broadcast up to BROADCAST_ROWS, and shuffled beyond."""
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    return rows.join(keys, ROW, how)
 
 
-def _losers(rows: DataFrame, members: DataFrame, best) -> DataFrame:
-    """Keys of all members (ROW, group) but the best of each group; best: an aggregate of struct(doc_id, ROW)s."""
-    members = stored(members.join(rows.select(ROW, "doc_id"), ROW), "stage-members")
+def _one_a_group(docs: DataFrame, found: DataFrame, best) -> DataFrame:
+    """docs but for all rows of each group except the best; found: (ROW, group) of all rows of groups; best: an aggregate of struct(doc_id, ROW)s."""
+    members = found.groupBy("group", ROW).agg(F.count("*").alias("times"))
+    members = stored(members.join(docs.select(_row(), "doc_id").distinct(), ROW), "stage-members")
     stays = stored(members.groupBy("group").agg(best.alias("stays")).select("group", F.col(f"stays.{ROW}").alias("stays")), "stage-stays")
-    return stored(join_small(members, stays, ["group"]).where(F.col(ROW) != F.col("stays")).select(ROW), "stage-gone")
+    judged = join_small(members, stays, ["group"])
+    gone = stored(judged.where(F.col(ROW) != F.col("stays")).select(ROW), "stage-gone")
+    again = stored(judged.where((F.col(ROW) == F.col("stays")) & (F.col("times") > 1)).select(ROW), "stage-again")
+    kept = _join(docs.select(*docs.columns, _row()), gone, "left_anti")
+    if not again.limit(1).count():
+        return kept.drop(ROW)
+    once = _join(kept, again, "left_semi").groupBy(ROW).agg(F.min(F.struct(*docs.columns)).alias("_doc")).select("_doc.*")
+    return _join(kept, again, "left_anti").drop(ROW).unionByName(once)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -82,13 +89,9 @@ def _marked(docs: DataFrame, name: str, judge) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group of equal texts: one with the largest id, a null one being less than any.
-
-    Null, repeated and shared ids don't matter: rows are told apart by a key of the stage.
-    """
-    rows = _keyed(docs, "stage-exact-rows")
-    found = exact.exact_duplicates(_by_row(rows)).where("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group"))
-    return _without(rows, _losers(rows, found, F.max(F.struct("doc_id", ROW))))
+    """One row of each group of equal texts: one with the largest id, a null one being less than any, whatever ids are null, repeated or shared."""
+    found = exact.exact_duplicates(_by_row(docs)).where("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group"))
+    return _one_a_group(docs, found, F.max(F.struct("doc_id", ROW)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -96,10 +99,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows of one text are near copies whatever their ids. Texts without words link with nothing, and their rows all stay.
     """
-    rows = _keyed(docs, "stage-near-rows")
-    found = stored(jaccard.jaccard_components(_by_row(rows)).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group")), "stage-components")
-    several = stored(found.where(F.col(ROW) != F.col("group")).select("group").distinct(), "stage-groups")
-    return _without(rows, _losers(rows, join_small(found, several, ["group"]), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))))
+    found = jaccard.jaccard_components(_by_row(docs)).where("n_shingles > 0").select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"))
+    found = stored(found, "stage-components")
+    several = stored(found.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "stage-groups")
+    return _one_a_group(docs, join_small(found, several, ["group"]), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)))
 
 
 def mixture(docs: DataFrame) -> DataFrame:
