@@ -361,14 +361,45 @@ def test_packing_is_gapless_and_tight(spark, odd):
     assert len(by_sequence) <= -(-sum(r.length for r in got) // 256) * 1.1 + 1
 
 
-def test_remembered_words_give_the_library_s_ids():
+def test_remembered_words_give_the_library_s_ids(monkeypatch):
     from tokenizers import Tokenizer
 
     own, tokenizer = packing.Words(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
     r = random.Random(2)
-    pool = ["the", "cat's", "don't", "<|endoftext|>", "é", "é", "İstanbul", "ΣΑΣ", "12", "3.4", ".", ",", "a.", "b,", "　", "́", "日本", "中.", "ﬁ", "😀", "I'll", "()", ").", "\x1c", "\x85", "Straße", "naïve,"]
+    pool = ["the", "cat's", "don't", "<|endoftext|>", "é", "é", "İstanbul", "ΣΑΣ", "12", "3.4", ".", ",", "a.", "b,", "　", "́", "日本", "中.", "ﬁ", "😀", "I'll", "to%%%", "Ünd,###", "a<|endoftext|>", "x<|", "b'll", "()", ").", "\x1c", "\x85", "Straße", "naïve,"]
     texts = ["".join(r.choice(pool) + r.choice(["", " ", "\n"]) for _ in range(r.randint(0, 12))) for _ in range(1500)]
-    assert own.ids([t.encode() for t in texts]) == [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert ids_of(own, texts) == want
+    monkeypatch.setattr(packing, "GENERATION_BYTES", 2_000)  # generations come and go
+    monkeypatch.setattr(packing, "LONGEST", 3)
+    assert [x for i in range(0, 1500, 7) for x in ids_of(own, texts[i : i + 7])] == want
+
+
+def ids_of(own, texts):
+    raw = [t.encode() for t in texts]
+    ids, before = own.ids(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8))
+    return [ids[a:b].tolist() for a, b in zip(before, before[1:])]
+
+
+def test_another_tokenizer_gets_whole_texts():
+    from tokenizers import Tokenizer
+
+    file = P.path("byte_bpe_50k.json")
+    texts = ["", "a b", "the  cat\nsat", "é 😀 x"]
+    assert ids_of(packing.Words(file), texts) == [x.ids for x in Tokenizer.from_file(file).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packed_ids_make_up_the_sequences(spark, odd):
+    got = packing.pack(odd, P.path("word_bpe_49k.json"), size=256, group=20, ids=True).collect()
+    plain = packing.pack(odd, P.path("word_bpe_49k.json"), size=256, group=20).collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in got)
+    assert collections.Counter((r.doc_id, r.piece, r.length) for r in got) == collections.Counter((r.doc_id, r.piece, r.length) for r in plain)
+
+
+def test_repeated_rows_are_dealt_over_groups(spark):
+    docs = spark.createDataFrame([(7, "one two three", i) for i in range(400)], "doc_id long, text string, row int")
+    got = packing.pack(docs, P.path("word_bpe_49k.json"), size=64, group=50).collect()
+    assert len(got) == 400 and len({r.sequence_id >> 32 for r in got}) == 8
 
 
 def test_sum_of_squares_takes_the_least_sum():
