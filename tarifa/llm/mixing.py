@@ -1,6 +1,6 @@
 """Mixing sources to target weights, by hash-threshold histograms. DataFrame functions only.
 
-Every document has a hash. A source that shall give more or fewer words than it has takes each of its
+Every row has a hash, of its id and text. A source that shall give more or fewer words than it has takes each of its
 documents a whole number of times, and those with a hash below the source's threshold once more. The threshold
 is found from sums of words by source and hash bucket; only the bucket in which the budget ends is looked at again,
 with finer buckets. Nothing is sorted by document, and a document's copies are nested: who is in a
@@ -20,18 +20,43 @@ KEYS = ["no_source", "source_key"]
 
 
 def _measured() -> list:
-    """Source, size in words, and a hash of BITS * LEVELS bits, as columns over documents."""
-    digits = BITS * LEVELS // 4
+    """Source, size in words, and a print of id and text, as columns over documents."""
     return [
-        F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"),
-        word_count(F.col("text")).alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, digits), 16, 10).cast("long").alias("hash"),
+        F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), word_count(F.col("text")).alias("size"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\x01"), F.coalesce("text", F.lit("")))).alias("print"),
     ]
 
 
+def _bits(md5):
+    """The first BITS * LEVELS bits of a digest."""
+    return F.conv(F.substring(md5, 1, BITS * LEVELS // 4), 16, 10).cast("long")
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    """rows (print, ...) with `hash` in place of `print`: a row's own, though others have its id or its text.
+
+    Repeats of one row (id and text) are numbered, and all but the first are hashed with their number. Which of them is first doesn't
+    matter. They are numbered part by part, so a row that a third of all rows repeat isn't one task's.
+    """
+    repeated = stored(rows.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "mix-repeats")
+    if not repeated.limit(1).count():
+        return rows.withColumn("hash", _bits("print")).drop("print")
+    rows = stored(rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "mix-numbered")
+    rows = join_small(rows, repeated.withColumn("again", F.lit(True)), ["print"], "left")
+    many = rows.where("again")
+    before = Window.partitionBy("print").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = many.groupBy("print", "part").agg(F.count("*").alias("n")).select("print", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("print", "part").orderBy("at"))
+    many = many.withColumn("number", within).join(parts, ["print", "part"]).withColumn("number", F.col("number") + F.col("before"))
+    own = F.when(F.col("number") == 1, F.col("print")).otherwise(F.md5(F.concat("print", F.lit(":"), F.col("number").cast("string"))))
+    rest = [c for c in rows.columns if c not in ("print", "part", "at", "again")]
+    once = rows.where("again IS NULL").select(*rest, _bits("print").alias("hash"))
+    return once.unionByName(many.select(*rest, _bits(own).alias("hash")))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words, and a hash of BITS * LEVELS bits."""
-    return docs.select("doc_id", "source", *_measured())
+    return hashed(docs.select("doc_id", "source", *_measured()))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3) -> DataFrame:
@@ -86,9 +111,10 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs.
 
-    Null texts and texts without words have size 0 and are taken as often as their hash says, for 0 words. Rows with
-    one doc_id have one hash and are taken alike; so are null ids. A null source is a source of its own, last in
-    order. An empty table gives an empty result. Extra columns of docs are not read.
+    Null texts and texts without words have size 0 and are taken as often as their hash says, for 0 words. A very long text counts with
+    all its words. Rows are taken one by one: null and shared ids are told apart by their texts, repeated rows by their number, so
+    each source comes within its largest document of its target. A null source is a source of its own, last in order. An empty table
+    gives an empty result. Extra columns of docs are not read.
     """
     rows, bounds = _bounds(docs, weights, share, most)
     return join_small(rows, bounds, KEYS).select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"), (_copies() * F.col("size")).alias("taken"))
@@ -108,19 +134,23 @@ def _copies():
 def repeated(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3) -> DataFrame:
     """Each row of docs, with all its columns, as often as mix() takes it; rows without words, taken for no words, go.
 
-    Only the sources' thresholds are joined, so null, repeated and shared ids are taken as mix() says row by row.
+    Only the sources' thresholds are joined, so null, repeated and shared ids are taken as mix() says row by row, whatever docs' columns
+    are called.
     """
     _, bounds = _bounds(docs, weights, share, most)
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), *_measured()).where("size > 0")
-    rows = join_small(rows, bounds, KEYS).select("_doc", _copies().alias("_copies")).where("_copies > 0")
-    return rows.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_doc.*")
+    rows = hashed(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *_measured()).where("size > 0"))
+    rows = join_small(rows, bounds, KEYS).select("doc", _copies().alias("copies")).where("copies > 0")
+    return rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
 
 
 ORACLE = r"""
-WITH sized AS (
+WITH printed AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS hash
-  FROM documents),
+         md5(coalesce(doc_id::VARCHAR, '') || chr(1) || coalesce(text, '')) AS print FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY print) AS number FROM printed),
+sized AS (
+  SELECT doc_id, source, size, ('0x' || substr(CASE WHEN number = 1 THEN print ELSE md5(print || ':' || number) END, 1, 9))::BIGINT AS hash
+  FROM numbered),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (
   SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +22,44 @@ SALTS = 32
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and one process does all."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tarifa_folder", None)
     if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = context._tarifa_folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+#: Paths of the tables that stored() has written and nobody has removed yet.
+_STORED: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STORED.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read back: cuts lineage and survives lost executors.
+
+    The table stays as long as what is made of it may be read; who has written that down removes it by remove_stored().
+    """
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_stored(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Remove all tables that this driver's stored() and new_path() have named, but for those to keep."""
+    keep = set(keep)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _STORED if p not in keep]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+        _STORED.remove(path)
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -1,4 +1,8 @@
-"""The operators as stages of a pipeline over documents: each returns the rows it keeps, with the columns of documents."""
+"""The operators as stages of a pipeline over documents: each returns the rows it keeps, with the columns of documents.
+
+What operators decide is applied row by row: a stage gives them a row's key in place of its doc_id. Keys are 64 bits of id and text, so two
+different rows share one with a chance of one in 2**64.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +26,11 @@ def _by_row(docs: DataFrame) -> DataFrame:
     return docs.select(_row().alias("doc_id"), "text")
 
 
+def _whole(docs: DataFrame, *more) -> DataFrame:
+    """Each row of docs as one column `doc`, so that its own columns' names meet no others."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *more)
+
+
 def _join(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """rows joined by key; keys are broadcast up to BROADCAST_ROWS, and shuffled beyond."""
     if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -37,59 +46,47 @@ def _one_a_group(docs: DataFrame, found: DataFrame, best) -> DataFrame:
     judged = join_small(members, stays, ["group"])
     gone = stored(judged.where(F.col(ROW) != F.col("stays")).select(ROW), "stage-gone")
     again = stored(judged.where((F.col(ROW) == F.col("stays")) & (F.col("times") > 1)).select(ROW), "stage-again")
-    kept = _join(docs.select(*docs.columns, _row()), gone, "left_anti")
-    if not again.limit(1).count():
-        return kept.drop(ROW)
-    once = _join(kept, again, "left_semi").groupBy(ROW).agg(F.min(F.struct(*docs.columns)).alias("_doc")).select("_doc.*")
-    return _join(kept, again, "left_anti").drop(ROW).unionByName(once)
+    kept = _join(_whole(docs, _row()), gone, "left_anti")
+    if again.limit(1).count():
+        once = _join(kept, again, "left_semi").groupBy(ROW).agg(F.min("doc").alias("doc"))
+        kept = _join(kept, again, "left_anti").select("doc").unionByName(once.select("doc"))
+    return kept.select("doc.*")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """Documents that the line rules keep. One without an id is judged like any other, by its text."""
-    return _marked(docs, "_kept", lambda text: rules.judge(text)[-1]).where("_kept").drop("_kept")
+    """Documents that the line rules keep, without the lines that fail; n_chars, where docs has it, follows the text.
 
-
-def cleaned(docs: DataFrame) -> DataFrame:
-    """What quality_rules() keeps, without the lines that fail; n_chars, where docs has it, follows the text."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    def clean(batches):
-        forget()
-        for batch in batches:
-            found = [rules.cleaned(x.as_py()) for x in pc.fill_null(batch.column("text"), "").cast(pa.binary())]
-            at = [i for i, (row, _) in enumerate(found) if row[-1]]
-            batch = batch.take(pa.array(at, pa.int64()))
-            text = rules.strings([found[i][1] for i in at], batch.column("text").type)
-            fresh = {"text": text}
-            if "n_chars" in batch.schema.names:
-                lost = pa.array([found[i][0][7] > 0 for i in at], pa.bool_())
-                old = batch.column("n_chars")
-                fresh["n_chars"] = pc.if_else(lost, pc.utf8_length(text).cast(old.type), old)
-            yield pa.RecordBatch.from_arrays([fresh.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
-
-    return docs.mapInArrow(clean, docs.schema)
-
-
-def _marked(docs: DataFrame, name: str, judge) -> DataFrame:
-    """docs with a boolean column that `judge` gives for each text; every column of docs comes through."""
+    Every row is judged by its own text, whatever its id; repeated rows are judged alike, so ties don't arise. Null and empty texts have no
+    words and go. A very long text is judged whole, line by line. An empty table stays empty; all columns come through, whatever their names.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
-    from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BooleanType())])
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever names are
+    at_text, at_size = docs.columns.index("text"), docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None
 
-    def mark(batches):
+    def clean(batches):
         forget()
         for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "").cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([judge(x.as_py()) for x in texts], pa.bool_())], [*batch.schema.names, name])
+            found = [rules.cleaned(x.as_py()) for x in pc.fill_null(batch.column(at_text), "").cast(pa.binary())]
+            kept = [i for i, (row, _) in enumerate(found) if row[-1]]
+            batch = batch.take(pa.array(kept, pa.int64()))
+            columns = batch.columns
+            text = columns[at_text] = rules.strings([found[i][1] for i in kept], batch.column(at_text).type)
+            if at_size is not None:
+                lost = pa.array([found[i][0][7] > 0 for i in kept], pa.bool_())
+                columns[at_size] = pc.if_else(lost, pc.utf8_length(text).cast(columns[at_size].type), columns[at_size])
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(mark, schema)
+    return plain.mapInArrow(clean, plain.schema).toDF(*docs.columns)
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group of equal texts: one with the largest id, a null one being less than any, whatever ids are null, repeated or shared."""
+    """One row of each group of equal texts, A-Z lower-cased: one with the largest id, a null one being less than any.
+
+    Ids may be null, repeated or shared; of repeated rows one stays. Ties (one id on texts that differ in case only) go by the row's key.
+    Null and empty texts are equal. Texts are compared whole. An empty table stays empty; all columns come through, whatever their names.
+    """
     found = exact.exact_duplicates(_by_row(docs)).where("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group"))
     return _one_a_group(docs, found, F.max(F.struct("doc_id", ROW)))
 
@@ -97,7 +94,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies: one with the least id, a null one only where no other is.
 
-    Rows of one text are near copies whatever their ids. Texts without words link with nothing, and their rows all stay.
+    Rows of one text are near copies whatever their ids; of repeated rows one stays; ties go by the row's key. Null and empty texts and texts
+    without words link with nothing, and their rows all stay. Texts are compared whole. An empty table stays empty; all columns come
+    through, whatever their names.
     """
     found = jaccard.jaccard_components(_by_row(docs)).where("n_shingles > 0").select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"))
     found = stored(found, "stage-components")
@@ -106,12 +105,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """Each row as often as the mix takes it; documents without words, which the mix takes for no words, go."""
+    """Each row as often as the mix takes it, row by row, whatever its id.
+
+    Null and empty texts and texts without words, which the mix takes for no words, go. Repeated rows are taken each as its own hash says; a null
+    source is a source; ties don't arise. A very long text counts with all its words. An empty table stays empty; all columns come
+    through, whatever their names.
+    """
     return mixing.repeated(docs)
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Where each piece of each document stands."""
+    """Where each piece of each document stands, and its ids: the packed sequences.
+
+    Null and empty texts are one piece of the end id; very long texts are cut into pieces; repeated rows are packed each; a null id stays null; ties in
+    length go by id and piece. An empty table gives an empty result; other columns are not read.
+    """
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)

@@ -4,7 +4,8 @@ import re
 import pytest
 
 #: Columns whose names operators use for their own; they must not get in the way.
-CLASHES = "key string, vid string, size string, hash string, copies string, group string, marks string, label string"
+CLASHES = "key string, vid string, size string, hash string, copies string, group string, marks string, label string, _row string, _kept string, _copies string, doc string, row string, ids string, print string, part string, n string, `a.b` string"
+N_CLASHES = CLASHES.count(",") + 1
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHES}"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -28,7 +29,7 @@ def odd_texts():
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    rows = [(i * 3, t, "en", [None, "a", "b", "c"][i % 4], len(t or ""), *"abcdefgh") for i, t in enumerate(odd_texts())]
+    rows = [(i * 3, t, "en", [None, "a", "b", "c"][i % 4], len(t or ""), *["z"] * N_CLASHES) for i, t in enumerate(odd_texts())]
     return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
 
 
@@ -39,4 +40,4 @@ def none(spark):
 
 @pytest.fixture(scope="session")
 def nulls(spark):
-    return spark.createDataFrame([(None,) * 13, (None, "text", *[None] * 11), (4, "text", *[None] * 11), (4, "text", *[None] * 11)], SCHEMA)
+    return spark.createDataFrame([(None,) * (5 + N_CLASHES), *[(i, "text", *[None] * (3 + N_CLASHES)) for i in (None, 4, 4)]], SCHEMA)

@@ -1,10 +1,11 @@
 import collections
 
 import pytest
+from pyspark.sql import Row
 
 from tarifa.llm import mixing, rules
 from tests.conftest import SMALL
-from tests.llm.conftest import LOWER, SCHEMA, words
+from tests.llm.conftest import LOWER, N_CLASHES, SCHEMA, words
 from tests.llm.test_operators import brute_components, waterfall
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -19,7 +20,7 @@ def test_stages_against_brute_force(spark):
     rows = docs.collect()
 
     kept = stage["quality_rules"](spark, docs, SMALL).cache()
-    want = [r for r in rows if rules.judge((r.text or "").encode())[-1]]
+    want = [Row(**r.asDict() | {"text": t, "n_chars": len(t)}) for r in rows if rules.judge((r.text or "").encode())[-1] for t in [brute_clean(r.text)]]
     assert sorted(kept.collect()) == sorted(want) and kept.columns == docs.columns
 
     once = stage["exact_dedup"](spark, kept, SMALL).cache()
@@ -51,7 +52,7 @@ def test_stages_against_brute_force(spark):
 def test_run_and_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-    assert corpus_pipeline.run(spark, SMALL).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert corpus_pipeline.run(spark, SMALL).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
 
 
 def awkward():
@@ -67,7 +68,7 @@ def awkward():
 
 
 def awkward_frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), *"abcdefgh") for i, t, s in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), *["z"] * N_CLASHES) for i, t, s in rows], SCHEMA).repartition(3)
 
 
 def test_exact_stage_keeps_one_row_a_text_whatever_the_ids(spark):
@@ -105,15 +106,41 @@ def test_mixing_stage_takes_each_row_as_the_mix_says_whatever_the_ids(spark):
     ship(spark)
     rows = awkward() + [(None, " ".join(["z"] * 400), "t"), (11, "one two", "u"), (11, "one two", "u"), (11, "three", "s"), (None, "one", "u")]
     docs = awkward_frame(spark, rows)
-    copies = {(r.doc_id, r.source): r.copies for r in mixing.mix(docs).where("size > 0").collect()}
     want = collections.Counter()
-    for i, t, s in rows:
-        if words(t):
-            want[i, t, s] += copies[i, s]
+    for r in mixing.mix(docs).where("size > 0").collect():
+        want[r.doc_id, r.source, r.size] += r.copies
     mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SMALL)
     assert mixed.columns == docs.columns
-    assert collections.Counter((r.doc_id, r.text, r.source) for r in mixed.collect()) == +want
-    assert any(n != 1 for (i, _), n in copies.items() if i is None) and max(want.values()) > 3
+    assert collections.Counter((r.doc_id, r.source, len(words(r.text))) for r in mixed.collect()) == +want
+
+
+def test_sources_of_one_id_or_of_repeated_rows_come_near_their_targets(spark):
+    rows = [(None, f"{'word ' * (i % 7 + 1)}{i}", "none") for i in range(300)] + [(5, "one two three", "again")] * 300 + [(i, "a b c d", "own") for i in range(300)]
+    for parts in (1, 5):
+        got = mixing.mix(awkward_frame(spark, rows).repartition(parts)).collect()
+        for source, most in (("none", 8), ("again", 3), ("own", 4)):
+            mine = [r for r in got if r.source == source]
+            assert len(mine) == 300 and abs(sum(r.taken for r in mine) - mine[0].target) <= most
+        mixed = mixing.repeated(awkward_frame(spark, rows).repartition(parts))
+        assert collections.Counter(r.source for r in mixed.collect()) == collections.Counter(r.source for r in got for _ in range(r.copies))
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "exact_dedup", "near_dedup", "mixing", "packing"])
+def test_stages_with_nulls_in_any_column_and_very_long_texts(spark, none, nulls, name):
+    from tarifa.session import ship
+
+    ship(spark)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, none, SMALL).count() == 0
+    rows = stage(spark, nulls, SMALL).collect()
+    assert len(rows) == {"quality_rules": 0, "exact_dedup": 2, "near_dedup": 2, "mixing": 3, "packing": 4}[name]
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = awkward_frame(spark, [(1, long, "s"), (2, long.upper(), "s"), (3, "short", "t")])
+    got = stage(spark, docs, SMALL)
+    if name == "packing":
+        assert sum(r.length for r in got.where("doc_id = 1").collect()) > 60_000
+    else:
+        assert max(len(r.text) for r in got.collect()) == len(long) and got.columns == docs.columns
 
 
 def brute_clean(text):
@@ -133,19 +160,22 @@ def test_failing_lines_leave_the_text(spark, tmp_path):
     got = collections.Counter(r.clean_text for r in rules.line_rules(docs).collect())
     assert got == collections.Counter(None if t is None else brute_clean(t) for t in texts)
     want = [(i % 3 or None, brute_clean(t)) for i, t in enumerate(texts) if t and rules.judge(t.encode())[-1]]
-    kept = stages.cleaned(docs)
+    kept = stages.quality_rules(docs)
     assert kept.columns == docs.columns and len(want) == 4
     assert collections.Counter((r.doc_id, r.text, r.n_chars) for r in kept.collect()) == collections.Counter((i, t, len(t)) for i, t in want)
     small = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     want = [brute_clean(t) for t in small if t and rules.judge(t.encode())[-1]]
-    assert collections.Counter(r.text for r in stages.cleaned(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()) == collections.Counter(want)
+    assert collections.Counter(r.text for r in stages.quality_rules(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()) == collections.Counter(want)
     assert sum(t not in small for t in want) == 3
 
 
-def test_run_takes_failing_lines_out(spark, tmp_path, monkeypatch):
+def test_run_hands_on_clean_texts_and_leaves_only_its_result(spark, monkeypatch):
+    from tarifa.llm import shared
+
     seen = {}
-    stage = lambda name: lambda spark, docs, sf_dir: seen.setdefault(name, docs)
-    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, f if n == "quality_rules" else stage(n)) for n, f in corpus_pipeline.STAGES])
-    corpus_pipeline.run(spark, SMALL)
-    texts = [r.text for r in seen["exact_dedup"].collect()]
-    assert texts and all(t == brute_clean(t) for t in texts)
+    last = lambda spark, docs, sf_dir: seen.setdefault("rows", docs.collect()) and docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:2], ("last", last)])
+    before = set(shared._STORED)
+    assert corpus_pipeline.run(spark, SMALL).count() == len(seen["rows"]) > 0
+    assert all(r.text == brute_clean(r.text) for r in seen["rows"])
+    assert len(set(shared._STORED) - before) == 1
