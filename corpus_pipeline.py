@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tarifa.llm import stages
-from tarifa.llm.shared import shared_folder
+from tarifa.llm.shared import _STORED, new_path, remove_stored
 from tarifa.session import ship
 
 
@@ -28,18 +26,17 @@ STAGES = [
     ("mixing", _stage(stages.mixture)),
     ("packing", _stage(stages.packed)),
 ]
-#: What run() does in place of a stage: the quality rules take failing lines out as well. The stage itself returns whole rows, as its test has it.
-WHOLE = {"quality_rules": _stage(stages.cleaned)}
 #: The near-copy and packing stages are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, those of WHOLE in their place, each written to the shared folder and read again."""
+    """The stages in turn, each written to the shared folder and read again; what a stage has left there goes once it is written."""
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(_STORED)
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        WHOLE.get(name, stage)(spark, docs, sf_dir).write.parquet(path)
+        path = new_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        remove_stored(spark, keep=before | {path})
     return docs
