@@ -1,9 +1,10 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
-The index is keyed by 64 bits of the normalised text's SHA-256. Its directory starts with one bucket and doubles while
-a bucket holds more than BUCKET_BYTES of text, up to 2**DEPTH slots; past that depth a bucket just gets longer. Each task
-sends one entry for the equal texts it has seen, to the owner of the key's bucket. Owners read a bucket's entries in key
-order, chain those that share a key and compare their bytes. Directory and index are tables in the shared folder.
+The index is keyed by 64 bits of the normalised text's SHA-256. A key that one row has needs no comparison; the others are indexed.
+Their directory starts with one bucket and doubles while a bucket holds more than BUCKET_BYTES of text and more than one key: LEVEL
+doublings are worked out at a time, from bytes by key prefix, and go on below the prefixes that are overfull still, until nothing is. Each
+task sends one entry for the equal texts it has seen. Owners get ranges of keys, made up of whole buckets, read the entries in key order,
+chain those that share a key and compare their bytes. Directory and index are tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -12,19 +13,24 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.shared import forget, join_small, stored
+from tarifa.llm.shared import BROADCAST_ROWS, forget, join_small, stored
 
-BUCKET_BYTES, DEPTH = 32 << 20, 16
+#: Bytes of text that a bucket, an owner's range, and a task between two sendings hold.
+BUCKET_BYTES, OWNER_BYTES, HELD_BYTES = 4 << 20, 16 << 20, 16 << 20
+#: Doublings that are worked out at a time; the key has 64 bits.
+LEVEL = 16
 #: Groups with more rows than this are joined by broadcast or salt: one of them may hold a third of all rows.
 HOT_GROUP = 10_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ROWS = "doc_id bigint, key bigint, text_sha256 string, n_bytes bigint"
-_ENTRIES = "slot int, key bigint, text_sha256 string, text binary, keep_id bigint, group_size bigint"
+_ENTRIES = "key bigint, text_sha256 string, text binary, keep_id bigint, group_size bigint"
+_SLOTS = "slot bigint, first bigint, local int, owner int, overfull boolean"
 _INDEX = "slot int, key bigint, chain int, text_sha256 string, keep_id bigint, group_size bigint"
 
 
@@ -49,7 +55,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "text_sha256", "n_bytes"])
 
 
-def directory(sizes: dict[int, int], bucket_bytes: int = BUCKET_BYTES, depth: int = DEPTH) -> np.ndarray:
+def directory(sizes: dict[int, int], bucket_bytes: int = BUCKET_BYTES, depth: int = LEVEL) -> np.ndarray:
     """The bucket of each of the 2**depth key prefixes, by splitting overfull buckets; sizes: bytes by prefix."""
     held = np.zeros(1 << depth, np.int64)
     held[list(sizes)] = list(sizes.values())
@@ -67,29 +73,71 @@ def directory(sizes: dict[int, int], bucket_bytes: int = BUCKET_BYTES, depth: in
     return bucket_of
 
 
-def _entries(depth: int):
-    """Equal texts of a batch become one entry: chained by key, compared byte by byte."""
+def _split(depth: int, level: int, bucket_bytes: int, owner_bytes: int):
+    """The buckets below one prefix of `depth` bits, from its slots of `level` bits more."""
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[int, list[list]] = {}
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), _texts(batch)):
-                digest = hashlib.sha256(text).digest()
-                chain = seen.setdefault(_key(digest), [])
-                entry = next((x for x in chain if x[1] == text), None)
-                if entry is None:
-                    chain.append([digest.hex(), text, doc_id, 1])
-                else:
-                    entry[2] = doc_id if entry[2] is None else max(entry[2], doc_id if doc_id is not None else entry[2])
-                    entry[3] += 1
-            keys = [k for k, chain in seen.items() for _ in chain]
-            flat = [x for chain in seen.values() for x in chain]
-            slots = [(k & (2**64 - 1)) >> (64 - depth) for k in keys]
-            columns = [pa.array(slots, pa.int32()), pa.array(keys, pa.int64())]
-            columns += [pa.array([x[i] for x in flat], t) for i, t in enumerate([pa.string(), pa.binary(), pa.int64(), pa.int64()])]
-            yield pa.RecordBatch.from_arrays(columns, ["slot", "key", "text_sha256", "text", "keep_id", "group_size"])
+    def split(rows: pd.DataFrame) -> pd.DataFrame:
+        slot, held = rows["slot"].to_numpy(), rows["bytes"].to_numpy()
+        base = (int(slot.min()) >> level) << level if depth else -(1 << (level - 1))
+        own = (slot - base).astype(np.int64)
+        bucket_of = directory(dict(zip(own.tolist(), held.tolist())), bucket_bytes, level)
+        first = np.searchsorted(bucket_of, bucket_of[own])
+        wide = np.searchsorted(bucket_of, bucket_of[own], "right") - first
+        sums = np.zeros(len(bucket_of) + 1, np.int64)
+        np.add.at(sums, own + 1, held)
+        owner = np.cumsum(sums)[first] // owner_bytes
+        shift = np.int64(64 - depth - level)
+        return pd.DataFrame({"slot": slot, "first": (first + base) << shift, "local": depth + level - np.log2(wide).astype(int), "owner": owner, "overfull": (wide == 1) & (held > bucket_bytes) & (rows["keys"].to_numpy() > 1)})
 
-    return sent
+    return split
+
+
+def buckets(sizes: DataFrame, bucket_bytes: int = BUCKET_BYTES, level: int = LEVEL) -> list[tuple[int, DataFrame]]:
+    """The directory of keys (key, bytes), a row a key: for each depth a table of its slots' buckets, as their first key and local depth.
+
+    A slot that is overfull at one depth is split again in the next table. Keys are read as signed numbers, so prefixes are in their order.
+    """
+    found, depth, left = [], 0, sizes
+    while True:
+        fine = depth + level
+        parent = F.shiftright("key", 64 - depth) if depth else F.lit(0).cast("long")
+        sums = left.groupBy(parent.alias("parent"), F.shiftright("key", 64 - fine).alias("slot")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("keys"))
+        table = stored(sums.groupBy("parent").applyInPandas(_split(depth, level, bucket_bytes, max(OWNER_BYTES, bucket_bytes)), _SLOTS), f"dedup-directory{fine}")
+        found.append((fine, table))
+        over = table.where("overfull").select("slot")
+        if fine + level > 64 or not over.limit(1).count():
+            return found
+        left = join_small(left.withColumn("slot", F.shiftright("key", 64 - fine)), stored(over, "dedup-overfull"), ["slot"]).drop("slot")
+        depth = fine
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal texts of a task become one entry, as long as what it holds is small: chained by key, compared byte by byte."""
+    forget()
+    seen: dict[int, list[list]] = {}
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        flat = [x for chain in seen.values() for x in chain]
+        columns = [pa.array([k for k, chain in seen.items() for _ in chain], pa.int64())]
+        columns += [pa.array([x[i] for x in flat], t) for i, t in enumerate([pa.string(), pa.binary(), pa.int64(), pa.int64()])]
+        return pa.RecordBatch.from_arrays(columns, ["key", "text_sha256", "text", "keep_id", "group_size"])
+
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), _texts(batch)):
+            digest = hashlib.sha256(text).digest()
+            chain = seen.setdefault(_key(digest), [])
+            entry = next((x for x in chain if x[1] == text), None)
+            if entry is None:
+                chain.append([digest.hex(), text, doc_id, 1])
+                held += len(text)
+            else:
+                entry[2] = doc_id if entry[2] is None else max(entry[2], doc_id if doc_id is not None else entry[2])
+                entry[3] += 1
+        if held > HELD_BYTES:
+            yield flush()
+            seen, held = {}, 0
+    yield flush()
 
 
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,28 +169,36 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows([x[:6] for x in chain])
 
 
-def index(docs: DataFrame, rows: DataFrame, bucket_bytes: int = BUCKET_BYTES, depth: int = DEPTH) -> DataFrame:
-    """The index: bucket, key, place in the chain, text_sha256, keep_id, group_size of every different text."""
-    spark = docs.sparkSession
-    prefix = F.shiftrightunsigned("key", 64 - depth).cast("int")
-    sizes = {r.slot: r.bytes for r in rows.groupBy(prefix.alias("slot")).agg(F.sum("n_bytes").alias("bytes")).collect()}  # 2**depth rows at most
-    bucket_of = directory(sizes, bucket_bytes, depth)
-    slots = spark.createDataFrame([(i, int(b)) for i, b in enumerate(bucket_of) if i in sizes], "slot int, bucket int")
-    slots = stored(slots, "dedup-directory")
-    entries = docs.select("doc_id", "text").mapInArrow(_entries(depth), _ENTRIES)
-    owners = entries.join(F.broadcast(slots), "slot").repartition("bucket").sortWithinPartitions("bucket", "key")
-    return stored(owners.select("slot", "key", "text_sha256", "text", "keep_id", "group_size").mapInArrow(_owned, _INDEX), "dedup-index")
+def index(docs: DataFrame, rows: DataFrame, bucket_bytes: int = BUCKET_BYTES, level: int = LEVEL) -> DataFrame:
+    """The index of keys that several of rows (key, n_bytes) have: slot, key, place in the chain, text_sha256, keep_id, group_size of every different text.
 
-
-def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, depth: int = DEPTH) -> DataFrame:
+    Where few keys are shared, only their texts travel; beyond BROADCAST_ROWS such keys all texts do, and those of single rows are indexed too.
+    """
+    several = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).where("n > 1").drop("n"), "dedup-several")
+    if several.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        sizes, entries = several, docs.select("doc_id", "text").mapInArrow(_entries, _ENTRIES).join(F.broadcast(several), "key", "left_semi")
+    else:
+        sizes, entries = rows.groupBy("key").agg(F.sum("n_bytes").alias("bytes")), docs.select("doc_id", "text").mapInArrow(_entries, _ENTRIES)
+    (fine, table), *deeper = buckets(sizes, bucket_bytes, level)
+    placed = join_small(entries.withColumn("slot", F.shiftright("key", 64 - fine)), table.select("slot", "first", "owner"), ["slot"]).withColumnRenamed("slot", "top")
+    for fine, table in deeper:
+        table = table.select("slot", F.col("first").alias("f"), F.col("owner").alias("o"))
+        placed = join_small(placed.withColumn("slot", F.shiftright("key", 64 - fine)), table, ["slot"], "left").drop("slot")
+        placed = placed.withColumns({"first": F.coalesce("f", "first"), "owner": F.when(F.col("o").isNull(), F.col("owner")).otherwise(F.hash("top", "o"))}).drop("f", "o")
+    owners = placed.repartition("owner").sortWithinPartitions("owner", "first", "key")
+    return stored(owners.select(F.col("top").cast("int").alias("slot"), "key", "text_sha256", "text", "keep_id", "group_size").mapInArrow(_owned, _INDEX), "dedup-index")
+
+
+def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, level: int = LEVEL) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text).
 
-    Texts are equal when identical after lower-casing A-Z; null counts as empty, and empty texts are equal. The largest
-    doc_id of a group stays; a null one is less than any. Repeated rows with that doc_id count in group_size and are all
-    marked as kept. An empty table gives an empty result; extra columns are not read.
+    Texts are equal when identical after lower-casing A-Z, compared whole; null counts as empty, and empty texts are equal. A very long
+    text is one entry of a bucket, however large. The largest doc_id of a group stays; a null one is less than any. Repeated rows with
+    that doc_id count in group_size and are all marked as kept. An empty table gives an empty result; extra columns are not read.
+    level (4, 8 or 16) is how many doublings of the directory are worked out at a time; it doesn't change results.
     """
     rows = stored(docs.select("doc_id", "text").mapInArrow(_keyed, _ROWS), "dedup-keys")
-    found = index(docs, rows, bucket_bytes, depth).where("group_size > 1").select("text_sha256", "keep_id", "group_size")
+    found = index(docs, rows, bucket_bytes, level).where("group_size > 1").select("text_sha256", "keep_id", "group_size")
     hot = stored(found.where(F.col("group_size") > HOT_GROUP).withColumnsRenamed({"keep_id": "hot_keep", "group_size": "hot_size"}), "dedup-hot")
     rows = join_small(rows.drop("key", "n_bytes"), hot, ["text_sha256"], "left")
     rows = rows.withColumn("cold", F.when(F.col("hot_size").isNull(), F.col("text_sha256")).otherwise(F.concat(F.lit("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(4096)).cast("string"))))
