@@ -2,8 +2,9 @@
 
 A text is a bag of passages of PASSAGE words. Each passage is encoded from its characters and words; gated attention, learned
 from the labels of whole documents, weighs the encodings, and their weighted sum is scored. Every passage of every
-text counts. The model is fitted on the driver, on at most TRAINING labelled documents: the first by hash of those outside
-the held-out fifth. No label, language, source or id is an input.
+text counts. The model is fitted on the driver, on a bounded sample: the first TRAINING labelled documents by hash of those outside the
+held-out fifth, as far as TRAINING_PASSAGES passages go, a document having DOCUMENT_PASSAGES at most, evenly spaced over its whole text. No
+label, language, source or id is an input.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarifa.llm.shared import blocks, hashes, rolling, utf8, word_ranges
+from tarifa.llm.shared import WORD, blocks, hashes, rolling, utf8, word_ranges
 
-PASSAGE, TRAINING, TRAINING_PASSAGES, THRESHOLD = 64, 4_000, 60_000, 0.3
+PASSAGE, TRAINING, TRAINING_PASSAGES, DOCUMENT_PASSAGES, THRESHOLD = 64, 4_000, 60_000, 512, 0.3
 BLOCK_BYTES = 2 << 20
 #: Hashed pairs of neighbouring bytes, after the plain features.
 PAIRS = 48
@@ -100,6 +101,18 @@ def _forward(model: dict, x: np.ndarray, before: np.ndarray) -> dict:
     return {"h": h, "v": v, "u": u, "weight": weight, "z": z, "logit": logit, "score": 1 / (1 + np.exp(-np.clip(logit, -30, 30)))}
 
 
+def gradients(model: dict, x: np.ndarray, before: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict:
+    """Of the weighted cross-entropy of documents, by what is learned."""
+    f, n = _forward(model, x, before), np.diff(before)
+    g = (f["score"] - labels) * weight
+    gz = np.repeat(g[:, None] * model["c"], n, axis=0)
+    ga = (gz * f["h"]).sum(1)
+    ge = f["weight"] * (ga - np.repeat(np.add.reduceat(f["weight"] * ga, before[:-1]), n))
+    gv, gu = ge[:, None] * model["a"] * f["u"] * (1 - f["v"] ** 2), ge[:, None] * model["a"] * f["v"] * f["u"] * (1 - f["u"])
+    gh = (f["weight"][:, None] * gz + gv @ model["V"].T + gu @ model["U"].T) * (1 - f["h"] ** 2)
+    return {"W": x.T @ gh, "b": gh.sum(0), "V": f["h"].T @ gv, "U": f["h"].T @ gu, "a": (f["v"] * f["u"]).T @ ge, "c": f["z"].T @ g, "d": np.array([g.sum()])}
+
+
 def fit(x: np.ndarray, before: np.ndarray, labels: np.ndarray, width: int = 32, gates: int = 16, epochs: int = 14, seed: int = 7) -> dict:
     """The model, by Adam on whole documents."""
     rng = np.random.default_rng(seed)
@@ -121,15 +134,7 @@ def fit(x: np.ndarray, before: np.ndarray, labels: np.ndarray, width: int = 32,
             rows = np.concatenate([np.arange(before[d], before[d + 1]) for d in docs])
             own = np.concatenate([[0], np.cumsum([before[d + 1] - before[d] for d in docs])])
             xs = x[rows]
-            f = _forward(model, xs, own)
-            n = np.diff(own)
-            g = (f["score"] - labels[docs]) * balance[docs] / len(docs)
-            gz = np.repeat(g[:, None] * model["c"], n, axis=0)
-            ga = (gz * f["h"]).sum(1)
-            ge = f["weight"] * (ga - np.repeat(np.add.reduceat(f["weight"] * ga, own[:-1]), n))
-            gv, gu = ge[:, None] * model["a"] * f["u"] * (1 - f["v"] ** 2), ge[:, None] * model["a"] * f["v"] * f["u"] * (1 - f["u"])
-            gh = (f["weight"][:, None] * gz + gv @ model["V"].T + gu @ model["U"].T) * (1 - f["h"] ** 2)
-            grads = {"W": xs.T @ gh, "b": gh.sum(0), "V": f["h"].T @ gv, "U": f["h"].T @ gu, "a": (f["v"] * f["u"]).T @ ge, "c": f["z"].T @ g, "d": np.array([g.sum()])}
+            grads = gradients(model, xs, own, labels[docs], balance[docs] / len(docs))
             t += 1
             for k in learned:
                 grad = grads[k] + 1e-4 * model[k]
@@ -144,43 +149,50 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        offsets, data = utf8(batch.column("text"))
-        found = []
-        for a, b in blocks(offsets, BLOCK_BYTES):
-            x, before = encode(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-            found += [x[before[i] : before[i + 1]].tobytes() for i in range(b - a)]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], ["label", "x"])
+def _encoded(most: int):
+    """Encodings of each text's passages, `most` of them where there are more."""
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = utf8(batch.column("text"))
+            found = []
+            for a, b in blocks(offsets, BLOCK_BYTES):
+                x, before = encode(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
+                for i, j in zip(before, before[1:]):
+                    found.append(x[np.unique(np.linspace(i, j - 1, min(most, j - i)).round().astype(int))].tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "label", "print")), pa.array(found, pa.binary())], ["doc_id", "label", "print", "x"])
+
+    return encoded
+
 
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING, most_passages: int = TRAINING_PASSAGES, each: int = DOCUMENT_PASSAGES) -> dict:
+    """Fit on the first `most` labelled documents by hash of id and text, as far as `most_passages` go; `each` is the most of one document.
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING, most_passages: int = TRAINING_PASSAGES) -> dict:
-    """Fit on the first `most` labelled documents by hash of the id, as far as `most_passages` go."""
+    A doc_id with several texts gives each of them; repeated rows and null ids are fitted once or not at all; of several labels the greatest holds.
+    The driver gets at most `most_passages` encodings.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # `most` rows at most
-    size = F.coalesce(F.length("text"), F.lit(0))
-    kept = texts.where(size < 6 * PASSAGE * 512).select("text", "label")
-    rows = kept.mapInArrow(_encoded, "label double, x binary").limit(2 * most).collect()
-    bags, seen = [], 0
-    for row in sorted(rows, key=lambda r: (r.label, bytes(r.x))):
-        bags.append((row.label, np.frombuffer(row.x, np.float32).reshape(-1, FEATURES)))
-    order = np.random.default_rng(3).permutation(len(bags))
-    chosen = []
-    for i in order:
-        seen += len(bags[i][1])
-        if seen > most_passages:
-            break
-        chosen.append(bags[i])
-    x = np.concatenate([b for _, b in chosen]) if chosen else np.zeros((0, FEATURES), np.float32)
-    before = np.concatenate([[0], np.cumsum([len(b) for _, b in chosen])]).astype(np.int64)
-    return fit(x, before, np.array([label for label, _ in chosen]))
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("print")).join(F.broadcast(sample), "doc_id")  # `most` rows at most
+    passages = F.least(F.greatest(F.ceil(F.regexp_count("text", F.lit(WORD)) / PASSAGE), F.lit(1)), F.lit(each))
+    order = [F.xxhash64("doc_id"), "doc_id", "print"]
+    first = texts.select("doc_id", "label", "print", passages.alias("passages")).distinct().orderBy(*order).limit(most)
+    chosen = first.withColumn("so_far", F.sum("passages").over(Window.orderBy(*order))).where(F.col("so_far") <= most_passages)  # `most` rows
+    texts = texts.join(F.broadcast(chosen.select("doc_id", "print")), ["doc_id", "print"])
+    found = texts.select("doc_id", "label", "print", "text").mapInArrow(_encoded(each), "doc_id bigint, label double, print bigint, x binary")
+    rows = found.groupBy("doc_id", "print").agg(F.first("label").alias("label"), F.first("x").alias("x")).collect()  # most_passages encodings
+    rows.sort(key=lambda r: (r.doc_id, r.print))
+    bags = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
+    x = np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32)
+    before = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
+    return fit(x, before, np.array([r.label for r in rows]))
 
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text); nothing is shuffled.
 
-    Null and empty texts are one passage without words and get a score like any other. Repeated rows are scored alike; a null
+    Null and empty texts are one passage without words and get a score like any other; a very long text is scored over all its passages. Repeated rows are scored alike; a null
     doc_id stays null and isn't held out; an empty table gives an empty result; extra columns are not read.
     """
 
