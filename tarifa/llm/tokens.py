@@ -5,10 +5,11 @@ there and doesn't merge with the token before it. So a deterministic transducer
 character: a state holds the pieces that may still grow and the last tokens where they begin, a transition
 carries how many tokens the text has gained or lost. States are made when a text first needs them and live in numpy tables.
 
-A state is forgotten where a space follows anything else, and after a character that no piece holds. Texts are
-laid end to end and cut into chunks, which run in lock step from their first such place; that makes a chunk's state
-map constant. The scan over chunks hands each chunk's end state to the next one's head; a chunk without such a place
-waits for the state that enters it.
+A state is forgotten where a space follows anything else, and after a character that no piece holds. Texts are laid end to end and cut
+into chunks, whose state maps are found in lock step: that of a chunk with such a place is constant; that of any other is known for one
+state that may enter it, the one to which the characters before the chunk lead. A parallel prefix scan composes the maps pairwise,
+in as many rounds as the number of chunks has binary digits. Where a composed map meets a state that the next one isn't known for, that
+one runs again, up to where it meets its earlier course, and the scan is repeated.
 """
 
 from __future__ import annotations
@@ -28,6 +29,27 @@ COLUMNS = 128
 #: States after which a worker starts over with empty tables.
 MOST_STATES = 300_000
 CHUNK, BLOCK_BYTES = 512, 2 << 20
+#: Characters before a chunk that lead to the state that may enter it.
+WARM = 32
+#: Rounds after which maps are found for all states that are likely to enter, and how many those may be.
+ROUNDS, MOST_KNOWN = 4, 64
+
+
+def _scan(enter: np.ndarray, leave: np.ndarray, constant: np.ndarray) -> np.ndarray:
+    """The state after each chunk, from composing the chunks' maps pairwise; -1 where a map isn't known for the state that enters it.
+
+    A chunk's map sends `enter` to `leave`, and every state if it is constant. The first chunk's is taken as constant.
+    """
+    leave, constant, step = leave.copy(), constant.copy(), 1
+    constant[:1] = True
+    while step < len(leave):
+        met = constant[step:] | (leave[:-step] == enter[step:])
+        meets = np.where(constant[step:], leave[step:], np.where(met, leave[step:], -1))
+        first, whole = enter.copy(), constant.copy()
+        first[step:] = enter[:-step]
+        whole[step:] |= constant[:-step]
+        leave, enter, constant, step = np.concatenate([leave[:step], meets]), first, whole, 2 * step
+    return leave
 
 
 class Transducer:
@@ -149,31 +171,87 @@ class Transducer:
         ends = np.minimum(begins + CHUNK, total)
         places = np.flatnonzero(reset)
         first = np.append(places, total)[np.searchsorted(places, begins)]
-        heads = np.minimum(first, ends)  # a chunk's state map is constant from its head's end on
-        leaving = np.full(len(begins), -1, np.int64)
+        course = np.full(total, -1, np.int32)  # the state after each character, as last run
 
-        def run(chunks: np.ndarray, at: np.ndarray, stop: np.ndarray, states: np.ndarray) -> None:
+        def run(at: np.ndarray, stop: np.ndarray, states: np.ndarray, again: bool = False) -> None:
+            """Lanes in lock step; when run `again`, a lane ends where it meets its earlier course."""
             order = np.argsort(at - stop, kind="stable")  # the longest first: lanes end from the back
-            chunks, at, states = chunks[order], at[order], states[order]
-            left = (stop[order] - at).astype(np.int64)
+            at, states, left = at[order], states[order], (stop - at)[order]
             for j in range(int(left[0]) if len(left) else 0):
                 alive = int(np.searchsorted(-left, -j, "left"))
+                if not alive:
+                    break
                 here = at[:alive] + j
                 now = np.where(reset[here], self.fresh, states[:alive])
                 states[:alive], gained[here] = self.moves(now, chars[here], columns[here])
-            leaving[chunks] = states
-
-        whole = np.flatnonzero(first < ends)
-        run(whole, first[whole], ends[whole], np.full(len(whole), self.fresh, np.int64))
-        entering = np.flatnonzero((heads > begins) & (begins > 0))
-        waiting = entering
-        while waiting.size:
-            ready = waiting[leaving[waiting - 1] >= 0]
-            own = leaving[ready].copy()
-            run(ready, begins[ready], heads[ready], leaving[ready - 1].copy())
-            leaving[ready] = np.where(own >= 0, own, leaving[ready])
-            waiting = np.setdiff1d(waiting, ready)
-        return gained
+                if again:
+                    going = np.flatnonzero(course[here] != states[:alive])
+                    course[here] = states[:alive]
+                    if len(going) < alive:
+                        at, states, left = at[going], states[going], left[going]
+                else:
+                    course[here] = states[:alive]
+
+        constant = first < ends
+        run(first[constant], ends[constant], np.full(int(constant.sum()), self.fresh, np.int64))
+        heads = np.where(constant, first, ends)  # up to here a chunk depends on what enters it
+        enter = np.full(len(begins), self.fresh, np.int64)
+        unsure = np.flatnonzero(heads > begins)
+        before = ends[unsure - 1] - 1  # chunk 0 begins with a text, so it isn't unsure
+        exact = course[before] >= 0
+        enter[unsure[exact]] = course[before[exact]]
+        guess = unsure[~exact]
+        lead = np.full(len(guess), self.fresh, np.int64)
+        for j in range(-WARM, 0):
+            here = np.maximum(begins[guess] + j, 0)
+            lead, _ = self.moves(np.where(reset[here], self.fresh, lead), chars[here], columns[here])
+        enter[guess] = lead
+        run(begins[unsure], heads[unsure], enter[unsure])
+        rounds = 0
+        while True:
+            leave = course[ends - 1].astype(np.int64)
+            reached = _scan(enter, leave, constant)[unsure - 1]
+            entering = np.where(reached >= 0, reached, leave[unsure - 1])  # beyond an unknown one: what is likely to enter
+            wrong = np.flatnonzero(entering != enter[unsure])
+            if not len(wrong):
+                return gained
+            rounds += 1
+            if rounds % ROUNDS == 0:  # a text that never falls into step, as one of few characters
+                entering = self.entering(chars, columns, begins, ends, leave, constant)[unsure]
+                wrong = np.flatnonzero(entering != enter[unsure])
+            enter[unsure[wrong]] = entering[wrong]
+            run(begins[unsure[wrong]], heads[unsure[wrong]], entering[wrong], again=True)
+
+    def entering(self, chars: np.ndarray, columns: np.ndarray, begins: np.ndarray, ends: np.ndarray, leave: np.ndarray, constant: np.ndarray) -> np.ndarray:
+        """The state that enters each chunk, from maps that are known for all states seen at chunks' ends, as long as those are few."""
+        known = np.unique(leave)
+        open_ = np.flatnonzero(~constant)
+        while True:
+            maps = np.repeat(np.searchsorted(known, leave)[:, None], len(known), 1)  # of places in `known`
+            states = np.tile(known, len(open_))
+            at = np.repeat(begins[open_], len(known))
+            for j in range(CHUNK):
+                here = at + j
+                live = here < np.repeat(ends[open_], len(known))
+                moved, _ = self.moves(states, chars[np.minimum(here, len(chars) - 1)], columns[np.minimum(here, len(chars) - 1)])
+                states = np.where(live, moved, states)
+            more = np.union1d(known, states)
+            if len(more) == len(known) or len(more) > MOST_KNOWN:
+                break
+            known = more
+        states = states.reshape(-1, len(known))
+        place = np.searchsorted(known, states)
+        met = known[np.minimum(place, len(known) - 1)] == states
+        maps[open_] = np.where(met, place, -1)
+        step = 1
+        while step < len(maps):  # map n becomes map n after map n - step
+            before, after = maps[:-step], maps[step:]
+            made = np.where(before >= 0, np.take_along_axis(after, np.maximum(before, 0), 1), -1)
+            made[constant[step:]] = after[constant[step:]]
+            maps = np.concatenate([maps[:step], made])
+            step *= 2
+        found = maps[:-1, 0]  # the first chunk begins with a text: all states lead to one
+        return np.concatenate([[self.fresh], np.where(found >= 0, known[np.maximum(found, 0)], leave[:-1])])
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""

@@ -89,6 +89,36 @@ def test_quality_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_training_is_bounded_and_reads_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, before, labels: seen.append((len(x), np.diff(before).tolist(), labels.tolist())))
+    word = lambda n: " ".join(f"w{i}" for i in range(n))
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5][:12]
+    docs = [(i, word(64 * 40), "x") for i in ids[:10]] + [(ids[0], "another text", "x"), (ids[10], None, "x"), (ids[11], word(70_000), "x"), (ids[11], word(70_000), "x"), (None, "lost", "x")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in ids] + [(ids[0], None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    for parts in (1, 3):
+        quality.train(docs.repartition(parts), labels, each=20)
+        quality.train(docs.repartition(parts), labels, most_passages=100, each=20)
+    assert seen[0] == seen[2] and seen[1] == seen[3]
+    assert sorted(seen[0][1]) == [1, 1] + [20] * 11 and 0 < seen[1][0] <= 100
+
+
+def test_the_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(1)
+    before, labels = np.array([0, 3, 4, 9]), np.array([1.0, 0.0, 1.0])
+    x = rng.normal(size=(9, 8))
+    model = {"W": rng.normal(size=(8, 5)), "b": rng.normal(size=5), "V": rng.normal(size=(5, 4)), "U": rng.normal(size=(5, 4)), "a": rng.normal(size=4), "c": rng.normal(size=5), "d": np.zeros(1)}
+    weight = np.array([0.5, 2.0, 1.0]) / 3
+    loss = lambda m: -(weight * (labels * np.log(f := quality._forward(m, x, before)["score"]) + (1 - labels) * np.log(1 - f))).sum()
+    for name, grad in quality.gradients(model, x, before, labels, weight).items():
+        for at in np.ndindex(model[name].shape):
+            more, less = ({k: v.copy() for k, v in model.items()} for _ in range(2))
+            more[name][at] += 1e-6
+            less[name][at] -= 1e-6
+            assert grad[at] == pytest.approx((loss(more) - loss(less)) / 2e-6, abs=1e-6)
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     before = np.array([0, 3, 4, 9])
@@ -187,6 +217,48 @@ def test_personal_data(spark):
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(s.startswith(k) for s in want) for k in PATTERNS]
 
 
+def test_further_spans_are_those_that_were_planted(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 26))) for _ in range(n))
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    made = {
+        "secret": lambda: ('token = "', key()), "iban": lambda: ("transfer to account ", "DE89 3704 0044 0532 0130 00"), "ssn": lambda: ("social security ", f"{r.randint(100, 600)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"),
+        "birth": lambda: ("born on ", f"19{r.randint(10, 99)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}"), "name": lambda: ("Dear ", "Mr. John Smith"), "address": lambda: ("lives at ", f"{r.randint(1, 900)} Old Mill Road"),
+    }
+    texts, want = [], {}
+    for i in range(240):
+        text = prose(10)
+        if i % 2:
+            kind = sorted(made)[i // 2 % 6]
+            cue, value = made[kind]()
+            want[i] = f"{kind}:{len(text) + 1 + len(cue)}:{len(text) + 1 + len(cue) + len(value)}"
+            text = f"{text} {cue}{value}\" {prose(10)}"
+        texts.append(f"{text}, 9870157079875996 12-34 999.1.1.1 x")
+    rows = pii.find_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r.doc_id: r.spans for r in rows if r.spans}
+    assert found == want and all(r.n_spans == (r.doc_id in want) for r in rows)
+
+
+def test_a_further_span_that_touches_a_base_span_is_dropped(spark):
+    secret = "ab12" * 6
+    texts = [f'token = "{secret}"'] * 30 + [f'token = "{secret}@mail.com"', f'token = "{secret}" a@b.com', f"{secret}@{secret}.com"]
+    got = {r.doc_id: r.spans for r in pii.find_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == "secret:9:33" and got[30] == "email:9:42" and got[31] == "email:35:42,secret:9:33" and got[32] == "email:0:53"
+
+
+def test_many_spans_in_one_text_take_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (1_000, 30_000):
+        docs = spark.createDataFrame([(1, " ".join(f"u{i}@mail.com 10.0.0.{i % 300}" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        row = pii.find_personal(docs).first()
+        took.append(time.time() - began)
+        assert row.n_email == n and row.n_ip == sum(i % 300 < 256 for i in range(n))
+    assert took[1] < 30 * took[0] + 10
+
+
 def test_reliabilities_follow_the_votes():
     prior, tables = pii.reliabilities({"++0": 80, "+-0": 5, "--0": 100, "-+0": 5, "000": 3})
     assert pii.posterior("++0", prior, tables) > 0.9 > 0.1 > pii.posterior("--0", prior, tables)
@@ -211,14 +283,30 @@ def test_a_collision_is_chained():
     assert out == [(0, 5, 0, "s1", 9, 3), (0, 5, 1, "s2", 2, 1), (0, 6, 0, "s3", 3, 1)]
 
 
-@pytest.mark.parametrize("hot", [10_000, 1])
-def test_exact_duplicates(odd, hot, monkeypatch):
+def test_directory_doubles_until_nothing_is_overfull(spark):
+    r = random.Random(6)
+    sizes = {r.randint(-(2**63), 2**63 - 1): r.randint(1, 9) for _ in range(60)} | {(5 << 58) + i: 9 for i in range(8)} | {77: 500}
+    found = exact.buckets(spark.createDataFrame(list(sizes.items()), "key long, bytes long"), bucket_bytes=20, level=4)
+    assert len(found) > 2  # beyond one level
+    held = collections.Counter()
+    for key, size in sizes.items():
+        at = [r for fine, table in found for r in table.where(f"slot = {key >> (64 - fine)}").collect()][-1]
+        assert not at.overfull and at.first <= key < at.first + (1 << (64 - at.local))
+        held[at.first, at.local] += size
+    spans = sorted((first, first + (1 << (64 - local))) for first, local in held)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert all(n <= 20 or sum(k >= f and k < f + (1 << (64 - d)) for k in sizes) == 1 for (f, d), n in held.items())
+
+
+@pytest.mark.parametrize("hot, few, level", [(10_000, 100_000, 16), (1, 0, 4)])
+def test_exact_duplicates(odd, hot, few, level, monkeypatch):
     monkeypatch.setattr(exact, "HOT_GROUP", hot)
+    monkeypatch.setattr(exact, "BROADCAST_ROWS", few)
     texts = {r.doc_id: (r.text or "").translate(LOWER) for r in odd.collect()}
     by_text = collections.defaultdict(list)
     for d, t in texts.items():
         by_text[t].append(d)
-    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact.exact_duplicates(odd, bucket_bytes=1000).collect()}
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact.exact_duplicates(odd, bucket_bytes=1000, level=level).collect()}
     assert got == {d: (max(by_text[t]), len(by_text[t]), d == max(by_text[t]), hashlib.sha256(t.encode()).hexdigest()) for d, t in texts.items()}
 
 
