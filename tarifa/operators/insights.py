@@ -14,12 +14,32 @@ def priced(cover: DataFrame, as_of: datetime, days: int) -> DataFrame:
     return cover.where((F.col("last_priced_at") >= since(as_of, days)) & (F.col("last_priced_cents") > 0))
 
 
+def whole_median(rows: DataFrame, name: str, bits: int = 12) -> DataFrame:
+    """median: one row, the exact median of a whole-number column, null where there is none; no task holds all its values.
+
+    Values are counted by the bits above their last `bits`, and only in the one or two buckets that hold the middle by value.
+    """
+    value = F.col(name)
+    wide = rows.where(value.isNotNull()).groupBy(F.shiftright(value, bits).alias("bucket")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # a row a bucket
+    placed = wide.select("bucket", F.sum("n").over(before).alias("upto"), "n", F.sum("n").over(Window.partitionBy()).alias("total"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    hit = placed.where((F.col("upto") > low) & (F.col("upto") - F.col("n") <= high))
+    inside = rows.select(value.alias("value"), F.shiftright(value, bits).alias("bucket")).join(F.broadcast(hit), "bucket")  # two rows at most
+    counts = inside.groupBy("bucket", "value").agg(F.count("*").alias("m"), F.first("upto").alias("upto"), F.first("n").alias("n"), F.first("total").alias("total"))
+    upto = F.col("upto") - F.col("n") + F.sum("m").over(Window.partitionBy("bucket").orderBy("value"))  # 2 ** bits values at most
+    counts = counts.withColumn("upto", upto)
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("value")))
+    return counts.agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def summary(cover: DataFrame, rollups: DataFrame, as_of: datetime, days: int) -> DataFrame:
     """One row: drops, gaps, median spread, mean confidence, and how fresh the pairs are."""
     day = F.lit((as_of - timedelta(days=days)).date())
     kept = rollups.where(F.col("day") >= day).agg(F.coalesce(F.sum("drops"), F.lit(0)).alias("price_drops"), (F.sum("conf_sum") / F.sum("conf_count")).alias("mean_confidence"))
     by_sku = cover.where(F.col("last_seen_at") >= since(as_of, days)).groupBy("sku").agg(F.count("*").alias("n"), (F.max("last_cents") - F.min("last_cents")).alias("spread"))
-    spread = by_sku.agg(F.count_if(F.col("n") < 3).alias("gaps"), F.coalesce(F.median(F.when(F.col("spread") > 0, F.col("spread"))), F.lit(0.0)).alias("median_spread_cents"))
+    middle = whole_median(by_sku.where("spread > 0"), "spread").select(F.coalesce("median", F.lit(0.0)).alias("median_spread_cents"))
+    spread = by_sku.agg(F.count_if(F.col("n") < 3).alias("gaps")).crossJoin(middle)
     age = F.lit(as_of).cast("long") - F.col("last_seen_any_at").cast("timestamp").cast("long")
     fresh = cover.agg(
         F.count("*").alias("pairs"), F.count_if(age <= 86400).alias("today"), F.count_if((age > 86400) & (age <= 7 * 86400)).alias("this_week"),
@@ -73,16 +93,21 @@ def top_sellers(pairs: DataFrame, products: DataFrame, top: int = 20) -> DataFra
 def trending(pairs: DataFrame, products: DataFrame, each: int = 5) -> DataFrame:
     """Stock that went, by category, with each category's first products."""
     dropped = pairs.groupBy("sku").agg(F.sum("qty_drop").alias("qty_drop")).join(products, "sku")
-    ranked = dropped.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("qty_drop"), "sku")))
-    return ranked.groupBy("category").agg(F.sum("qty_drop").alias("qty_drop"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= each, F.struct("place", "sku")))), lambda x: x["sku"].cast("string")), ",").alias("first_products"))
+    part = F.pmod(F.xxhash64("sku"), F.lit(64))
+    in_part = Window.partitionBy("category", part).orderBy(F.desc("qty_drop"), "sku")
+    first = dropped.withColumn("place", F.row_number().over(in_part)).where(F.col("place") <= each)  # a few of each part of a category
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("qty_drop"), "sku"))).where(F.col("place") <= each)
+    listed = first.groupBy("category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sku"))), lambda x: x["sku"].cast("string")), ",").alias("first_products"))
+    return dropped.groupBy("category").agg(F.sum("qty_drop").alias("qty_drop")).join(listed, "category")
 
 
 def brand_share(pairs: DataFrame, products: DataFrame, top: int = 20) -> DataFrame:
     """Units and revenue by brand; shares are of all brands."""
     brand = F.when(F.coalesce(F.trim("brand"), F.lit("")) == "", "Unknown").otherwise(F.trim("brand"))
     by_brand = pairs.join(products, "sku").groupBy(brand.alias("brand")).agg(F.sum("units").alias("units"), F.sum("revenue").alias("revenue"))
-    total = F.sum("revenue").over(Window.partitionBy())
-    return by_brand.withColumn("share_pct", F.col("revenue") * 100 / total).orderBy(F.desc("revenue"), "brand").limit(top)
+    total = by_brand.agg(F.sum("revenue").alias("total"))
+    rows = by_brand.crossJoin(F.broadcast(total)).withColumn("share_pct", F.col("revenue") * 100 / F.col("total")).drop("total")  # one row
+    return rows.orderBy(F.desc("revenue"), "brand").limit(top)
 
 
 def digest(snaps: DataFrame, as_of: datetime, days: int, least_drop: float = 0.05) -> DataFrame:
@@ -108,11 +133,12 @@ def market_share(newest: DataFrame) -> DataFrame:
 def freshness(cover: DataFrame, stores: DataFrame, as_of: datetime) -> DataFrame:
     """Per store, pairs by age; a store without pairs has zeros."""
     age = F.floor((F.lit(as_of).cast("long") - F.col("last_seen_any_at").cast("timestamp").cast("long")) / 86400)
-    rows = stores.join(cover, "store_id", "left").withColumn("age", age)
-    return rows.groupBy("store_id").agg(
+    counted = cover.withColumn("age", age).groupBy("store_id").agg(
         F.max("last_seen_any_at").alias("newest"), F.count_if(F.col("age") < 1).alias("today"), F.count_if(F.col("age").between(1, 6)).alias("this_week"),
         F.count_if(F.col("age").between(7, 29)).alias("this_month"), F.count_if(F.col("age") >= 30).alias("stale"), F.count("sku").alias("pairs"),
     )
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("today", "this_week", "this_month", "stale", "pairs")]
+    return stores.join(counted, "store_id", "left").select("store_id", "newest", *zero)  # a row a store on both sides
 
 
 def horizon(snaps: DataFrame, stores: DataFrame) -> DataFrame:

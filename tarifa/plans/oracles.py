@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarifa.functions import numbers, text
@@ -69,10 +69,10 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in ("snapshots", "products", "own_products", "stores", "orders", "observations"):
+        if name in ("snapshots", "products", "own_products", "stores", "orders", "observations", "catalogue", "own_catalogue", "store_meta", "links"):
             return getattr(tables, name)(self.spark, self.sf_dir)
         made = {
-            "recent": lambda: rollups.windowed(self.snapshots, AS_OF, DAYS), "latest": lambda: rollups.latest(self.recent), "cover": lambda: rollups.coverage(self.snapshots),
+            "recent": lambda: rollups.windowed(self.snapshots, AS_OF, DAYS), "latest": lambda: rollups.latest(self.recent.drop("sold")), "cover": lambda: rollups.coverage(self.snapshots),
             "rollups": lambda: rollups.daily_rollups(self.snapshots), "daily": lambda: rollups.sales_daily(self.snapshots), "pairs": lambda: rollups.sales_pairs(self.daily, AS_OF, DAYS),
         }
         if name not in made:
@@ -211,7 +211,9 @@ def snapshot_horizon(t):
 @query(SNAPS, """marked AS (SELECT *, lag((cents, qty, in_stock, sold)) OVER (PARTITION BY sku, store_id, crawled_at::DATE ORDER BY crawled_at, seq) AS before FROM snaps)""",
        "SELECT sku, store_id, crawled_at, seq FROM marked WHERE before IS NULL OR before IS DISTINCT FROM (cents, qty, in_stock, sold)")
 def change_only_rows(t):
-    return rollups.changes(t.snapshots).select("sku", "store_id", "crawled_at", "seq")
+    in_time = Window.partitionBy("sku", "store_id").orderBy("crawled_at", "seq")
+    numbered = t.snapshots.withColumn("number", F.row_number().over(in_time))
+    return rollups.changes(numbered).select("sku", "store_id", "crawled_at", F.col("number").alias("seq"))
 
 
 @query(SNAPS, RECENT, """steps AS (SELECT *, sold - lag(sold) OVER (PARTITION BY sku, store_id ORDER BY crawled_at, seq) AS step,
@@ -239,8 +241,9 @@ def store_profile_weekly(t):
     return estimates.weekly(t.snapshots, AS_OF, DAYS)
 
 
-@query(SNAPS, """placed AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY crawled_at DESC, store_id DESC, seq DESC) AS n FROM snaps),
-two AS (SELECT a.sku, a.cents, a.qty, a.in_stock, b.cents AS c, b.qty AS q, b.in_stock AS i FROM placed a JOIN placed b ON a.sku = b.sku AND a.n = 1 AND b.n = 2)""",
+@query(SNAPS, """placed AS (SELECT sku, cents, qty, in_stock, row_number() OVER (PARTITION BY sku ORDER BY crawled_at DESC, store_id DESC, seq DESC) AS n FROM snaps QUALIFY n <= 2),
+two AS (SELECT sku, max(cents) FILTER (n = 1) AS cents, max(cents) FILTER (n = 2) AS c, max(qty) FILTER (n = 1) AS qty, max(qty) FILTER (n = 2) AS q,
+  bool_or(in_stock) FILTER (n = 1) AS in_stock, bool_or(in_stock) FILTER (n = 2) AS i FROM placed GROUP BY sku HAVING count(*) = 2)""",
 "SELECT sku, cents < c AS price_drop, in_stock AND NOT i AS back_in_stock, NOT in_stock AND i AS out_of_stock, qty < 10 AND q >= 10 AS low_stock FROM two")
 def last_two_alerts(t):
     return audits.last_two_alerts(t.snapshots)
@@ -466,11 +469,18 @@ def stock_signals(t):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", numbers.stock_signal(F.col("l_linestatus") == "O", F.col("l_quantity").cast("int")).alias("signal"))
 
 
-@query()
+LABELS = """labels(place, category, form, animal, brand, pack, grams) AS (VALUES
+  (0, 'cat_food', 'cat_food_dry', 'cat', 'Royal Canin', 1, 400), (1, 'cat_food', 'cat_food_dry', 'cat', 'Royal Canin', 24, 400), (2, 'dog_food', 'dog_food_wet', 'dog', 'Pedigree', 1, 100), (3, 'dog_food', 'dog_food_wet', 'dog', 'Pedigree', 12, NULL),
+  (4, 'dog_food', 'dog_treats', 'dog', '', 1, 5000), (5, 'litter', NULL, 'cat', '', 1, 10000), (6, 'accessories', NULL, 'dog', '', 1, NULL), (7, 'toys', NULL, 'other', 'Kong', 1, NULL),
+  (8, 'bird_food', NULL, 'bird', '', 1, 1500), (9, 'fish_food', NULL, 'fish', 'Tetra', 1, 100), (10, 'grooming', NULL, 'cat', '', 1, 250), (11, 'healthcare', NULL, 'small', '', 1, NULL),
+  (12, 'dog_food', NULL, 'dog', '', -1, NULL), (13, 'cat_food', NULL, 'cat', 'Whiskas', 1, 85), (14, 'dog_food', NULL, 'dog', 'Acana', 24, NULL), (15, 'accessories', NULL, 'small', '', 1, 2000))"""
+
+
+@query(LABELS, "SELECT p_partkey AS sku, category, form, animal, brand, pack, grams::DOUBLE AS grams FROM part JOIN labels ON place = (p_partkey // 4) % 16")
 def product_labels(t):
     n = F.col("name")
     kind = text.category(n)
-    return t.products.select("sku", kind.alias("category"), text.food_form(kind, n).alias("form"), text.animal(n).alias("animal"), text.brand(n).alias("brand"), text.pack_quantity(n).alias("pack"), text.weight_grams(n).alias("grams"))
+    return t.catalogue.select("sku", kind.alias("category"), text.food_form(kind, n).alias("form"), text.animal(n).alias("animal"), text.brand(n).alias("brand"), text.pack_quantity(n).alias("pack"), text.weight_grams(n).alias("grams"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^(?:[a-z]+://)?(?:www\\.)?([^/?#:]+)', 1, 'i')) AS domain FROM pages")
