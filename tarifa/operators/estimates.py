@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarifa.functions.numbers import monday_week
-from tarifa.model import MAX_BADGE_STEP, MAX_DAILY_UNITS, MAX_QTY_STEP, MAX_SOLD_STEP, PLACEHOLDER_QTY
+from tarifa.model import MAX_BADGE_STEP, MAX_DAILY_UNITS, MAX_QTY_STEP, MAX_SOLD_STEP, MIN_CONFIDENCE, PLACEHOLDER_QTY
 from tarifa.operators.rollups import PAIR, usable_qty, windowed
 
 
@@ -16,12 +16,12 @@ def _in_time():
     return Window.partitionBy(*PAIR).orderBy("crawled_at", "seq")
 
 
-def window_sales(snaps: DataFrame, as_of: datetime, days: int) -> DataFrame:
+def window_sales(snaps: DataFrame, as_of: datetime, days: int, floor: int = MIN_CONFIDENCE) -> DataFrame:
     """Units and revenue (cents) of each pair in the window, and the method: counter steps, else falls of usable stock.
 
     Revenue is units times the mean price of all readings, a null price counting as zero.
     """
-    rows = windowed(snaps, as_of, days)
+    rows = windowed(snaps, as_of, days, floor)
     usable = usable_qty(F.col("qty"))
     before_usable = F.last(F.when(usable, F.coalesce("qty", F.lit(0))), ignorenulls=True).over(_in_time().rowsBetween(Window.unboundedPreceding, -1))
     sold = F.coalesce("sold", F.lit(0))
@@ -40,9 +40,9 @@ def window_sales(snaps: DataFrame, as_of: datetime, days: int) -> DataFrame:
     return sums.select(*PAIR, "units", F.round(F.col("units") * F.col("mean_cents")).cast("long").alias("revenue"), "method")
 
 
-def steps(snaps: DataFrame, as_of: datetime, days: int) -> DataFrame:
+def steps(snaps: DataFrame, as_of: datetime, days: int, floor: int = MIN_CONFIDENCE) -> DataFrame:
     """Readings of the window with the units since the one before; a pair's first reading only starts it."""
-    rows = windowed(snaps, as_of, days)
+    rows = windowed(snaps, as_of, days, floor)
     sold, qty = F.coalesce("sold", F.lit(0)), F.coalesce("qty", F.lit(0))
     counted = F.max(sold).over(Window.partitionBy(*PAIR)) > 0
     before = F.lag(qty).over(_in_time())

@@ -7,30 +7,31 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarifa.operators.rollups import PAIR, since
+from tarifa.operators.rollups import PAIR, latest, since
 
 
 def priced(cover: DataFrame, as_of: datetime, days: int) -> DataFrame:
     return cover.where((F.col("last_priced_at") >= since(as_of, days)) & (F.col("last_priced_cents") > 0))
 
 
-def whole_median(rows: DataFrame, name: str, bits: int = 12) -> DataFrame:
-    """median: one row, the exact median of a whole-number column, null where there is none; no task holds all its values.
+def whole_median(rows: DataFrame, name: str, keys: tuple[str, ...] = (), bits: int = 12) -> DataFrame:
+    """keys, median: the exact median of a whole-number column by keys, null where there is none; no task holds all values of a key.
 
-    Values are counted by the bits above their last `bits`, and only in the one or two buckets that hold the middle by value.
+    Values are counted by the bits above their last `bits`, and one by one only in the one or two buckets that hold the middle. Buckets and keys
+    are few. Without keys there is one row.
     """
-    value = F.col(name)
-    wide = rows.where(value.isNotNull()).groupBy(F.shiftright(value, bits).alias("bucket")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # a row a bucket
-    placed = wide.select("bucket", F.sum("n").over(before).alias("upto"), "n", F.sum("n").over(Window.partitionBy()).alias("total"))
+    value, by = F.col(name), list(keys)
+    rows = rows.where(value.isNotNull()).select(*by, value.alias("value"), F.shiftright(value, bits).alias("bucket"))
+    wide = rows.groupBy(*by, "bucket").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))  # a row a key and bucket
+    placed = wide.select("*", upto.alias("upto"), F.sum("n").over(Window.partitionBy(*by)).alias("total"))
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     hit = placed.where((F.col("upto") > low) & (F.col("upto") - F.col("n") <= high))
-    inside = rows.select(value.alias("value"), F.shiftright(value, bits).alias("bucket")).join(F.broadcast(hit), "bucket")  # two rows at most
-    counts = inside.groupBy("bucket", "value").agg(F.count("*").alias("m"), F.first("upto").alias("upto"), F.first("n").alias("n"), F.first("total").alias("total"))
-    upto = F.col("upto") - F.col("n") + F.sum("m").over(Window.partitionBy("bucket").orderBy("value"))  # 2 ** bits values at most
-    counts = counts.withColumn("upto", upto)
+    counts = rows.join(F.broadcast(hit), [*by, "bucket"]).groupBy(*by, "bucket", "value").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("upto", "n", "total")))
+    within = F.sum("m").over(Window.partitionBy(*by, "bucket").orderBy("value"))  # 2 ** bits values at most
+    counts = counts.withColumn("upto", F.col("upto") - F.col("n") + within)
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("value")))
-    return counts.agg(((at(low) + at(high)) / 2).alias("median"))
+    return counts.groupBy(*by).agg(((at(low) + at(high)) / 2).alias("median"))
 
 
 def summary(cover: DataFrame, rollups: DataFrame, as_of: datetime, days: int) -> DataFrame:
@@ -144,3 +145,58 @@ def freshness(cover: DataFrame, stores: DataFrame, as_of: datetime) -> DataFrame
 def horizon(snaps: DataFrame, stores: DataFrame) -> DataFrame:
     """Readings by day, own and competitors'."""
     return snaps.join(stores, "store_id").groupBy(F.to_date("crawled_at").alias("day"), "is_own").agg(F.count("*").alias("readings"))
+
+
+def percentile_histogram(cover: DataFrame, as_of: datetime, days: int) -> DataFrame:
+    """Per store: how its prices of shared products stand among sellers, in four buckets, and the median of their ratio to the product's median price."""
+    rows = priced(cover, as_of, days).select("sku", "store_id", F.col("last_priced_cents").alias("cents"))
+    whole = Window.partitionBy("sku")
+    rows = rows.select("*", F.percent_rank().over(whole.orderBy("cents")).alias("standing"), F.count("*").over(whole).alias("sellers"), F.median("cents").over(whole).alias("middle")).where("sellers >= 2")
+    bucket = F.least(F.lit(3), F.floor(F.col("standing") * 4).cast("int"))
+    counts = rows.groupBy("store_id").agg(*(F.count_if(bucket == b).alias(f"from_{25 * b}") for b in range(4)), F.count("*").alias("shared"))
+    ratio = whole_median(rows.withColumn("ratio", F.round(F.col("cents") * 1_000_000 / F.col("middle")).cast("long")), "ratio", ("store_id",))
+    return counts.join(ratio, "store_id", "left").withColumn("median_price_ratio", F.round(F.col("median") / 1_000_000, 3)).drop("median")
+
+
+def digest_summary(snaps: DataFrame, seen: DataFrame, as_of: datetime, days: int) -> DataFrame:
+    """The digest's figures, one row: products, price drops of five percent, stock-outs, new products (seen: sku, first_seen_at), the most active store, readings."""
+    recent = snaps.where(F.col("crawled_at") >= since(as_of, days))
+    found = digest(snaps, as_of, days).agg(F.count("drop_cents").alias("total_price_drops"), F.count_if("went_out").alias("total_oos_events"))
+    active = recent.groupBy(*PAIR).agg(F.count("*").alias("n")).where("n >= 2").groupBy("store_id").agg(F.count("*").alias("pairs"))
+    most = active.agg(F.max_by("store_id", F.struct("pairs", "store_id")).alias("most_active_store"))
+    fresh = seen.agg(F.count("*").alias("total_skus"), F.count_if(F.col("first_seen_at") >= since(as_of, days)).alias("total_new_products"))
+    return found.crossJoin(most).crossJoin(fresh).crossJoin(recent.agg(F.count("*").alias("snapshots")))  # one row each
+
+
+def new_products(seen: DataFrame, as_of: datetime, days: int, top: int = 3) -> DataFrame:
+    """The newest products of the window."""
+    return seen.where(F.col("first_seen_at") >= since(as_of, days)).orderBy(F.desc("first_seen_at"), "sku").limit(top)
+
+
+def store_profiles(snaps: DataFrame, sales: DataFrame, as_of: datetime, days: int) -> DataFrame:
+    """Per store: catalogue size, products active in the last week, mean discount of its latest discounted rows, span, and revenue by month and day.
+
+    sales: window_sales() without a confidence floor; products with fewer than two readings have none.
+    """
+    skus = snaps.groupBy("store_id").agg(F.countDistinct("sku").alias("catalog_size"))
+    active = snaps.where(F.col("in_stock") & (F.col("crawled_at") >= since(as_of, 7))).groupBy("store_id").agg(F.countDistinct("sku").alias("active_skus"))
+    newest = latest(snaps.select(*PAIR, "crawled_at", "seq", "discount_pct"))
+    cut = newest.groupBy("store_id").agg(F.round(F.avg(F.when(F.col("discount_pct") > 0, F.col("discount_pct"))), 1).alias("avg_discount_rate"))
+    recent = snaps.where(F.col("crawled_at") >= since(as_of, days))
+    whole_days = F.floor((F.max("crawled_at").cast("timestamp").cast("long") - F.min("crawled_at").cast("timestamp").cast("long")) / 86400)
+    span = recent.groupBy("store_id").agg(F.greatest(whole_days, F.lit(1)).alias("data_span_days"))
+    sold = sales.where("units > 0").groupBy("store_id").agg(F.sum("revenue").alias("revenue"), F.sum("units").alias("units"))
+    rows = skus.join(active, "store_id", "left").join(cut, "store_id", "left").join(span, "store_id", "left").join(sold, "store_id", "left").fillna(0, ["active_skus", "avg_discount_rate", "revenue", "units"]).fillna(1, ["data_span_days"])
+    rate = lambda c, n, digits: F.round(F.col(c) * n / F.col("data_span_days"), digits)
+    return rows.select("store_id", "catalog_size", "active_skus", "avg_discount_rate", "data_span_days", rate("revenue", 30, 0).cast("long").alias("est_monthly_revenue"), rate("revenue", 1, 0).cast("long").alias("est_daily_revenue"), rate("units", 1, 1).alias("est_daily_units"))
+
+
+def profile_days(steps: DataFrame, sales: DataFrame) -> DataFrame:
+    """Revenue of each store by day, of products that sold anything in the window; days without are left out."""
+    sold = steps.join(sales.where("units > 0").select(*PAIR), PAIR, "left_semi").withColumn("revenue", F.col("units") * F.coalesce("cents", F.lit(0)))
+    return sold.groupBy("store_id", F.to_date("crawled_at").alias("day")).agg(F.sum("revenue").alias("revenue")).where("revenue > 0")
+
+
+def profile_categories(newest: DataFrame, products: DataFrame) -> DataFrame:
+    """How many of a store's products are in each category."""
+    return newest.select(*PAIR).join(products.select("sku", "category"), "sku").groupBy("store_id", "category").agg(F.count("*").alias("products"))

@@ -216,14 +216,17 @@ def change_only_rows(t):
     return rollups.changes(numbered).select("sku", "store_id", "crawled_at", F.col("number").alias("seq"))
 
 
-@query(SNAPS, RECENT, """steps AS (SELECT *, sold - lag(sold) OVER (PARTITION BY sku, store_id ORDER BY crawled_at, seq) AS step,
+ESTIMATED = """
+steps AS (SELECT *, sold - lag(sold) OVER (PARTITION BY sku, store_id ORDER BY crawled_at, seq) AS step,
     CASE WHEN usable THEN last_value(CASE WHEN usable THEN qty END IGNORE NULLS) OVER (PARTITION BY sku, store_id ORDER BY crawled_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - qty END AS fall
   FROM (SELECT *, qty NOT IN (99, 100, 999, 1000, 9999, 10000, 99999, 100000) AND qty <= 200 AS usable FROM recent)),
 sums AS (SELECT sku, store_id, count(*) AS n, count(*) FILTER (usable) AS n_usable, max(sold) AS most, sum(cents) / count(*) AS mean_cents,
     coalesce(sum(least(step, 50)) FILTER (step > 0), 0) AS steps, coalesce(sum(fall) FILTER (fall > 0), 0) AS drops FROM steps GROUP BY ALL),
 named AS (SELECT *, CASE WHEN n < 2 THEN 'insufficient_data' WHEN most > 0 AND steps > 0 THEN 'sold_count_diff' WHEN n_usable < 2 THEN 'insufficient_signal' WHEN drops < 1 THEN 'no_depletion' ELSE 'qty_positive_delta_sum' END AS method FROM sums),
-united AS (SELECT *, CASE method WHEN 'sold_count_diff' THEN least(steps, 30 * 730) WHEN 'qty_positive_delta_sum' THEN least(drops, 30 * 730) ELSE 0 END::BIGINT AS units FROM named)""",
-"SELECT sku, store_id, units, round(units * mean_cents)::BIGINT AS revenue, method FROM united")
+united AS (SELECT *, CASE method WHEN 'sold_count_diff' THEN least(steps, 30 * 730) WHEN 'qty_positive_delta_sum' THEN least(drops, 30 * 730) ELSE 0 END::BIGINT AS units FROM named)"""
+
+
+@query(SNAPS, RECENT, ESTIMATED, "SELECT sku, store_id, units, round(units * mean_cents)::BIGINT AS revenue, method FROM united")
 def sales_estimate(t):
     return estimates.window_sales(t.snapshots, AS_OF, DAYS)
 
@@ -272,12 +275,17 @@ def stock_velocity(t):
     return estimates.honest_velocity(t.snapshots, AS_OF, DAYS)
 
 
-@query(SNAPS, """steps AS (SELECT *, exact - last_value(exact IGNORE NULLS) OVER (PARTITION BY sku, store_id ORDER BY crawled_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS step
+BADGES = """
+badge_steps AS (SELECT *, exact - last_value(exact IGNORE NULLS) OVER (PARTITION BY sku, store_id ORDER BY crawled_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS step
   FROM (SELECT *, CASE WHEN sold % 7 <> 0 THEN sold % 300 END AS exact FROM snaps)),
-sums AS (SELECT sku, store_id, count(*) AS n, count(exact) AS n_exact, sum(least(step, 5000)) FILTER (step >= 0) AS units, count(*) FILTER (step < 0) AS resets, count(*) FILTER (step > 5000) AS clamped,
-  arg_max(cents, (crawled_at, seq)) FILTER (cents > 0) AS price FROM steps GROUP BY ALL)""",
-"""SELECT sku, store_id, status, units, resets, clamped, units * price AS revenue FROM (SELECT sku, store_id, resets, clamped, price,
-  CASE WHEN n_exact = 0 THEN 'all_capped' WHEN n_exact = 1 THEN 'baseline_only' ELSE 'measured_approx' END AS status, CASE WHEN n_exact > 1 THEN coalesce(units, 0)::BIGINT END AS units FROM sums)""")
+badge_sums AS (SELECT sku, store_id, count(*) AS n, count(exact) AS n_exact, sum(least(step, 5000)) FILTER (step >= 0) AS units, count(*) FILTER (step < 0) AS resets, count(*) FILTER (step > 5000) AS clamped,
+  arg_max(cents, (crawled_at, seq)) FILTER (cents > 0) AS price FROM badge_steps GROUP BY ALL),
+badges AS (
+SELECT sku, store_id, status, units, resets, clamped, units * price AS revenue FROM (SELECT sku, store_id, resets, clamped, price,
+  CASE WHEN n_exact = 0 THEN 'all_capped' WHEN n_exact = 1 THEN 'baseline_only' ELSE 'measured_approx' END AS status, CASE WHEN n_exact > 1 THEN coalesce(units, 0)::BIGINT END AS units FROM badge_sums))"""
+
+
+@query(SNAPS, BADGES, "SELECT * FROM badges")
 def badge_velocity(t):
     return estimates.badge_velocity(t.snapshots.withColumn("capped", F.col("sold") % 7 == 0).withColumn("sold", F.col("sold") % 300))
 
