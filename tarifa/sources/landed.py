@@ -14,8 +14,27 @@ _ITEM = "struct<id:string,sku:string,name:string,price:string,sale_price:string,
 #: Where the envelopes of different shops keep their list.
 ENVELOPES = ("data", "products", "results", "items")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Classes of cards, of names and of prices in a page, first the most telling; a profile counts from this many cards.
-CARDS, NAMES, PRICES, LEAST_CARDS = ("product-card", "product-item", "s-product-card-entry", "grid-product"), ("product-card__title", "product-name", "item-title", "product-title"), ("product-price", "item-price", "price"), 3
+# Where pages of each kind of shop have their cards, and what is in them.
+PROFILES = {
+    "salla": {
+        "card": (".product-card", ".product-item", "[data-product]", ".s-product-card-entry"), "name": (".product-card__title", ".product-name", "h3", "h2", ".s-product-card-entry__title"),
+        "price": (".product-price", ".price", "[data-price]", ".s-product-card-entry__price"), "orig": (".product-price--compare", ".compare-price", "s", "del"), "image": ("img.product-card__image", ".product-image img", "img"),
+    },
+    "zid": {
+        "card": (".product-item", ".zid-product", ".product-card"), "name": (".item-title", ".product-title", "h3"), "price": (".item-price", ".product-price", ".price-current"),
+        "orig": (".item-price-old", ".price-old", "del"), "image": (".item-image img", ".product-img img", "img"),
+    },
+    "shopify": {
+        "card": (".product-card", ".grid-product", "[data-product-card]"), "name": (".product-card__title", ".grid-product__title", "h3"), "price": (".product-card__price", ".grid-product__price", ".price"),
+        "orig": (".price--compare", "del", "s"), "image": ("img.product-card__image", ".grid-product__image-wrap img", "img"),
+    },
+}
+SIGNED_IN = {
+    "card": (".product-card", ".product-item", "[data-product]", ".product-entry", ".product"), "name": (".product-title", ".product-name", "h3", "h4", "[data-product-title]"), "member_price": (".member-price", ".loyalty-price", "[data-member-price]", ".special-price"),
+    "price": (".price", "[data-price]", ".product-price"), "flash": (".flash-sale", ".countdown", "[data-flash]", ".sale-badge"), "flash_price": (".flash-price", ".sale-price"), "qty": (".stock-count", "[data-quantity]", ".availability"), "oos": (".out-of-stock", ".sold-out", "[data-oos]"),
+}
+#: A profile counts from this many cards; below this many products a page's linked data is read.
+LEAST_CARDS, LINKED_BELOW = 3, 5
 
 
 def enveloped(payload: Column) -> Column:
@@ -25,83 +44,159 @@ def enveloped(payload: Column) -> Column:
 
 
 def catalogue(payloads: DataFrame) -> DataFrame:
-    """One row a product id of payloads (payload): repeated pages don't repeat products."""
-    rows = payloads.select(F.explode(enveloped(F.col("payload"))).alias("p")).select("p.*")
+    """One row a product id of payloads (payload, page where there is one): the one on the latest page, ties by its values."""
+    page = F.col("page") if "page" in payloads.columns else F.lit(0)
+    rows = payloads.select(page.alias("page"), F.explode(enveloped(F.col("payload"))).alias("p")).select("page", "p.*")
     price = F.coalesce(F.regexp_replace("price", r"[^0-9.]", "").try_cast("double"), F.lit(0.0))
-    return rows.withColumn("price", price).dropDuplicates(["id"])
+    rows = rows.withColumn("price", price)
+    rest = [c for c in rows.columns if c not in ("id", "page")]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("page", *rest)).alias("r")).select("id", *(f"r.{c}" for c in rest))
 
 
-class _Cards(HTMLParser):
-    """Collects the texts of the elements inside cards, by class, and the page's JSON-LD blocks."""
+class _Node:
+    def __init__(self, tag: str, attrs: dict, parent: _Node | None):
+        self.tag, self.attrs, self.parent, self.classes = tag, attrs, parent, (attrs.get("class") or "").split()
+        self.below: list[_Node] = []
+        self.texts: list[str] = []
+
+    def all(self) -> Iterator[_Node]:
+        for node in self.below:
+            yield node
+            yield from node.all()
+
+    def text(self) -> str:
+        return " ".join(x for x in [*self.texts, *(n.text() for n in self.below)] if x)
+
+    def fits(self, selector: str) -> bool:
+        """A tag, .class, [attribute], tag.class, or `outer inner`."""
+        outer, _, inner = selector.rpartition(" ")
+        tag, _, name = inner.partition(".")
+        own = inner[1:-1] in self.attrs if inner[0] == "[" else (not tag or tag == self.tag) and (not name or name in self.classes)
+        return own and (not outer or any(n.fits(outer) for n in self.above()))
+
+    def above(self) -> Iterator[_Node]:
+        node = self.parent
+        while node:
+            yield node
+            node = node.parent
+
+    def first(self, selectors: tuple[str, ...]) -> _Node | None:
+        """What the first selector that finds anything finds first."""
+        return next((n for s in selectors for n in self.all() if n.fits(s)), None)
+
+
+class _Page(HTMLParser):
+    """A page's elements as a tree; what isn't closed ends with what holds it."""
 
     def __init__(self):
         super().__init__()
-        self.stack: list[tuple[str, list[str]]] = []
-        self.cards: list[dict[str, str]] = []
-        self.inside = 0
-        self.linked: list[str] = []
+        self.root = self.at = _Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        classes = (dict(attrs).get("class") or "").split()
-        if tag in _VOID:
-            return
-        kind = "ld" if tag == "script" and dict(attrs).get("type") == "application/ld+json" else ""
-        self.stack.append((tag, [*classes, *([kind] if kind else [])]))
-        if not self.inside and any(c in CARDS for c in classes):
-            self.inside = len(self.stack)
-            self.cards.append({})
-        if kind:
-            self.linked.append("")
+        node = _Node(tag, dict(attrs), self.at)
+        self.at.below.append(node)
+        if tag not in _VOID:
+            self.at = node
 
     def handle_endtag(self, tag):
-        while self.stack:
-            top, _ = self.stack.pop()
-            if self.inside > len(self.stack):
-                self.inside = 0
-            if top == tag:
-                break
+        found = next((n for n in [self.at, *self.at.above()] if n.tag == tag), None)
+        if found and found.parent:
+            self.at = found.parent
 
     def handle_data(self, data):
-        if self.stack and "ld" in self.stack[-1][1]:
-            self.linked[-1] += data
-        elif self.inside and data.strip():
-            classes = {c for _, own in self.stack[self.inside :] for c in own}
-            for field, names in (("name", NAMES), ("price", PRICES)):
-                if any(c in classes for c in names):
-                    self.cards[-1].setdefault(field, data.strip())
+        if data.strip():
+            self.at.texts.append(data.strip())
 
 
-def cards(html: str | None) -> list[dict[str, str]]:
-    """Names and price texts of a page's cards, or of its JSON-LD products where there are too few cards."""
-    parser = _Cards()
-    parser.feed(html or "")
-    found = [c for c in parser.cards if c.get("name")]
-    if len(found) >= LEAST_CARDS:
-        return found
-    linked = []
-    for block in parser.linked:
+def _tree(html: str | None) -> _Node:
+    page = _Page()
+    page.feed(html or "")
+    return page.root
+
+
+def _shown(card: _Node, selectors: tuple[str, ...]) -> str:
+    node = card.first(selectors)
+    return node.text() if node else ""
+
+
+def _linked(root: _Node) -> list[dict[str, str]]:
+    out = []
+    for node in root.all():
+        if node.tag != "script" or node.attrs.get("type") != "application/ld+json":
+            continue
         try:
-            data = json.loads(block)
+            data = json.loads(" ".join(node.texts))
         except ValueError:
             continue
-        for one in data if isinstance(data, list) else [data]:
+        for one in data if isinstance(data, list) else data.get("itemListElement", [data]) if isinstance(data, dict) else []:
+            one = one.get("item", one) if isinstance(one, dict) else {}
             if isinstance(one, dict) and one.get("@type") == "Product" and one.get("name"):
                 offer = one.get("offers") or {}
-                linked.append({"name": str(one["name"]), "price": str((offer[0] if isinstance(offer, list) and offer else offer).get("price", "") if offer else "")})
-    return linked or found
+                offer = offer[0] if isinstance(offer, list) and offer else offer
+                out.append({"name": str(one["name"]), "price": str(offer.get("price", "")) if isinstance(offer, dict) else "", "original": "", "image": str(one.get("image") or "")})
+    return out
+
+
+def cards(html: str | None) -> list[dict[str, str]]:
+    """Names, price texts and images of a page's cards by the first profile with enough of them; of its linked data too, where there are few."""
+    root = _tree(html)
+    found: list[dict[str, str]] = []
+    for profile in PROFILES.values():
+        for selector in profile["card"]:
+            nodes = [n for n in root.all() if n.fits(selector)]
+            if len(nodes) < LEAST_CARDS:
+                continue
+            for node in nodes:
+                image = node.first(profile["image"])
+                one = {"name": _shown(node, profile["name"]), "price": _shown(node, profile["price"]), "original": _shown(node, profile["orig"]), "image": (image.attrs.get("src") or image.attrs.get("data-src") or "") if image else ""}
+                if one["name"]:
+                    found.append(one)
+            if found:
+                return found if len(found) >= LINKED_BELOW else found + _linked(root)
+    return _linked(root)
+
+
+def signed_in_cards(html: str | None) -> list[dict]:
+    """What cards show to a signed-in customer: member and flash prices, the exact quantity, whether it is sold out."""
+    root, out = _tree(html), []
+    for node in root.all():
+        if not any(node.fits(s) for s in SIGNED_IN["card"]) or any(n.fits(s) for n in node.above() for s in SIGNED_IN["card"]):
+            continue
+        one = {f: _shown(node, SIGNED_IN[f]) for f in ("name", "price", "member_price", "flash_price", "qty")}
+        if one["name"] or one["price"]:
+            flash = node.first(SIGNED_IN["flash"]) is not None
+            out.append(one | {"flash": flash, "flash_price": one["flash_price"] if flash else "", "in_stock": node.first(SIGNED_IN["oos"]) is None})
+    return out
+
+
+def _number(name: str) -> Column:
+    return F.regexp_extract(F.regexp_replace(name, ",", ""), r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
 
 
 def page_cards(pages: DataFrame) -> DataFrame:
-    """page_id, name, price of every product that a page (page_id, html) shows."""
+    """page_id, name, price, original, image of every product that a page (page_id, html) shows."""
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(page, c["name"], c["price"], c["original"], c["image"]) for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()) for c in cards(html)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.string()] * 4))], ["page_id", "name", "price_text", "original_text", "image"])
+
+    found = pages.select("page_id", "html").mapInArrow(extract, "page_id bigint, name string, price_text string, original_text string, image string")
+    return found.select("page_id", "name", _number("price_text").alias("price"), _number("original_text").alias("original"), "image")
+
+
+def page_signed_in_cards(pages: DataFrame) -> DataFrame:
+    """page_id, name, price, member_price, flash, flash_price, qty, in_stock of every product that a page shows to a signed-in customer."""
+    texts = ("name", "price", "member_price", "flash_price", "qty")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(page, c["name"], c.get("price", "")) for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()) for c in cards(html)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["page_id", "name", "price_text"])
+            rows = [(page, *(c[f] for f in texts), c["flash"], c["in_stock"]) for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()) for c in signed_in_cards(html)]
+            kinds = (pa.int64(), *[pa.string()] * 5, pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["page_id", *texts, "flash", "in_stock"])
 
-    found = pages.select("page_id", "html").mapInArrow(extract, "page_id bigint, name string, price_text string")
-    number = F.regexp_extract(F.regexp_replace("price_text", ",", ""), r"([0-9]+(?:\.[0-9]+)?)", 1)
-    return found.select("page_id", "name", number.try_cast("double").alias("price"))
+    found = pages.select("page_id", "html").mapInArrow(extract, "page_id bigint, name string, price string, member_price string, flash_price string, qty string, flash boolean, in_stock boolean")
+    return found.select("page_id", "name", *(_number(c).alias(c) for c in ("price", "member_price")), "flash", _number("flash_price").alias("flash_price"), _number("qty").cast("int").alias("qty"), "in_stock")
 
 
 def write_report(rows: DataFrame, path: str) -> None:
