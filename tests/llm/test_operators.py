@@ -173,13 +173,16 @@ def test_jaccard_components(spark, odd, block):
     assert got == brute_components(texts)
 
 
-def test_divide_skip_is_counting():
+@pytest.mark.parametrize("count_from", [20_000, 0])
+def test_divide_skip_is_counting(count_from, monkeypatch):
+    monkeypatch.setattr(jaccard, "COUNT_FROM", count_from)
     r = random.Random(1)
     for _ in range(300):
         lists = [sorted(r.sample(range(30), r.randint(1, 20))) for _ in range(r.randint(1, 12))]
         needed = r.randint(1, len(lists))
         counts = collections.Counter(x for one in lists for x in one)
         assert jaccard.divide_skip(lists, needed) == {k: v for k, v in counts.items() if v >= needed}
+        assert list(jaccard.heap_skip(lists, needed)) == sorted((k, v) for k, v in counts.items() if v >= needed)
 
 
 def test_components(spark):
