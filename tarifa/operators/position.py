@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarifa.model import FRESH_HOURS, WEIGHTS
-from tarifa.operators.rollups import PAIR
+from tarifa.operators.rollups import PAIR, since
 
 
 def market_position(own: DataFrame, rivals: DataFrame) -> DataFrame:
@@ -61,16 +61,16 @@ def price_trend(snaps: DataFrame, each: int = 3, band: float = 3.0) -> DataFrame
     return sums.withColumn("trend", F.when(change > band, "up").when(change < -band, "down").otherwise("stable"))
 
 
-def store_ranking(cover: DataFrame, stores: DataFrame, pairs: DataFrame, as_of: datetime) -> DataFrame:
+def store_ranking(cover: DataFrame, stores: DataFrame, pairs: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     """Stores by revenue, then by a score of breadth, price, stock and freshness; a null revenue stands last."""
     age = F.lit(as_of).cast("long") - F.col("last_seen_any_at").cast("timestamp").cast("long")
-    priced = cover.where("last_priced_cents > 0").withColumn("standing", F.percent_rank().over(Window.partitionBy("sku").orderBy("last_priced_cents"))).withColumn("others", F.count("*").over(Window.partitionBy("sku")))
+    priced = cover.where((F.col("last_priced_cents") > 0) & (F.col("last_priced_at") >= since(as_of, days))).withColumn("standing", F.percent_rank().over(Window.partitionBy("sku").orderBy("last_priced_cents"))).withColumn("others", F.count("*").over(Window.partitionBy("sku")))
     parts = priced.groupBy("store_id").agg(
         F.count("*").alias("products"), F.coalesce(1 - F.avg(F.when(F.col("others") > 1, F.col("standing"))), F.lit(0.5)).alias("price"),
         F.avg(F.coalesce("last_in_stock", F.lit(False)).cast("int")).alias("stock"), F.avg((age <= FRESH_HOURS * 3600).cast("int")).alias("freshness"),
     )
     sales = pairs.groupBy("store_id").agg(F.sum("revenue").alias("sold"))
-    rows = stores.join(parts, "store_id", "left").join(sales, "store_id", "left").withColumn("most", F.max("products").over(Window.partitionBy()))
+    rows = stores.join(parts, "store_id", "left").join(sales, "store_id", "left").withColumn("most", F.max("products").over(Window.partitionBy()))  # a row a store
     breadth = F.log1p(F.coalesce("products", F.lit(0))) / F.log1p("most")
     score = sum(WEIGHTS[k] * F.coalesce(v, F.lit(0.0)) for k, v in (("breadth", breadth), ("price", F.col("price")), ("stock", F.col("stock")), ("freshness", F.col("freshness"))))
     revenue = F.when(F.col("is_own"), F.lit(None)).otherwise(F.when(F.col("sold") > 0, F.col("sold")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarifa.functions import text
-from tarifa.operators import catalogue, orders, rollups
+from tarifa.operators import catalogue, estimates, matching, orders, rollups
 from tarifa.plans.oracles import AS_OF, CLOSES, DAYS, ESTIMATED, LATEST, RECENT, SNAPS, query
 from tarifa.sources import tables
 from tarifa.sources.tables import NAMES
@@ -53,8 +53,6 @@ def competitor_union(t):
 
 @query(*FULL, "SELECT * FROM table_")
 def my_products_table(t):
-    from tarifa.operators import estimates
-
     sales = estimates.window_sales(t.snapshots, AS_OF, DAYS)
     return catalogue.rows(t.own_catalogue, t.catalogue, t.links, t.latest, sales, orders.by_sku(t.orders), tables.OWN_STORE)
 
@@ -80,6 +78,19 @@ def category_dropdown(t):
     return catalogue.category_list(t.catalogue.withColumn("subcategory", text.food_form(text.category(F.col("name")), F.col("name"))))
 
 
+@query(OWN_ROWS, META, LINKS, "edges AS (SELECT DISTINCT my_sku AS a, 20000000 + my_sku // 16 AS b FROM links)", """SELECT DISTINCT a AS my_sku, b AS other_sku FROM (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges UNION ALL SELECT x.a, y.a FROM edges x JOIN edges y ON x.b = y.b) WHERE a <> b""")
+def seller_set_two_hop(t):
+    return matching.seller_set(t.links.select("my_sku", F.expr("20000000 + my_sku div 16").alias("rival_sku")))
+
+
+@query(OWN_ROWS, META, LINKS, f"""names AS (SELECT {[n.lower().replace('.', ' ') for n in NAMES]} AS n),
+words AS (SELECT my_sku, store_id, list_filter(string_split(n[((my_sku // 4) % 16)::INT + 1], ' '), lambda w: length(w) > 1 AND w NOT IN ('and', 'for')) AS a, list_filter(string_split(n[((rival_sku // 4 + confidence % 7) % 16)::INT + 1], ' '), lambda w: length(w) > 1 AND w NOT IN ('and', 'for')) AS b FROM links, names)""",
+"SELECT my_sku, store_id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS similarity FROM words")
+def name_similarity(t):
+    a, b = (text.tokens(tables.name_at(place)) for place in ("my_sku div 4", "rival_sku div 4 + confidence % 7"))
+    return t.links.select("my_sku", "store_id", text.name_similarity(a, b).alias("similarity"))
+
+
 PACKS = "packs AS (SELECT *, [1, 24, 1, 12, 1, 1, 1, 1, 1, 1, 1, 1, -1, 1, 24, 1][((sku // 4) % 16)::INT + 1] AS pack FROM (SELECT sku FROM catalogue UNION SELECT sku FROM own_rows))"
 SELLERS = """
 near AS (SELECT * FROM snaps WHERE crawled_at >= TIMESTAMP '2001-11-04' - INTERVAL 180 DAYS),

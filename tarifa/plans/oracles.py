@@ -260,14 +260,6 @@ def price_audit(t):
     return audits.price_audit(t.own_products, t.latest.where(F.col("store_id") == tables.OWN_STORE))
 
 
-@query("""SELECT a.p_partkey AS sku, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity
-FROM (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part) a JOIN (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part) b ON b.p_partkey = a.p_partkey + 1""")
-def name_similarity(t):
-    a = t.products.select("sku", text.tokens(F.col("name")).alias("a"))
-    b = t.products.select((F.col("sku") - 1).alias("sku"), text.tokens(F.col("name")).alias("b"))
-    return a.join(b, "sku").select("sku", text.name_similarity(F.col("a"), F.col("b")).alias("similarity"))
-
-
 @query(SNAPS, RECENT, """steps AS (SELECT sku, store_id, cents, coalesce(least(greatest(lag(qty) OVER (PARTITION BY sku, store_id ORDER BY crawled_at, seq) - qty, 0), 10), 0) AS units
   FROM recent WHERE qty NOT IN (99, 100, 999, 1000, 9999, 10000, 99999, 100000) AND qty <= 200)""",
 "SELECT sku, store_id, count(*) AS n, sum(units)::BIGINT AS units, sum(units * cents)::BIGINT AS revenue FROM steps GROUP BY ALL HAVING count(*) >= 3")
@@ -335,7 +327,7 @@ def price_trend(t):
 
 
 @query(SNAPS, CLOSES, COVER, SALES, STORES, """parts AS (SELECT store_id, count(*) AS products, coalesce(1 - avg(standing) FILTER (others > 1), 0.5) AS price, avg(coalesce(last_in_stock, false)::INT) AS stock,
-  avg((epoch(TIMESTAMP '2001-11-04') - epoch(last_seen_any_at) <= 48 * 3600)::INT) AS freshness FROM (SELECT *, percent_rank() OVER (PARTITION BY sku ORDER BY last_priced_cents) AS standing, count(*) OVER (PARTITION BY sku) AS others FROM cover WHERE last_priced_cents > 0) GROUP BY store_id),
+  avg((epoch(TIMESTAMP '2001-11-04') - epoch(last_seen_any_at) <= 48 * 3600)::INT) AS freshness FROM (SELECT *, percent_rank() OVER (PARTITION BY sku ORDER BY last_priced_cents) AS standing, count(*) OVER (PARTITION BY sku) AS others FROM cover WHERE last_priced_cents > 0 AND last_priced_at >= TIMESTAMP '2001-11-04' - INTERVAL 30 DAYS) GROUP BY store_id),
 scored AS (SELECT store_id, coalesce(products, 0) AS products, CASE WHEN NOT is_own AND sold > 0 THEN sold END AS revenue,
   round(100 * (0.25::DOUBLE * (ln(1 + coalesce(products, 0)) / ln(1 + max(products) OVER ())) + 0.35::DOUBLE * coalesce(price, 0) + 0.25::DOUBLE * coalesce(stock, 0) + 0.15::DOUBLE * coalesce(freshness, 0)), 3) AS score
   FROM stores LEFT JOIN parts USING (store_id) LEFT JOIN (SELECT store_id, sum(revenue)::BIGINT AS sold FROM pairs GROUP BY store_id) USING (store_id))""",
@@ -448,15 +440,6 @@ def price_alerts(t):
     return matching.price_alerts(barcode_matches(t))
 
 
-EDGES = "edges AS (SELECT DISTINCT l_partkey % 400 AS a, l_suppkey + 100000 AS b FROM lineitem WHERE l_orderkey % 50 = 0)"
-
-
-@query(EDGES, """SELECT DISTINCT a AS my_sku, b AS other_sku FROM (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges UNION ALL SELECT x.a, y.a FROM edges x JOIN edges y ON x.b = y.b) WHERE a <> b""")
-def seller_set_two_hop(t):
-    lines = tables.table(t.spark, t.sf_dir, "lineitem").where("l_orderkey % 50 = 0")
-    return matching.seller_set(lines.select((F.col("l_partkey") % 400).alias("my_sku"), (F.col("l_suppkey") + 100000).alias("rival_sku")))
-
-
 # All of lineitem with its own keys. Rivals are below 0, so that they never meet a product's key.
 @query("edges AS (SELECT DISTINCT l_partkey AS a, -1 - l_suppkey AS b FROM lineitem)", """SELECT a AS my_sku, b AS other_sku, unnest(['direct', 'hub']) AS relation FROM edges UNION ALL SELECT b, a, 'reverse' FROM edges""")
 def seller_set_hubs(t):

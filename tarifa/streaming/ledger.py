@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tarifa.functions.numbers import ksa_day
 from tarifa.model import PARTIAL_BELOW
@@ -19,12 +22,17 @@ def day_closes(observations: DataFrame) -> DataFrame:
 
 
 def sealed_closes(stream: DataFrame) -> DataFrame:
-    """The streaming form: a day's row comes out once, when the watermark has passed its seal; later observations are left out."""
+    """The streaming form: a day's row comes out once, when the watermark has passed its seal; later observations are left out; late_count() says how many."""
     days = stream.withWatermark("observed_at", SEAL).groupBy(*KEYS, F.window("observed_at", "1 day", "1 day", "21 hours").alias("w"))
     closes = days.agg(F.max_by("cents", F.struct("observed_at", "id")).alias("close_cents"), F.count("*").alias("observations"))
     return closes.select(*KEYS, F.to_date(F.col("w.end")).alias("day"), "close_cents", "observations")
 
 
+def late_count(query: StreamingQuery) -> int:
+    """Observations that came after their day's seal, over the batches whose progress the query still holds."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for progress in query.recentProgress for op in json.loads(progress.json)["stateOperators"])
+
+
 def store_days(closes: DataFrame) -> DataFrame:
     """Per store and day: products seen, new and absent, and whether the day is ok, partial or without data."""
     known = closes.groupBy(*KEYS).agg(F.min("day").alias("first_day"))

@@ -177,3 +177,19 @@ def test_clean_up_is_guarded(spark):
     own = spark.createDataFrame([(1, True)], "sku long, present boolean")
     assert admin.absent_flagged(own, own.limit(0)).first().present and not admin.absent_flagged(own, own.selectExpr("sku + 1 AS sku")).first().present
     assert admin.own_purge(rows, "a", False).count() == 1
+
+
+def test_the_ledger_counts_what_comes_after_the_seal(spark, tmp_path):
+    from tarifa.streaming import ledger
+
+    schema = "store_id string, sku int, cents long, observed_at timestamp, id long"
+    day = datetime(2024, 1, 1)
+    after = day + timedelta(days=3)
+    batches = [[("S", 1, 10, day, 1)], [("S", 1, 11, after, 2)], [("S", 1, 13, after, 4)], [("S", 1, 12, day + timedelta(hours=1), 3), ("S", 1, 14, after, 5)]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    query = ledger.sealed_closes(stream).writeStream.format("memory").queryName("late_ledger").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert ledger.late_count(query) == 1
+    assert [(r.close_cents, r.observations) for r in spark.table("late_ledger").collect()] == [(10, 1)]
