@@ -16,6 +16,7 @@ from itertools import chain
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tarifa.llm.shared import forget
 
@@ -113,7 +114,7 @@ def line_rules(docs: DataFrame) -> DataFrame:
     """Counts, verdict and clean_text, the text without its failing lines, for every row of docs (doc_id, text); nothing is shuffled.
 
     Null and empty texts have no words and fail; a null text has a null clean_text. A line's equal is looked for among the earlier lines of its
-    own text. The verdict is on the text as it came. Repeated rows are judged alike; a null doc_id stays null; an empty table gives
+    own text. A very long text is judged whole, line by line. The verdict is on the text as it came. Repeated rows are judged alike; a null doc_id stays null; an empty table gives
     an empty result. Extra columns are not read.
     """
     return docs.select("doc_id", "text").mapInArrow(_judged, SCHEMA)
@@ -123,32 +124,33 @@ ORACLE = r"""
 WITH texts AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
 worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts),
 lines AS (
-  SELECT rid, unnest(string_split(text, chr(10))) AS line FROM texts),
+  SELECT rid, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM (SELECT rid, string_split(text, chr(10)) AS parts FROM texts)),
 judged AS (
-  SELECT rid, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
+  SELECT rid, line, i, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, length(line) - length(replace(line, '|', '')) AS bars,
          len(regexp_extract_all(line, '[!-/:-@\[-`{-~]')) AS odd FROM lines),
 marked AS (
-  SELECT *, (bars >= 3 AND 4 * bars >= n) OR (chars >= 12 AND 4 * odd > chars)
-    OR regexp_matches(lower(line), 'accept all cookies|all rights reserved|click here to|enable javascript|privacy policy|sign up for our newsletter|skip to content|terms of use|terms of service') AS bad
-  FROM judged WHERE n > 0),
+  SELECT *, n > 0 AND ((bars >= 3 AND 4 * bars >= n) OR (chars >= 12 AND 4 * odd > chars)
+    OR regexp_matches(lower(line), 'accept all cookies|all rights reserved|click here to|enable javascript|privacy policy|sign up for our newsletter|skip to content|terms of use|terms of service')) AS bad
+  FROM judged),
 by_doc AS (
-  SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, sum(chars) AS visible, coalesce(sum(chars) FILTER (bad), 0) AS lost FROM marked GROUP BY rid),
+  SELECT rid, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines, sum(chars) AS visible, coalesce(sum(chars) FILTER (bad), 0) AS lost,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT bad), '')) AS cleaned_sha256 FROM marked GROUP BY rid),
 positions AS (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM worded WHERE len(words) >= 3),
 windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS times FROM positions),
 repeats AS (SELECT rid, count(DISTINCT i + k) AS n FROM windows, (SELECT unnest([0, 1, 2]) AS k) WHERE times > 1 GROUP BY rid),
 counted AS (
   SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(b.visible, 0)::BIGINT AS word_chars,
     len(regexp_extract_all(w.text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(b.n_dup_lines, 0)::BIGINT AS n_dup_lines,
-    coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(b.lost, 0) AS lost
+    coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(b.lost, 0) AS lost, b.cleaned_sha256
   FROM worded w LEFT JOIN by_doc b USING (rid) LEFT JOIN repeats r USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * word_chars AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * word_chars AS kept, cleaned_sha256
 FROM counted
 """
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     judged = line_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("cleaned_sha256"))
