@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from tarifa.operators import admin, catalogue, estimates, insights, intel, orders, revenue, rollups
+from tarifa.operators import admin, audits, catalogue, estimates, insights, intel, orders, revenue, rollups
 from tarifa.plans.catalogue import BASE, CATALOGUE, LINKS, META, OWN_ROWS, PACKS, SELLERS
 from tarifa.plans.oracles import AS_OF, BADGES, CLOSES, COVER, DAYS, ESTIMATED, LATEST, ORACLE, PRODUCTS, RECENT, SALES, SINCE, SNAPS, STORES, query, revenue_back_test
 from tarifa.sources import tables
@@ -328,3 +328,27 @@ def own_snapshot_purge(t):
 def own_sync_presence(t):
     seen = t.own_catalogue.where("sku % 3 = 0").select("sku").union(t.catalogue.where("sku % 3 = 0").select("sku"))
     return admin.discovered(admin.absent_flagged(t.own_catalogue, seen).select("sku", "present"), seen, "sync").select("sku", "present")
+
+
+ALERTS = """alerts AS (SELECT p_partkey AS id, p_partkey % 500 AS sku, ['price_drop', 'price_increase', 'out_of_stock', 'back_in_stock', 'low_stock'][(p_partkey % 5)::INT + 1] AS alert_type, CASE WHEN p_partkey % 3 = 0 THEN p_size % 20 END AS threshold, p_partkey % 7 <> 0 AS is_active FROM part),
+placed AS (SELECT sku, cents, qty, in_stock, row_number() OVER (PARTITION BY sku ORDER BY crawled_at DESC, store_id DESC, seq DESC) AS n FROM snaps QUALIFY n <= 2),
+two AS (SELECT sku, max(cents) FILTER (n = 1) AS a, max(cents) FILTER (n = 2) AS b, max(qty) FILTER (n = 1) AS qa, max(qty) FILTER (n = 2) AS qb, bool_or(in_stock) FILTER (n = 1) AS ia, bool_or(in_stock) FILTER (n = 2) AS ib FROM placed GROUP BY sku HAVING count(*) = 2),
+judged AS (SELECT *, round((a - b) * 100 / b, 1) AS pct, coalesce(threshold, 0) AS t, CASE WHEN threshold > 0 THEN threshold ELSE 10 END AS mark FROM alerts JOIN two USING (sku) WHERE is_active)"""
+
+
+@query(SNAPS, ALERTS, """SELECT id, sku, alert_type, CASE WHEN alert_type LIKE 'price%' THEN pct END AS change_pct FROM judged WHERE (alert_type = 'price_drop' AND a < b AND -pct >= t) OR (alert_type = 'price_increase' AND a > b AND pct >= t) OR (alert_type = 'out_of_stock' AND NOT ia AND ib)
+  OR (alert_type = 'back_in_stock' AND ia AND NOT ib) OR (alert_type = 'low_stock' AND qa <= mark AND qb > mark)""")
+def alerts_fired(t):
+    kinds = F.array(*map(F.lit, ("price_drop", "price_increase", "out_of_stock", "back_in_stock", "low_stock")))
+    part = tables.table(t.spark, t.sf_dir, "part")
+    alerts = part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 500).alias("sku"), F.element_at(kinds, (F.col("p_partkey") % 5).cast("int") + 1).alias("alert_type"), F.expr("CASE WHEN p_partkey % 3 = 0 THEN p_size % 20 END").alias("threshold"), (F.col("p_partkey") % 7 != 0).alias("is_active"))
+    return audits.fired(alerts, t.snapshots.drop("sold"))
+
+
+@query(*BASE, """mine AS (SELECT sku, coalesce(CASE WHEN sale_cents <> 0 THEN sale_cents END, cents) AS my_cents, coalesce(qty, 0) AS qty FROM own_rows),
+near AS (SELECT m.sku, k.store_id, my_cents, m.qty, n.cents AS rival_cents, n.in_stock FROM links k JOIN mine m ON m.sku = k.my_sku JOIN latest n ON n.sku = k.rival_sku AND n.store_id = k.store_id WHERE k.confidence >= 75)""",
+"""SELECT sku, store_id, 'price_drop' AS alert_type, '' AS category, 5 AS threshold FROM (SELECT * FROM near WHERE my_cents > 0 AND rival_cents > 0 QUALIFY row_number() OVER (PARTITION BY sku ORDER BY rival_cents, store_id) = 1) WHERE round((my_cents - rival_cents) * 100 / rival_cents, 1) > 15
+UNION ALL SELECT sku, min(store_id), 'out_of_stock', '', 0 FROM near WHERE qty > 0 AND in_stock GROUP BY sku UNION ALL SELECT p_partkey, '', 'back_in_stock', 'catalog_gap', 0 FROM part WHERE round(p_retailprice * 1000)::BIGINT >= 1000000""")
+def alerts_generated(t):
+    gaps = tables.table(t.spark, t.sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.round(F.col("p_retailprice") * 1000).cast("long").alias("revenue"))
+    return audits.generated(t.own_catalogue, t.links, t.latest, gaps)
