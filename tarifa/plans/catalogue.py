@@ -131,7 +131,7 @@ def price_chart_pivot(t):
     return catalogue.chart(closes.select("sku", "day", "store_id", "cents"), ["AFRICA", "ASIA", "EUROPE"])
 
 
-@query(SNAPS, CLOSES, """SELECT sku, store_id, CASE WHEN first_ > 0 THEN round((last_ - first_) * 100 / first_, 1) END AS change_pct, CASE WHEN high > low THEN round((last_ - low) * 100 / (high - low), 1) ELSE 50 END AS range_pct
+@query(SNAPS, CLOSES, """SELECT sku, store_id, CASE WHEN first_ > 0 THEN round((last_ - first_) * 100 / first_, 1) + 0 END AS change_pct, CASE WHEN high > low THEN round((last_ - low) * 100 / (high - low), 1) ELSE 50 END AS range_pct
   FROM (SELECT sku, store_id, arg_min(cents, day) AS first_, arg_max(cents, day) AS last_, min(cents) AS low, max(cents) AS high FROM closes GROUP BY ALL)""")
 def price_sparklines(t):
     return catalogue.sparkline(rollups.day_closes(t.snapshots.drop("sold")))
