@@ -75,7 +75,8 @@ def my_products_page(t):
 
 @query("""SELECT DISTINCT category FROM (SELECT p_type AS category FROM part UNION ALL SELECT CASE (p_partkey // 4) % 16 WHEN 0 THEN 'cat_food_dry' WHEN 1 THEN 'cat_food_dry' WHEN 2 THEN 'dog_food_wet' WHEN 3 THEN 'dog_food_wet' WHEN 4 THEN 'dog_treats' END FROM part) WHERE coalesce(category, '') <> ''""")
 def category_dropdown(t):
-    return catalogue.category_list(t.catalogue.withColumn("subcategory", text.food_form(text.category(F.col("name")), F.col("name"))))
+    rows = t.catalogue.withColumn("kind", text.category(F.col("name")))
+    return catalogue.category_list(rows.withColumn("subcategory", text.food_form(F.col("kind"), F.col("name"))))
 
 
 @query(OWN_ROWS, META, LINKS, "edges AS (SELECT DISTINCT my_sku AS a, 20000000 + my_sku // 16 AS b FROM links)", """SELECT DISTINCT a AS my_sku, b AS other_sku FROM (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges UNION ALL SELECT x.a, y.a FROM edges x JOIN edges y ON x.b = y.b) WHERE a <> b""")

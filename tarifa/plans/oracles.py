@@ -470,8 +470,8 @@ LABELS = """labels(place, category, form, animal, brand, pack, grams) AS (VALUES
 @query(LABELS, "SELECT p_partkey AS sku, category, form, animal, brand, pack, grams::DOUBLE AS grams FROM part JOIN labels ON place = (p_partkey // 4) % 16")
 def product_labels(t):
     n = F.col("name")
-    kind = text.category(n)
-    return t.catalogue.select("sku", kind.alias("category"), text.food_form(kind, n).alias("form"), text.animal(n).alias("animal"), text.brand(n).alias("brand"), text.pack_quantity(n).alias("pack"), text.weight_grams(n).alias("grams"))
+    rows = t.catalogue.withColumn("category", text.category(n))
+    return rows.select("sku", "category", text.food_form(F.col("category"), n).alias("form"), text.animal(n).alias("animal"), text.brand(n).alias("brand"), text.pack_quantity(n).alias("pack"), text.weight_grams(n).alias("grams"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^(?:[a-z]+://)?(?:www\\.)?([^/?#:]+)', 1, 'i')) AS domain FROM pages")
