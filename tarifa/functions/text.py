@@ -19,6 +19,7 @@ PACK_WORD_FIRST = r"(?:pack\s*(?:of\s*)?|carton\s*(?:for\s*)?|box\s*(?:of\s*)?|s
 PACK_WORD_FIRST_AR = r"(?:علبة|عبوة|كرتون|عدد|طقم|مجموعة)\s*(\d+)"
 PACK_PATTERNS = (PACK_COUNT_FIRST, PACK_COUNT_FIRST_AR, PACK_UNIT_FIRST, PACK_WORD_FIRST, PACK_WORD_FIRST_AR)
 PACK_WORDS = ("pack", "carton", "box", "set", "bundle", "علبة", "كرتون", "عدد", "طقم")
+BUNDLE_SUFFIXES = ("pack", "carton", "box", "set", "bundle", "pcs", "multi")
 PACK_SPLIT = r"[\s\-_/|,.;:()\[\]×]+"
 BOWLS = ("صحن", "صحون", "وعاء", "أوعية", "bowl", "feeder", "مغذية")
 FOOD = ("طعام", "غذاء", "food", "دراي", "ويت", "علف", "كيبل", "معلب")
@@ -119,6 +120,17 @@ def pack_quantity(name: Column) -> Column:
     return F.coalesce(stated_pack(name), F.when(word, -1), F.lit(1))
 
 
+def has_pack(name: Column) -> Column:
+    """Whether a name states a pack count, be it 1, or has a pack word as a word of its own."""
+    return stated_pack(name).isNotNull() | (pack_quantity(name) == -1)
+
+
+def is_bundle_sku(sku: Column) -> Column:
+    """Whether a sku ends like a bundle's."""
+    lowered = F.lower(sku)
+    return F.coalesce(reduce(lambda a, b: a | b, (lowered.endswith(x) for x in BUNDLE_SUFFIXES)), F.lit(False))
+
+
 def packs_agree(a: Column, b: Column) -> Column:
     """Of names: equal counts, or two packs of unknown count."""
     return pack_quantity(a) == pack_quantity(b)

@@ -11,10 +11,13 @@ from tarifa.operators.rollups import PAIR, latest, windowed
 
 
 def streaks(rows: DataFrame, as_of: datetime) -> DataFrame:
-    """Per pair the run of discounted readings that the newest one ends: its start, days and readings; none if that isn't discounted."""
+    """Per pair the run of discounted readings that the newest one ends: its start, days and readings; none if that isn't discounted.
+
+    Where no reading of the rows is at the full price, the run may have begun before them: its start is a lower bound.
+    """
     plain = F.max(F.when(F.coalesce("discount_pct", F.lit(0)) <= 0, F.struct("crawled_at", "seq"))).over(Window.partitionBy(*PAIR))
     run = rows.withColumn("plain", plain).where(F.col("plain").isNull() | (F.struct("crawled_at", "seq") > F.col("plain")))
-    found = run.groupBy(*PAIR).agg(F.min("crawled_at").alias("started_at"), F.count("*").alias("readings"))
+    found = run.groupBy(*PAIR).agg(F.min("crawled_at").alias("started_at"), F.count("*").alias("readings"), F.bool_and(F.col("plain").isNull()).alias("is_lower_bound"))
     days = F.floor((F.lit(as_of).cast("long") - F.col("started_at").cast("timestamp").cast("long")) / 86400)
     return found.withColumn("days_on_discount", F.greatest(days, F.lit(0)))
 

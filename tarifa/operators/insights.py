@@ -142,6 +142,21 @@ def freshness(cover: DataFrame, stores: DataFrame, as_of: datetime) -> DataFrame
     return stores.join(counted, "store_id", "left").select("store_id", "newest", *zero)  # a row a store on both sides
 
 
+def freshness_bottleneck(cover: DataFrame, stores: DataFrame) -> DataFrame:
+    """The competitor that was read longest ago, and when: what the market view is as fresh as; one row."""
+    newest = cover.groupBy("store_id").agg(F.max("last_seen_any_at").alias("newest")).join(stores.where("NOT is_own").select("store_id"), "store_id")
+    return newest.agg(F.min("newest").alias("as_fresh_as"), F.min_by("store_id", F.struct("newest", "store_id")).alias("bottleneck"))  # a row a store
+
+
+def age_shares(cover: DataFrame, as_of: datetime) -> DataFrame:
+    """Shares of pairs by age in percent, of at least one pair; one row."""
+    age = F.lit(as_of).cast("long") - F.col("last_seen_any_at").cast("timestamp").cast("long")
+    total = F.greatest(F.count("*"), F.lit(1))
+    share = lambda low, high: F.round(F.count_if((age > low) & (age <= high)) * 100 / total, 1)
+    day = 86400
+    return cover.agg(share(-(1 << 62), day).alias("today_pct"), share(day, 7 * day).alias("this_week_pct"), share(7 * day, 30 * day).alias("this_month_pct"), share(30 * day, 1 << 62).alias("stale_pct"))
+
+
 def horizon(snaps: DataFrame, stores: DataFrame) -> DataFrame:
     """Readings by day, own and competitors'."""
     return snaps.join(stores, "store_id").groupBy(F.to_date("crawled_at").alias("day"), "is_own").agg(F.count("*").alias("readings"))

@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from tarifa.operators import admin, audits, catalogue, estimates, insights, intel, orders, revenue, rollups
+from tarifa.operators import admin, audits, catalogue, discounts, estimates, insights, intel, orders, revenue, rollups
 from tarifa.plans.catalogue import BASE, CATALOGUE, LINKS, META, OWN_ROWS, PACKS, SELLERS
 from tarifa.plans.oracles import AS_OF, BADGES, CLOSES, COVER, DAYS, ESTIMATED, LATEST, ORACLE, PRODUCTS, RECENT, SALES, SINCE, SNAPS, STORES, query, revenue_back_test
 from tarifa.sources import tables
@@ -352,3 +352,37 @@ UNION ALL SELECT sku, min(store_id), 'out_of_stock', '', 0 FROM near WHERE qty >
 def alerts_generated(t):
     gaps = tables.table(t.spark, t.sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.round(F.col("p_retailprice") * 1000).cast("long").alias("revenue"))
     return audits.generated(t.own_catalogue, t.links, t.latest, gaps)
+
+
+@query(CATALOGUE, "SELECT sku, name FROM catalogue WHERE sku IN (3, 17, 199, -1)")
+def point_lookups(t):
+    asked = t.spark.createDataFrame([(3,), (17,), (199,), (-1,)], "sku long")
+    return t.catalogue.join(F.broadcast(asked), "sku").select("sku", "name")  # four rows
+
+
+@query(ORACLE["discounts_top_pct"].removeprefix("WITH ").replace("ORDER BY discount_pct DESC, saving DESC", "ORDER BY saving DESC").rpartition(chr(10) + "SELECT f.sku")[0], "found AS (SELECT f.sku" + ORACLE["discounts_top_pct"].replace("ORDER BY discount_pct DESC, saving DESC", "ORDER BY saving DESC").rpartition(chr(10) + "SELECT f.sku")[2] + ")", "SELECT * FROM found")
+def discounts_top_amount(t):
+    return discounts.deepest(t.snapshots, t.daily, t.stores, AS_OF, DAYS, by="saving")
+
+
+@query(SNAPS, RECENT, """plain AS (SELECT sku, store_id, max((crawled_at, seq)) AS at_ FROM recent WHERE discount_pct <= 0 GROUP BY ALL)""",
+       """SELECT r.sku, r.store_id, min(crawled_at) AS started_at, count(*) AS readings, p.at_ IS NULL AS is_lower_bound, greatest(floor((epoch(TIMESTAMP '2001-11-04') - epoch(min(crawled_at))) / 86400), 0)::BIGINT AS days_on_discount
+FROM recent r LEFT JOIN plain p ON r.sku = p.sku AND r.store_id = p.store_id WHERE p.at_ IS NULL OR (crawled_at, seq) > p.at_ GROUP BY r.sku, r.store_id, p.at_""")
+def discount_streaks(t):
+    return discounts.streaks(t.recent.drop("sold"), AS_OF)
+
+
+@query(SNAPS, CLOSES, SALES, PRODUCTS, """SELECT sku, name, brand, units, revenue FROM pairs JOIN products USING (sku) WHERE store_id = 'ASIA' AND units > 0 ORDER BY units DESC, revenue DESC, sku LIMIT 20""")
+def top_sellers_of_store(t):
+    return insights.top_sellers(t.pairs.where("store_id = 'ASIA'"), t.products)
+
+
+@query(SNAPS, COVER, STORES, """newest AS (SELECT store_id, max(last_seen_any_at) AS newest FROM cover JOIN stores USING (store_id) WHERE NOT is_own GROUP BY store_id)""", "SELECT min(newest) AS as_fresh_as, arg_min(store_id, (newest, store_id)) AS bottleneck FROM newest")
+def freshness_bottleneck(t):
+    return insights.freshness_bottleneck(t.cover, t.stores)
+
+
+@query(SNAPS, COVER, """SELECT round(count(*) FILTER (age <= 86400) * 100 / greatest(count(*), 1), 1) AS today_pct, round(count(*) FILTER (age > 86400 AND age <= 604800) * 100 / greatest(count(*), 1), 1) AS this_week_pct,
+  round(count(*) FILTER (age > 604800 AND age <= 2592000) * 100 / greatest(count(*), 1), 1) AS this_month_pct, round(count(*) FILTER (age > 2592000) * 100 / greatest(count(*), 1), 1) AS stale_pct FROM (SELECT epoch(TIMESTAMP '2001-11-04') - epoch(last_seen_any_at) AS age FROM cover)""")
+def freshness_shares(t):
+    return insights.age_shares(t.cover, AS_OF)

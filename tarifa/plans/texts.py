@@ -112,3 +112,9 @@ def newest_upserted(t):
     rows = t.snapshots.drop("sold")
     newest = lambda where: rollups.latest(rows.where(where)).select("sku", "store_id", "crawled_at", "cents")
     return ingest.upsert(newest("crawled_at < '2000-01-01'"), newest("crawled_at >= '2000-01-01'"), ["sku", "store_id"], "crawled_at")
+
+
+@query("""SELECT p_partkey AS sku, (p_partkey // 4) % 16 IN (1, 3, 12, 14) AS has_pack, p_partkey % 4 IN (1, 2) AS is_bundle_sku FROM part""")
+def pack_indicators(t):
+    sku = F.expr("CASE sku % 4 WHEN 0 THEN concat('A', sku) WHEN 1 THEN concat('A', sku, '-BOX') WHEN 2 THEN concat(sku, 'multi') END")
+    return t.catalogue.select("sku", text.has_pack(F.col("name")).alias("has_pack"), text.is_bundle_sku(sku).alias("is_bundle_sku"))
