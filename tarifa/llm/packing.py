@@ -26,7 +26,7 @@ from tarifa.llm.shared import REMEMBERED, blocks, forget, stored, utf8, word_ran
 SIZE, GROUP = 2048, 1 << 16
 #: Bytes of parts of words and ids that a worker remembers in each of two generations; the longest part that it remembers; bytes of text
 #: that it tokenizes at a time.
-GENERATION_BYTES, LONGEST, BLOCK_BYTES = 64 << 20, 64, 4 << 20
+GENERATION_BYTES, LONGEST, BLOCK_BYTES = 24 << 20, 64, 2 << 20
 #: What a remembered part takes besides its bytes and ids.
 ENTRY_BYTES = 160
 #: Letters that a worker folds and gives to the model as they are, once folded.
