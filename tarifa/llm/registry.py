@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarifa.llm import chat, exact, jaccard, mixing, packing, pii, quality, rules, substrings, tokens
+from tarifa.llm import chat, exact, jaccard, mixing, packing, pii, quality, rules, search, substrings, tokens
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_token_counts": tokens.query,
     "op9_quality_rules": rules.query,
     "op10_packing": packing.query,
+    "op11_lexical_search": search.query,
 }
-ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_exact_dedup": exact.ORACLE, "op6_chat_formatting": chat.ORACLE, "op9_quality_rules": rules.ORACLE}
+ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_exact_dedup": exact.ORACLE, "op6_chat_formatting": chat.ORACLE, "op9_quality_rules": rules.ORACLE, "op11_lexical_search": search.ORACLE}
