@@ -2,8 +2,8 @@
 
 One pass over the documents keeps, of each, its length in terms and how often it has each term that some item asks for; that table is
 written to the shared folder, and gives the corpus counts. A shard is a run of about SHARD_DOCS documents of one of its parts. In a
-shard, documents are ordered by length and cut into ranges of FAN, those into ranges of FAN ranges, and so on; each term has, for each range that
-holds it, the most that it can add to a score there. The sum of these over an item's terms bounds every score in a range. The search opens
+shard, documents are ordered by the least hash of their terms, which puts similar ones together, and by length, and cut into ranges of FAN, those
+into ranges of FAN ranges, and so on; each term has, for each range that holds it, the most that it can add to a score there. The sum of these over an item's terms bounds every score in a range. The search opens
 the range with the highest bound, until the bounds left are below the k-th score; ranges whose bound equals it are
 opened, because ties go to the least doc_id.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarifa.llm import terms
-from tarifa.llm.shared import forget, lower_ascii, stored
+from tarifa.llm.shared import forget, lower_ascii, mix64, stored
 
 #: Ranges in a range; documents and postings of a shard.
 FAN, SHARD_DOCS, SHARD_POSTINGS = 16, 4096, 2_000_000
@@ -68,9 +68,11 @@ class Tree:
         base = asked << _NODES
         low = keys.searchsorted(base | first)
         n = keys.searchsorted(base | last) - low
-        at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        ends = n.cumsum()
+        at = (low - ends + n).repeat(n)
+        at += np.arange(ends[-1])
         out = np.zeros(last - first, np.int64)
-        np.add.at(out, (keys[at] & ((1 << _NODES) - 1)) - first, np.repeat(weights, n) * value[at])
+        np.add.at(out, (keys[at] & ((1 << _NODES) - 1)) - first, weights.repeat(n) * value[at])
         return out
 
     def children(self, level: int, node: int) -> tuple[int, int]:
@@ -96,7 +98,7 @@ class Tree:
                 return
             first, last = self.children(level, node) if level else (node, node + 1)  # a single document is the whole tree
             below = self.bounds(max(level - 1, 0), first, last, asked, weights)
-            for i in np.flatnonzero(below >= best.least()).tolist():
+            for i in (below >= best.least()).nonzero()[0].tolist():
                 if level > 1:
                     heapq.heappush(queue, (-int(below[i]), level - 1, first + i))
                 else:
@@ -153,7 +155,8 @@ def _shards(batches: Iterator[pa.RecordBatch], documents: int, total: int) -> It
 
     def made() -> tuple[list, Tree]:
         n, size, term, times = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(n, kind="stable")
+        least = np.minimum.reduceat(mix64(term.astype(np.uint64)), np.cumsum(size) - size)
+        order = np.lexsort((n, least))
         place = np.empty(len(n), np.int64)
         place[order] = np.arange(len(n))
         m = 10 + (90 * n * documents) // max(total, 1)
