@@ -22,18 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarifa.llm import terms
-from tarifa.llm.shared import forget, lower_ascii, mix64, stored
+from tarifa.llm.shared import forget, lower_ascii, mix64, stored, top
 
 #: Ranges in a range; documents and postings of a shard.
 FAN, SHARD_DOCS, SHARD_POSTINGS = 16, 4096, 2_000_000
 #: Characters of items that are searched together: their terms and floors are sent to every task.
 BLOCK_CHARS = 2_000_000
-#: How many keys the first of two rankings deals an item's rows over.
-PARTS = 64
 _NODES = np.int64(32)  # a posting's key: term, and below these bits its node
 
 
@@ -208,14 +206,6 @@ def _searched(items: Items, weights: np.ndarray, documents: int, total: int, k:
     return searched
 
 
-def top(rows: DataFrame, group: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
-    """The first k rows of each group, ranked: within parts of the group first, so that no task gets all of one."""
-    within = Window.partitionBy(*group, "_part").orderBy(*order)
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns if c not in group)), F.lit(PARTS)))
-    rows = rows.withColumn(rank, F.row_number().over(within)).where(F.col(rank) <= k).drop("_part")
-    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
-
-
 def _blocks(items: DataFrame) -> Iterator[list]:
     """Distinct items (item_id, text) in blocks of about BLOCK_CHARS characters."""
     items = items.select("item_id", lower_ascii(F.col("text")).alias("text")).distinct()

@@ -10,7 +10,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters between words: space and the controls from tab to carriage return.
@@ -75,6 +75,14 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def top(rows: DataFrame, group: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
+    """The first k rows of each group, ranked: within parts of the group first, so that no task gets all of one."""
+    within = Window.partitionBy(*group, "_deal").orderBy(*order)
+    rows = rows.withColumn("_deal", F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns if c not in group)), F.lit(SALTS)))
+    rows = rows.withColumn(rank, F.row_number().over(within)).where(F.col(rank) <= k).drop("_deal")
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
+
+
 def word_count(text: Column) -> Column:
     """Words in text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
