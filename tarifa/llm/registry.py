@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarifa.llm import chat, divergence, exact, jaccard, mixing, packing, pii, quality, rules, search, substrings, tokens
+from tarifa.llm import chat, divergence, exact, jaccard, mixing, packing, pii, quality, rules, search, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": rules.query,
     "op10_packing": packing.query,
     "op11_lexical_search": search.query,
+    "op12_toxicity": toxicity.query,
     "op13_source_divergence": divergence.query,
 }
 ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_exact_dedup": exact.ORACLE, "op6_chat_formatting": chat.ORACLE, "op9_quality_rules": rules.ORACLE, "op11_lexical_search": search.ORACLE, "op13_source_divergence": divergence.ORACLE}
