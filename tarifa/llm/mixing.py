@@ -1,6 +1,6 @@
 """Mixing sources to target weights, by hash-threshold histograms. DataFrame functions only.
 
-Every row has a hash, of its id and text. A source that shall give more or fewer words than it has takes each of its
+Every row has a hash, of its id, source and text. A source that shall give more or fewer words than it has takes each of its
 documents a whole number of times, and those with a hash below the source's threshold once more. The threshold
 is found from sums of words by source and hash bucket; only the bucket in which the budget ends is looked at again,
 with finer buckets. Nothing is sorted by document, and a document's copies are nested: who is in a
@@ -20,10 +20,10 @@ KEYS = ["no_source", "source_key"]
 
 
 def _measured() -> list:
-    """Source, size in words, and a print of id and text, as columns over documents."""
+    """Source, size in words, and a print of id, source and text, as columns over documents."""
     return [
         F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), word_count(F.col("text")).alias("size"),
-        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\x01"), F.coalesce("text", F.lit("")))).alias("print"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\x01"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), F.lit("\x01"), F.coalesce("text", F.lit("")))).alias("print"),
     ]
 
 
@@ -35,8 +35,8 @@ def _bits(md5):
 def hashed(rows: DataFrame) -> DataFrame:
     """rows (print, ...) with `hash` in place of `print`: a row's own, though others have its id or its text.
 
-    Repeats of one row (id and text) are numbered, and all but the first are hashed with their number. Which of them is first doesn't
-    matter. They are numbered part by part, so a row that a third of all rows repeat isn't one task's.
+    Repeats of one row (id, source and text) are numbered, and all but the first are hashed with their number. Which of them is first doesn't
+    matter: they are alike. They are numbered part by part, so a row that a third of all rows repeat isn't one task's.
     """
     repeated = stored(rows.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "mix-repeats")
     if not repeated.limit(1).count():
@@ -146,7 +146,7 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
 ORACLE = r"""
 WITH printed AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '') || chr(1) || coalesce(text, '')) AS print FROM documents),
+         md5(coalesce(doc_id::VARCHAR, '') || chr(1) || coalesce('=' || source, '') || chr(1) || coalesce(text, '')) AS print FROM documents),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY print) AS number FROM printed),
 sized AS (
   SELECT doc_id, source, size, ('0x' || substr(CASE WHEN number = 1 THEN print ELSE md5(print || ':' || number) END, 1, 9))::BIGINT AS hash

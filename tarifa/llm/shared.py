@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable
 
@@ -32,13 +33,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Paths of the tables that stored() has written and nobody has removed yet.
-_STORED: list[str] = []
+class _Paths(threading.local):
+    """Paths of the tables that stored() has written in this thread and nobody has removed yet: runs in two threads don't meet."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_OWN = _Paths()
+
+
+def stored_paths() -> set[str]:
+    return set(_OWN.paths)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _STORED.append(path)
+    _OWN.paths.append(path)
     return path
 
 
@@ -53,13 +64,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def remove_stored(spark: SparkSession, keep: Iterable[str] = ()) -> None:
-    """Remove all tables that this driver's stored() and new_path() have named, but for those to keep."""
+    """Remove all tables that stored() and new_path() have named in this thread, but for those to keep."""
     keep = set(keep)
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in [p for p in _STORED if p not in keep]:
+    for path in [p for p in _OWN.paths if p not in keep]:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(hadoop).delete(at, True)
-        _STORED.remove(path)
+        _OWN.paths.remove(path)
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

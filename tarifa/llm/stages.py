@@ -48,7 +48,7 @@ def _one_a_group(docs: DataFrame, found: DataFrame, best) -> DataFrame:
     again = stored(judged.where((F.col(ROW) == F.col("stays")) & (F.col("times") > 1)).select(ROW), "stage-again")
     kept = _join(_whole(docs, _row()), gone, "left_anti")
     if again.limit(1).count():
-        once = _join(kept, again, "left_semi").groupBy(ROW).agg(F.min("doc").alias("doc"))
+        once = _join(kept, again, "left_semi").groupBy(ROW).agg(F.any_value("doc").alias("doc"))  # repeats: any will do, whatever their columns' types
         kept = _join(kept, again, "left_anti").select("doc").unionByName(once.select("doc"))
     return kept.select("doc.*")
 

@@ -11,12 +11,12 @@ agree on the bytes before the anchor, the strings are the same; all but those of
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +30,11 @@ OFFSETS = SPAN - KGRAM + 1
 RUN_ROWS = 300_000
 _NO_ID = (1 << 63) - 1
 _SENT = "range int, kind int, payload binary"
-_MARKS = "doc_id bigint, crc bigint, marks binary"
-_SUFFIX = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("at", "<u8"), ("low", "u1"), ("high", "u1"), ("length", "u1"), ("common", "u1")])
-_MARK = np.dtype([("at", "<u8"), ("mask", "<u4")])
+_MARKS = "doc_id bigint, print bigint, marks binary"
+#: print: 64 bits of the text, which tell apart texts under one id; at: a string has less than 2**31 bytes.
+_SUFFIX = np.dtype([("doc", "<i8"), ("print", "<i8"), ("at", "<u4"), ("low", "u1"), ("high", "u1"), ("length", "u1"), ("common", "u1")])
+_MARK = np.dtype([("at", "<u4"), ("mask", "<u4")])
+_MADE = np.dtype([("doc", "<i8"), ("print", "<i8"), ("at", "<u4"), ("mask", "<u4")])
 
 
 def anchors(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -169,24 +171,24 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[in
     return order, index, common
 
 
-def _pack_marks(doc: np.ndarray, crc: np.ndarray, at: np.ndarray, mask: np.ndarray) -> tuple[list, list, list]:
+def _pack_marks(doc: np.ndarray, prints: np.ndarray, at: np.ndarray, mask: np.ndarray) -> tuple[list, list, list]:
     """One row a text."""
-    order = np.lexsort((crc, doc))
-    doc, crc = doc[order], crc[order]
+    order = np.lexsort((prints, doc))
+    doc, prints = doc[order], prints[order]
     marks = np.empty(len(order), _MARK)
     marks["at"], marks["mask"] = at[order], mask[order]
     new = np.ones(len(order), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])
+    new[1:] = (doc[1:] != doc[:-1]) | (prints[1:] != prints[:-1])
     cuts = np.append(np.flatnonzero(new), len(order)).tolist()
-    return doc[new].tolist(), crc[new].tolist(), [marks[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+    return doc[new].tolist(), prints[new].tolist(), [marks[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 def _owned(rows: pd.DataFrame) -> pd.DataFrame:
     """Marks of one range: those that tasks have made, and those that its merged runs show."""
-    ids, crcs, marks = [], [], []
+    ids, prints, marks = [], [], []
     for payload in rows.loc[rows["kind"] == 1, "payload"]:
-        made = np.frombuffer(payload, np.dtype([("doc", "<i8"), ("crc", "<u4"), ("at", "<u8"), ("mask", "<u4")]))
-        for out, part in zip((ids, crcs, marks), _pack_marks(made["doc"], made["crc"], made["at"], made["mask"])):
+        made = np.frombuffer(payload, _MADE)
+        for out, part in zip((ids, prints, marks), _pack_marks(made["doc"], made["print"], made["at"], made["mask"])):
             out += part
     runs = [decoded(p) for p in rows.loc[rows["kind"] == 0, "payload"]]
     if runs:
@@ -211,9 +213,9 @@ def _owned(rows: pd.DataFrame) -> pd.DataFrame:
             least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(key))))
             mask[own[by_key[doc > least]]] |= np.uint32(1 << r)
         gone = np.flatnonzero(mask)
-        for out, part in zip((ids, crcs, marks), _pack_marks(table["doc"][gone], table["crc"][gone], table["at"][gone], mask[gone])):
+        for out, part in zip((ids, prints, marks), _pack_marks(table["doc"][gone], table["print"][gone], table["at"][gone], mask[gone])):
             out += part
-    return pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "crc": pd.Series(crcs, dtype="int64"), "marks": pd.Series(marks, dtype=object)})
+    return pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "print": pd.Series(prints, dtype="int64"), "marks": pd.Series(marks, dtype=object)})
 
 
 def _removed(size: int, marks: np.ndarray) -> np.ndarray:
@@ -246,9 +248,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes for every row of docs (doc_id, text).
 
     A byte goes when a string of SPAN bytes covers it that also starts in a text with a smaller doc_id. Null counts as
-    empty; texts shorter than SPAN keep everything. Rows with one doc_id don't take from each other; a null doc_id counts as larger
-    than any. What stays may cut a character in two, so it is bytes. An empty table gives an empty result; extra
-    columns are not read.
+    empty; texts shorter than SPAN keep everything; a very long text is judged whole, block by block. Rows with one doc_id, repeated
+    rows too, don't take from each other, and each is judged by its own text; a null doc_id counts as larger than any. What stays
+    may cut a character in two, so it is bytes. An empty table gives an empty result; extra columns are not read.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -270,8 +272,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             new[1:] |= table[name][1:] != table[name][:-1]
         least = table["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
         later = table["doc"] > least
-        made = np.empty(int(later.sum()), np.dtype([("doc", "<i8"), ("crc", "<u4"), ("at", "<u8"), ("mask", "<u4")]))
-        for name in ("doc", "crc", "at"):
+        made = np.empty(int(later.sum()), _MADE)
+        for name in ("doc", "print", "at"):
             made[name] = table[name][later]
         low, high = table["low"][later].astype(np.uint64), table["high"][later].astype(np.uint64)
         made["mask"] = ((np.uint64(1) << (high + np.uint64(1))) - (np.uint64(1) << low)).astype(np.uint32)
@@ -303,9 +305,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     continue
                 found, place, first, last = found[some], place[some], first[some], last[some]
                 text = np.searchsorted(at, place, "right") - 1
-                crcs = np.array([zlib.crc32(own[at[i] : at[i + 1]].data) for i in range(b - a)], np.uint32)
+                prints = np.array([xxhash.xxh64_intdigest(own[at[i] : at[i + 1]].tobytes(), 42) for i in range(b - a)], np.uint64).view(np.int64)  # as xxhash64() of Spark
                 table = np.zeros(len(some), _SUFFIX)
-                table["doc"], table["crc"], table["at"] = ids[a + text], crcs[text], place - at[text]
+                table["doc"], table["print"], table["at"] = ids[a + text], prints[text], place - at[text]
                 table["low"], table["high"] = place - last, place - first
                 length = np.minimum(SPAN, at[text + 1] - place)
                 table["length"] = length
@@ -319,10 +321,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         yield flush(parts)
 
     merged = docs.mapInArrow(sent, _SENT).groupBy("range").applyInPandas(_owned, _MARKS)
-    marks = merged.groupBy("doc_id", "crc").agg(F.collect_list("marks").alias("marks"))
+    marks = merged.groupBy("doc_id", "print").agg(F.collect_list("marks").alias("marks"))
     key = F.coalesce("doc_id", F.lit(_NO_ID)).alias("key")
-    texts = docs.select(key, "doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
-    joined = texts.join(marks.withColumnRenamed("doc_id", "key"), ["key", "crc"], "left").select("doc_id", "text", "marks")
+    texts = docs.select(key, "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"))
+    joined = texts.join(marks.withColumnRenamed("doc_id", "key"), ["key", "print"], "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(_applied, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 

@@ -175,7 +175,7 @@ def test_run_hands_on_clean_texts_and_leaves_only_its_result(spark, monkeypatch)
     seen = {}
     last = lambda spark, docs, sf_dir: seen.setdefault("rows", docs.collect()) and docs
     monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:2], ("last", last)])
-    before = set(shared._STORED)
+    before = shared.stored_paths()
     assert corpus_pipeline.run(spark, SMALL).count() == len(seen["rows"]) > 0
     assert all(r.text == brute_clean(r.text) for r in seen["rows"])
-    assert len(set(shared._STORED) - before) == 1
+    assert len(shared.stored_paths() - before) == 1
