@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarifa.llm import stages
-from tarifa.llm.shared import _STORED, new_path, remove_stored
+from tarifa.llm.shared import new_path, remove_stored, stored_paths
 from tarifa.session import ship
 
 
@@ -33,7 +33,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn, each written to the shared folder and read again; what a stage has left there goes once it is written."""
     ship(spark)
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(_STORED)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), stored_paths()
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
