@@ -149,7 +149,10 @@ def counts(docs: DataFrame, least: int) -> DataFrame:
     bits, full = sketch(docs, least)
     shared = docs.sparkSession.sparkContext.broadcast(full)  # ROWS << MOST_BITS bits at most
     found = docs.select("lang", "source", "text").mapInArrow(_counted(bits, shared), "lang string, source string, term string, times bigint, documents bigint")
-    return found.groupBy("lang", "source", "term").agg(F.sum("times").alias("times"), F.sum("documents").alias("documents"))
+    keys = ["lang", "source", "term"]
+    return found.repartition(*keys).groupBy(*keys).agg(  # tasks have summed what is theirs, so summing again before the shuffle would find nothing
+        F.sum("times").alias("times"), F.sum("documents").alias("documents")
+    )
 
 
 def _share(times: Column, size: Column, kept: Column) -> Column:
