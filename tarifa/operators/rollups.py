@@ -34,26 +34,34 @@ def latest(snaps: DataFrame, keys: list[str] = PAIR) -> DataFrame:
 
 def coverage(snaps: DataFrame) -> DataFrame:
     """Per pair, five latest rows under conditions of their own, in one aggregation; an absent one is null."""
+    return coverage_of(coverage_state(snaps))
+
+
+def coverage_state(snaps: DataFrame) -> DataFrame:
+    """What coverage() is made of, a row a pair: the newest accepted and the newest priced reading as structs that begin with their time, and times."""
     accepted = F.col("confidence") >= MIN_CONFIDENCE
-    priced = accepted & F.col("cents").isNotNull()
     positive = accepted & (F.col("cents") > 0)
     at = F.struct("crawled_at", "seq")
     newest = lambda value, when: F.max_by(F.when(when, value), F.when(when, at))
-    last = F.struct("crawled_at", "cents", "confidence", "in_stock", "qty")
-    return (
-        snaps.groupBy(*PAIR)
-        .agg(
-            F.max("crawled_at").alias("last_seen_any_at"),
-            newest(last, priced).alias("l"),
-            newest(F.struct("crawled_at", "cents"), positive).alias("p"),
-            F.max(F.when(positive & (F.col("sold") > 0), F.col("crawled_at"))).alias("last_sold_pos_at"),
-            F.max(F.when(positive & (F.col("qty") > 0) & (F.col("qty") <= USABLE_QTY), F.col("crawled_at"))).alias("last_usable_qty_at"),
-        )
-        .select(
-            *PAIR, "last_seen_any_at", F.col("l.crawled_at").alias("last_seen_at"), F.col("l.cents").alias("last_cents"), F.col("l.confidence").alias("last_confidence"),
-            F.col("l.in_stock").alias("last_in_stock"), F.col("l.qty").alias("last_qty"), F.col("p.crawled_at").alias("last_priced_at"), F.col("p.cents").alias("last_priced_cents"),
-            "last_sold_pos_at", "last_usable_qty_at",
-        )
+    return snaps.groupBy(*PAIR).agg(
+        F.max("crawled_at").alias("last_seen_any_at"),
+        newest(F.struct("crawled_at", "seq", "cents", "confidence", "in_stock", "qty"), accepted & F.col("cents").isNotNull()).alias("l"),
+        newest(F.struct("crawled_at", "seq", "cents"), positive).alias("p"),
+        F.max(F.when(positive & (F.col("sold") > 0), F.col("crawled_at"))).alias("last_sold_pos_at"),
+        F.max(F.when(positive & (F.col("qty") > 0) & (F.col("qty") <= USABLE_QTY), F.col("crawled_at"))).alias("last_usable_qty_at"),
+    )
+
+
+def merged_coverage(states: DataFrame) -> DataFrame:
+    """One coverage_state() of several."""
+    return states.groupBy(*PAIR).agg(*(F.max(c).alias(c) for c in states.columns if c not in PAIR))
+
+
+def coverage_of(state: DataFrame) -> DataFrame:
+    return state.select(
+        *PAIR, "last_seen_any_at", F.col("l.crawled_at").alias("last_seen_at"), F.col("l.cents").alias("last_cents"), F.col("l.confidence").alias("last_confidence"),
+        F.col("l.in_stock").alias("last_in_stock"), F.col("l.qty").alias("last_qty"), F.col("p.crawled_at").alias("last_priced_at"), F.col("p.cents").alias("last_priced_cents"),
+        "last_sold_pos_at", "last_usable_qty_at",
     )
 
 
@@ -63,11 +71,26 @@ def day_closes(snaps: DataFrame) -> DataFrame:
     return latest(accepted.withColumn("day", F.to_date("crawled_at")), [*PAIR, "day"])
 
 
+def with_drops(closes: DataFrame) -> DataFrame:
+    """Day closes with `dropped`: 1 where the price is below that of the close before, else 0."""
+    before = F.lag("cents").over(Window.partitionBy(*PAIR).orderBy("day"))
+    return closes.withColumn("dropped", F.coalesce(F.col("cents") < before, F.lit(False)).cast("long"))
+
+
+def trust(snaps: DataFrame) -> DataFrame:
+    """store_id, day, conf_sum, conf_count: confidence over every accepted row."""
+    accepted = snaps.where(F.col("confidence") >= MIN_CONFIDENCE)
+    return accepted.groupBy("store_id", F.to_date("crawled_at").alias("day")).agg(F.sum("confidence").alias("conf_sum"), F.count("*").alias("conf_count"))
+
+
 def daily_rollups(snaps: DataFrame) -> DataFrame:
     """store_id, day, drops, conf_sum, conf_count: price drops between day closes; confidence over every accepted row."""
-    before = F.lag("cents").over(Window.partitionBy(*PAIR).orderBy("day"))
-    drops = day_closes(snaps).withColumn("before", before).groupBy("store_id", "day").agg(F.count_if(F.col("cents") < F.col("before")).alias("drops"))
-    trust = snaps.where(F.col("confidence") >= MIN_CONFIDENCE).groupBy("store_id", F.to_date("crawled_at").alias("day")).agg(F.sum("confidence").alias("conf_sum"), F.count("*").alias("conf_count"))
+    return rollups_of(with_drops(day_closes(snaps)), trust(snaps))
+
+
+def rollups_of(closes: DataFrame, trust: DataFrame) -> DataFrame:
+    """daily_rollups() from day closes with `dropped` and from trust()."""
+    drops = closes.groupBy("store_id", "day").agg(F.sum("dropped").alias("drops"))
     return drops.join(trust, ["store_id", "day"], "full").select("store_id", "day", F.coalesce("drops", F.lit(0)).alias("drops"), F.coalesce("conf_sum", F.lit(0)).alias("conf_sum"), F.coalesce("conf_count", F.lit(0)).alias("conf_count"))
 
 
@@ -76,7 +99,16 @@ def sales_daily(snaps: DataFrame) -> DataFrame:
 
     Day closes without a positive price are left out; the counter goes against the close before, stock against the last usable one.
     """
-    closes = day_closes(snaps).where("cents > 0")
+    return sales_of(day_closes(snaps)).where(SOLD)
+
+
+#: Days on which anything sold.
+SOLD = "units_sold > 0 OR units_qty > 0 OR qty_drop > 0"
+
+
+def sales_of(closes: DataFrame) -> DataFrame:
+    """sales_daily() of all day closes with a positive price, also of those on which nothing sold."""
+    closes = closes.where("cents > 0")
     order = Window.partitionBy(*PAIR).orderBy("day")
     stock = F.when(usable_qty(F.col("qty")), F.col("qty"))
     closes = closes.withColumn("valid", stock).withColumn("last_valid", F.last("valid", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
@@ -84,7 +116,7 @@ def sales_daily(snaps: DataFrame) -> DataFrame:
     raw = F.lag("qty").over(order) - F.col("qty")
     closes = closes.withColumn("units_sold", F.coalesce(F.least(F.greatest(step, F.lit(0)), F.lit(MAX_SOLD_STEP)), F.lit(0)).cast("long"))
     closes = closes.withColumn("units_qty", F.coalesce(F.least(F.greatest(drop, F.lit(0)), F.lit(MAX_DAILY_UNITS)), F.lit(0)).cast("long"))
-    closes = closes.withColumn("qty_drop", F.coalesce(F.greatest(raw, F.lit(0)), F.lit(0)).cast("long")).where("units_sold > 0 OR units_qty > 0 OR qty_drop > 0")
+    closes = closes.withColumn("qty_drop", F.coalesce(F.greatest(raw, F.lit(0)), F.lit(0)).cast("long"))
     return closes.select("store_id", "sku", "day", "units_sold", (F.col("units_sold") * F.col("cents")).alias("rev_sold"), "units_qty", (F.col("units_qty") * F.col("cents")).alias("rev_qty"), "qty_drop")
 
 
