@@ -107,15 +107,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _with_features(wanted: dict[int, int] | None) -> Callable:
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        known: dict[bytes, tuple] = {}
+def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
+    known: dict[bytes, tuple] = {}
+    for batch in batches:
+        own = [sorted(features(text, known)) for text in terms.texts(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("print"), pa.array(own, pa.list_(pa.int32()))], ["label", "print", "features"])
+
+
+def _numbered(wanted: dict[int, int]) -> Callable:
+    """The numbers of the learned features of each row."""
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [sorted(features(text, known, wanted)) for text in terms.texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("print"), pa.array(own, pa.list_(pa.int32()))], ["label", "print", "features"])
+            own = [np.array(sorted(wanted[f] for f in row if f in wanted), np.int32).tobytes() for row in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("print"), pa.array(own, pa.binary())], ["label", "print", "features"])
 
-    return found
+    return numbered
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING, most_features: int = FEATURES) -> dict:
@@ -127,7 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING, most_feature
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # `most` rows at most
     texts = texts.select("label", F.xxhash64("doc_id", "text").alias("print"), "text")
-    found = stored(texts.mapInArrow(_with_features(None), "label double, print bigint, features array<int>").dropDuplicates(["print"]).orderBy("print").limit(most), "toxicity-sample")
+    prints = texts.select("print").distinct().orderBy("print").limit(most)  # fewer only where ids have several texts
+    texts = texts.join(F.broadcast(prints), "print")
+    found = stored(texts.mapInArrow(_with_features, "label double, print bigint, features array<int>").dropDuplicates(["print"]), "toxicity-sample")
     whole = found.agg(F.avg("label"), F.count("*")).first()
     if not whole[1]:
         return {"wanted": {}} | fit([], np.zeros(0), 0)
@@ -136,9 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING, most_feature
     far = F.abs(F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
     chosen = [r.feature for r in each.orderBy(far.desc(), "feature").limit(most_features).select("feature").collect()]  # most_features rows
     wanted = {f: i for i, f in enumerate(sorted(chosen))}
-    kept = F.array_intersect("features", F.array(*map(F.lit, sorted(chosen))) if chosen else F.array().cast("array<int>"))
-    rows = found.select("label", "print", kept.alias("features")).orderBy("print").collect()  # `most` rows of chosen features
-    bags = [np.array(sorted(wanted[f] for f in r.features), np.int32) for r in rows]
+    rows = found.mapInArrow(_numbered(wanted), "label double, print bigint, features binary").collect()  # `most` rows of learned features
+    rows.sort(key=lambda r: r.print)
+    bags = [np.frombuffer(r.features, np.int32) for r in rows]
     return {"wanted": wanted} | fit(bags, np.array([r.label for r in rows]), len(wanted))
 
 
