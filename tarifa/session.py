@@ -18,15 +18,16 @@ def session(app: str = "tarifa", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-#: Rows that Python gets at a time; rows may hold long texts.
-BATCH_ROWS = 2_000
+#: Rows and bytes that Python gets at a time; rows may hold long texts.
+BATCH_ROWS, BATCH_BYTES = 2_000, 32 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make a session ready: Python gets few rows at a time, and executors can import this package, which is sent once a context."""
+    """Make a session ready: Python gets few rows and bytes at a time, which this sets for the whole session, and executors can import this package, which is sent once a context."""
     context = spark.sparkContext
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if not getattr(context, "_tarifa_shipped", False):
         root = Path(__file__).resolve().parent
         path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "tarifa.zip")
