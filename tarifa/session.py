@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tarifa", **conf: str) -> SparkSession:
@@ -37,3 +38,18 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         context._tarifa_shipped = True
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written once to the folder of spark.checkpoint.dir and read back: for loops whose plans would grow, and what is read twice.
+
+    Where the setting is missing, a `local` master gets a folder of its own; a cluster has none that all share.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

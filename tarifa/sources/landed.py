@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarifa.sources.markup import Page, Selectors
+
 _ITEM = "struct<id:string,sku:string,name:string,price:string,sale_price:string,quantity:string>"
 #: Where the envelopes of different shops keep their list.
 ENVELOPES = ("data", "products", "results", "items")
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Where pages of each kind of shop have their cards, and what is in them.
 PROFILES = {
     "salla": {
@@ -53,80 +53,18 @@ def catalogue(payloads: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("page", *rest)).alias("r")).select("id", *(f"r.{c}" for c in rest))
 
 
-class _Node:
-    def __init__(self, tag: str, attrs: dict, parent: _Node | None):
-        self.tag, self.attrs, self.parent, self.classes = tag, attrs, parent, (attrs.get("class") or "").split()
-        self.below: list[_Node] = []
-        self.texts: list[str] = []
-
-    def all(self) -> Iterator[_Node]:
-        for node in self.below:
-            yield node
-            yield from node.all()
-
-    def text(self) -> str:
-        return " ".join(x for x in [*self.texts, *(n.text() for n in self.below)] if x)
-
-    def fits(self, selector: str) -> bool:
-        """A tag, .class, [attribute], tag.class, or `outer inner`."""
-        outer, _, inner = selector.rpartition(" ")
-        tag, _, name = inner.partition(".")
-        own = inner[1:-1] in self.attrs if inner[0] == "[" else (not tag or tag == self.tag) and (not name or name in self.classes)
-        return own and (not outer or any(n.fits(outer) for n in self.above()))
-
-    def above(self) -> Iterator[_Node]:
-        node = self.parent
-        while node:
-            yield node
-            node = node.parent
-
-    def first(self, selectors: tuple[str, ...]) -> _Node | None:
-        """What the first selector that finds anything finds first."""
-        return next((n for s in selectors for n in self.all() if n.fits(s)), None)
-
-
-class _Page(HTMLParser):
-    """A page's elements as a tree; what isn't closed ends with what holds it."""
-
-    def __init__(self):
-        super().__init__()
-        self.root = self.at = _Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        node = _Node(tag, dict(attrs), self.at)
-        self.at.below.append(node)
-        if tag not in _VOID:
-            self.at = node
-
-    def handle_endtag(self, tag):
-        found = next((n for n in [self.at, *self.at.above()] if n.tag == tag), None)
-        if found and found.parent:
-            self.at = found.parent
-
-    def handle_data(self, data):
-        if data.strip():
-            self.at.texts.append(data.strip())
+_SCRIPT = "script"
+_ALL = Selectors([_SCRIPT, *(x for profile in (*PROFILES.values(), SIGNED_IN) for own in profile.values() for x in own)])
 
 
-def _tree(html: str | None) -> _Node:
-    page = _Page()
-    page.feed(html or "")
-    return page.root
-
-
-def _shown(card: _Node, selectors: tuple[str, ...]) -> str:
-    node = card.first(selectors)
-    return node.text() if node else ""
-
-
-def _linked(root: _Node) -> list[dict[str, str]]:
+def _linked(page: Page) -> list[dict[str, str]]:
     out = []
-    for node in root.all():
-        if node.tag != "script" or node.attrs.get("type") != "application/ld+json":
+    for node in page.hits.get(_SCRIPT, ()):
+        if page.attrs[node].get("type") != "application/ld+json":
             continue
         try:
-            data = json.loads(" ".join(node.texts))
-        except ValueError:
+            data = json.loads(page.attrs[node].get("#") or "")
+        except (ValueError, RecursionError):
             continue
         for one in data if isinstance(data, list) else data.get("itemListElement", [data]) if isinstance(data, dict) else []:
             one = one.get("item", one) if isinstance(one, dict) else {}
@@ -137,35 +75,33 @@ def _linked(root: _Node) -> list[dict[str, str]]:
     return out
 
 
-def cards(html: str | None) -> list[dict[str, str]]:
-    """Names, price texts and images of a page's cards by the first profile with enough of them; of its linked data too, where there are few."""
-    root = _tree(html)
+def cards(html: str | None, platform: str | None = None, profiles: dict[str, dict[str, tuple[str, ...]]] = PROFILES, selectors: Selectors = _ALL) -> list[dict[str, str]]:
+    """Names, price texts and images of a page's cards by the first profile with enough of them, that of the platform before others; of its linked data too, where there are few."""
+    page = Page(html, selectors)
     found: list[dict[str, str]] = []
-    for profile in PROFILES.values():
+    for name in sorted(profiles, key=lambda p: p != platform):
+        profile = profiles[name]
         for selector in profile["card"]:
-            nodes = [n for n in root.all() if n.fits(selector)]
+            nodes = page.hits.get(selector, ())
             if len(nodes) < LEAST_CARDS:
                 continue
             for node in nodes:
-                image = node.first(profile["image"])
-                one = {"name": _shown(node, profile["name"]), "price": _shown(node, profile["price"]), "original": _shown(node, profile["orig"]), "image": (image.attrs.get("src") or image.attrs.get("data-src") or "") if image else ""}
+                one = {field: page.text(page.first(node, profile[own])) for field, own in (("name", "name"), ("price", "price"), ("original", "orig"))}
                 if one["name"]:
-                    found.append(one)
+                    found.append(one | {"image": page.attribute(node, profile["image"], ("src", "data-src"))})
             if found:
-                return found if len(found) >= LINKED_BELOW else found + _linked(root)
-    return _linked(root)
+                return found if len(found) >= LINKED_BELOW else found + _linked(page)
+    return _linked(page)
 
 
 def signed_in_cards(html: str | None) -> list[dict]:
     """What cards show to a signed-in customer: member and flash prices, the exact quantity, whether it is sold out."""
-    root, out = _tree(html), []
-    for node in root.all():
-        if not any(node.fits(s) for s in SIGNED_IN["card"]) or any(n.fits(s) for n in node.above() for s in SIGNED_IN["card"]):
-            continue
-        one = {f: _shown(node, SIGNED_IN[f]) for f in ("name", "price", "member_price", "flash_price", "qty")}
+    page, out = Page(html, _ALL), []
+    for node in page.all(SIGNED_IN["card"]):
+        one = {f: page.text(page.first(node, SIGNED_IN[f])) for f in ("name", "price", "member_price", "flash_price", "qty")}
         if one["name"] or one["price"]:
-            flash = node.first(SIGNED_IN["flash"]) is not None
-            out.append(one | {"flash": flash, "flash_price": one["flash_price"] if flash else "", "in_stock": node.first(SIGNED_IN["oos"]) is None})
+            flash = page.first(node, SIGNED_IN["flash"]) is not None
+            out.append(one | {"flash": flash, "flash_price": one["flash_price"] if flash else "", "in_stock": page.first(node, SIGNED_IN["oos"]) is None})
     return out
 
 
@@ -173,16 +109,45 @@ def _number(name: str) -> Column:
     return F.regexp_extract(F.regexp_replace(name, ",", ""), r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
 
 
-def page_cards(pages: DataFrame) -> DataFrame:
-    """page_id, name, price, original, image of every product that a page (page_id, html) shows."""
+def page_cards(pages: DataFrame, profiles: dict[str, dict[str, tuple[str, ...]]] = PROFILES) -> DataFrame:
+    """page_id, name, price, original, sale_price, image of every product that a page (page_id, html; platform where there is one) shows.
+
+    The original price is not below the price; there is a sale price where the price is below it. Null and empty pages show nothing; unclosed and very deep markup is read as any other.
+    """
+    selectors = Selectors([_SCRIPT, *(x for profile in profiles.values() for own in profile.values() for x in own)])
+    platform = F.lower("platform") if "platform" in pages.columns else F.lit(None).cast("string")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(page, c["name"], c["price"], c["original"], c["image"]) for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()) for c in cards(html)]
+            given = zip(*(batch.column(c).to_pylist() for c in ("page_id", "html", "platform")))
+            rows = [(page, c["name"], c["price"], c["original"], c["image"]) for page, html, kind in given for c in cards(html, kind, profiles, selectors)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.string()] * 4))], ["page_id", "name", "price_text", "original_text", "image"])
 
-    found = pages.select("page_id", "html").mapInArrow(extract, "page_id bigint, name string, price_text string, original_text string, image string")
-    return found.select("page_id", "name", _number("price_text").alias("price"), _number("original_text").alias("original"), "image")
+    found = pages.select("page_id", "html", platform.alias("platform")).mapInArrow(extract, "page_id bigint, name string, price_text string, original_text string, image string")
+    rows = found.select("page_id", "name", _number("price_text").alias("price"), _number("original_text").alias("original"), "image").withColumn("original", F.greatest("original", "price"))
+    return rows.select("page_id", "name", "price", "original", F.when(F.col("price") < F.col("original"), F.col("price")).alias("sale_price"), "image")
+
+
+def page_elements(pages: DataFrame, fields: dict[str, tuple[tuple[str, ...], str | None]]) -> DataFrame:
+    """page_id, field, place (from 1), text, number, value of all elements that a page (page_id, html) has for each field.
+
+    fields: selectors, of which the first that finds anything on a page counts, and the attribute whose value is wanted. number: the first number of the text.
+    """
+    selectors = Selectors([x for own, _ in fields.values() for x in own])
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
+                page = Page(html, selectors)
+                for field, (own, attribute) in fields.items():
+                    found = next((page.hits[s] for s in own if s in page.hits), ())
+                    rows += [(page_id, field, place, page.text(n), page.attrs[n].get(attribute) if attribute else None) for place, n in enumerate(found, 1)]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["page_id", "field", "place", "text", "value"])
+
+    found = pages.select("page_id", "html").mapInArrow(extract, "page_id bigint, field string, place int, text string, value string")
+    return found.select("page_id", "field", "place", "text", _number("text").alias("number"), "value")
 
 
 def page_signed_in_cards(pages: DataFrame) -> DataFrame:
