@@ -40,16 +40,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the folder of spark.checkpoint.dir and read back: for loops whose plans would grow, and what is read twice.
-
-    Where the setting is missing, a `local` master gets a folder of its own; a cluster has none that all share.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a `local` master without that setting one of our own."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[|$)", context.master):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tarifa_shared", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        folder = context._tarifa_shared = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read back: for loops whose plans would grow, and what is read several times."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
