@@ -96,13 +96,14 @@ def coded(rows: np.ndarray, suffixes: np.ndarray, lefts: np.ndarray) -> bytes:
     rest = suffixes[(columns >= rows["common"][:, None]) & (columns < rows["length"][:, None])]
     before = lefts[np.arange(lefts.shape[1]) < rows["high"][:, None]]
     head = np.array([len(rows), len(rest), len(before)], "<u4").tobytes()
-    return head + rows.tobytes() + rest.tobytes() + before.tobytes()
+    planes = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), _SUFFIX.itemsize).T  # byte by byte: most of these are zeros, which shuffles compress
+    return head + planes.tobytes() + rest.tobytes() + before.tobytes()
 
 
 def decoded(payload: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     n, rest, before = np.frombuffer(payload[:12], "<u4").tolist()
     at = 12 + n * _SUFFIX.itemsize
-    rows = np.frombuffer(payload[12:at], _SUFFIX)
+    rows = np.ascontiguousarray(np.frombuffer(payload[12:at], np.uint8).reshape(_SUFFIX.itemsize, n).T).view(_SUFFIX).reshape(n)
     strings, last, own = [], b"", at
     for common, length in zip(rows["common"].tolist(), rows["length"].tolist()):
         last = last[:common] + payload[own : own + length - common]
