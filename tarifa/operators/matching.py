@@ -18,14 +18,72 @@ def price_sane(mine: Column, theirs: Column, my_name: Column, their_name: Column
     return F.coalesce(ratio < DOUBT_RATIO, F.lit(True)) | F.coalesce(packs, F.lit(False)) | F.coalesce(names, F.lit(False))
 
 
+#: Fields that hold a product's code: the shop's reading of it, and what catalogues say.
+CODES = ("barcode", "seen_barcode", "gtin", "mpn")
+#: Rows of one key that a task joins with as many of the other side; keys with more are dealt over several.
+KEY_ROWS = 1_000
+
+
+def with_keys(rows: DataFrame) -> DataFrame:
+    """rows with `keys`, the 14-digit forms by which a product can be met, and `literals`, the codes as they are written.
+
+    A code field may have something after its 8 to 14 digits; a sku counts only if the whole of it is a code, so a shop's own numbering meets nothing.
+    """
+    codes = [F.lower(F.trim(c)) for c in CODES if c in rows.columns]
+    sku = F.lower(F.trim(F.col("sku").cast("string")))
+    plain = [F.when(text.is_barcode(c), c) for c in (*codes, sku)]
+    known = [*(text.canonical_barcode(c) for c in codes), text.canonical_barcode(F.when(text.is_barcode(sku), sku))]
+    return rows.withColumn("keys", F.array_distinct(F.array_compact(F.array(*known)))).withColumn("literals", F.array_distinct(F.array_compact(F.array(*plain))))
+
+
+def joined_on_keys(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Pairs of rows of mine and theirs that have a key in common, once each; keys: arrays my_keys and their_keys, no other column of both.
+
+    A placeholder code may stand on a third of all rows: the rows of a key beyond KEY_ROWS are dealt over
+    parts of it, on either side, and each part of one side meets each of the other, so a task has KEY_ROWS * KEY_ROWS pairs of a key at most to look at.
+    """
+
+    def dealt(rows: DataFrame, keys: str, at: str) -> tuple[DataFrame, DataFrame]:
+        rows = rows.withColumn(at, F.monotonically_increasing_id())
+        each = rows.select(at, F.explode(keys).alias("key"))
+        counts = each.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > KEY_ROWS).select("key", F.ceil(F.col("n") / KEY_ROWS).cast("int").alias(f"{at}_parts"))
+        return rows.withColumn("key", F.explode(keys)), counts
+
+    a, many_a = dealt(mine, "my_keys", "_at_my")
+    b, many_b = dealt(theirs, "their_keys", "_at_their")
+    hot = many_a.join(many_b, "key", "full")  # a row for each key of over KEY_ROWS rows: at most the rows by KEY_ROWS
+
+    def placed(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.join(F.broadcast(hot), "key", "left").withColumn(f"{own}_part", F.pmod(F.xxhash64(own, "key"), F.coalesce(f"{own}_parts", F.lit(1))))
+        return rows.withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"{other}_parts"), F.lit(1)) - 1).cast("array<bigint>"))).drop(f"{own}_parts", f"{other}_parts")
+
+    pairs = placed(a, "_at_my", "_at_their").join(placed(b, "_at_their", "_at_my"), ["key", "_at_my_part", "_at_their_part"])
+    # rows that share several keys meet at the first of those that both have
+    first = F.array_min(F.array_intersect("my_keys", "their_keys"))
+    return pairs.where(F.col("key") == first).drop("key", "_at_my_part", "_at_their_part", "_at_my", "_at_their")
+
+
+def key_matches(own: DataFrame, rivals: DataFrame, blacklist: DataFrame | None = None, confirmed: DataFrame | None = None) -> DataFrame:
+    """matches() by all keys of a product: own (sku, name, cents and any of CODES), rivals (sku, store_id, name, cents and any of CODES).
+
+    barcode_key says how codes met: 'literal' as they are written, or as theirs is in 14 digits, else 'gtin14'. Products without such a match are looked up by sku.
+    """
+    return _matched(with_keys(own), with_keys(rivals), blacklist, confirmed)
+
+
 def matches(own: DataFrame, rivals: DataFrame, blacklist: DataFrame | None = None, confirmed: DataFrame | None = None) -> DataFrame:
     """One match a product and store: own (sku, barcode, name, cents), rivals (sku, store_id, barcode, name, cents).
 
     Barcodes meet in their 14-digit form. A product without any barcode match is looked up by sku. Rejected pairs (my_sku, rival_sku)
     hold at every store; a confirmed rival_sku has confidence 100 and isn't asked for a sane price.
     """
-    mine = own.select(F.col("sku").alias("my_sku"), F.col("barcode").alias("my_barcode"), F.col("name").alias("my_name"), F.col("cents").alias("my_cents"))
-    theirs = rivals.select(F.col("sku").alias("rival_sku"), "store_id", F.col("barcode").alias("rival_barcode"), F.col("name").alias("rival_name"), F.col("cents").alias("rival_cents")).where("rival_cents > 0")
+    keyed = lambda rows: rows.withColumn("keys", F.array_compact(F.array(text.canonical_barcode(F.col("barcode"))))).withColumn("literals", F.array("barcode"))
+    return _matched(keyed(own), keyed(rivals), blacklist, confirmed).drop("barcode_key")
+
+
+def _matched(own: DataFrame, rivals: DataFrame, blacklist: DataFrame | None, confirmed: DataFrame | None) -> DataFrame:
+    mine = own.select(F.col("sku").alias("my_sku"), F.col("keys").alias("my_keys"), F.col("literals").alias("my_literals"), F.col("name").alias("my_name"), F.col("cents").alias("my_cents"))
+    theirs = rivals.select(F.col("sku").alias("rival_sku"), "store_id", F.col("keys").alias("their_keys"), F.col("literals").alias("their_literals"), F.col("name").alias("rival_name"), F.col("cents").alias("rival_cents")).where("rival_cents > 0")
     sure = F.lit(False) if confirmed is None else F.coalesce(F.col("sure"), F.lit(False))
 
     def ruled(pairs: DataFrame) -> DataFrame:
@@ -36,12 +94,15 @@ def matches(own: DataFrame, rivals: DataFrame, blacklist: DataFrame | None = Non
         weights = text.weights_agree(text.weight_grams(F.col("my_name")), text.weight_grams(F.col("rival_name")), WEIGHT_RATIO)
         return pairs.where(text.packs_agree(F.col("my_name"), F.col("rival_name")) & weights)
 
-    keyed = mine.withColumn("key", text.canonical_barcode(F.col("my_barcode"))).join(theirs.withColumn("key", text.canonical_barcode(F.col("rival_barcode"))), "key")
+    keyed = joined_on_keys(mine, theirs)
     sane = sure | price_sane(F.col("my_cents"), F.col("rival_cents"), F.col("my_name"), F.col("rival_name"))
-    by_barcode = ruled(keyed).where(sane).select("my_sku", "rival_sku", "store_id", "my_cents", "rival_cents", F.when(sure, 100).otherwise(99).alias("confidence"), F.lit("barcode").alias("method"))
+    literal = F.arrays_overlap("my_literals", F.array_union("their_literals", "their_keys"))
+    by_barcode = ruled(keyed).where(sane).select(
+        "my_sku", "rival_sku", "store_id", "my_cents", "rival_cents", F.when(sure, 100).otherwise(99).alias("confidence"), F.lit("barcode").alias("method"), F.when(F.coalesce(literal, F.lit(False)), "literal").otherwise("gtin14").alias("barcode_key")
+    )
     rest = mine.join(by_barcode.select("my_sku").distinct(), "my_sku", "left_anti")
     by_sku = ruled(rest.join(theirs, F.col("my_sku").cast("string") == F.col("rival_sku").cast("string")))
-    by_sku = by_sku.select("my_sku", "rival_sku", "store_id", "my_cents", "rival_cents", F.when(sure, 100).otherwise(95).alias("confidence"), F.lit("sku").alias("method"))
+    by_sku = by_sku.select("my_sku", "rival_sku", "store_id", "my_cents", "rival_cents", F.when(sure, 100).otherwise(95).alias("confidence"), F.lit("sku").alias("method"), F.lit(None).cast("string").alias("barcode_key"))
     best = F.row_number().over(Window.partitionBy("my_sku", "store_id").orderBy(F.desc("confidence"), F.asc("rival_cents"), "rival_sku"))
     diff = F.round((F.col("rival_cents") - F.col("my_cents")) * 100 / F.col("my_cents"), 1)
     position = F.when(F.col("rival_cents") > F.col("my_cents"), "cheaper").when(F.col("rival_cents") == F.col("my_cents"), "equal").otherwise("expensive")

@@ -118,3 +118,45 @@ def newest_upserted(t):
 def pack_indicators(t):
     sku = F.expr("CASE sku % 4 WHEN 0 THEN concat('A', sku) WHEN 1 THEN concat('A', sku, '-BOX') WHEN 2 THEN concat(sku, 'multi') END")
     return t.catalogue.select("sku", text.has_pack(F.col("name")).alias("has_pack"), text.is_bundle_sku(sku).alias("is_bundle_sku"))
+
+
+CODED = """
+coded_own AS (
+  SELECT CASE WHEN k % 5 = 2 THEN (52742000000 + k)::VARCHAR ELSE 'P' || k END AS sku, (k // 4) % 16 AS i, round(p_retailprice * 100 * 35)::BIGINT AS cents,
+    CASE WHEN k % 40 = 4 THEN '00000000' WHEN k % 5 = 0 THEN '0' || (52742000000 + k) WHEN k % 5 = 1 THEN (52742000000 + k) || 'carton' WHEN k % 5 = 3 THEN (52742000000 + k)::VARCHAR END AS code
+  FROM (SELECT *, p_partkey AS k FROM part WHERE p_partkey % 4 = 0)),
+coded_rivals AS (
+  SELECT CASE WHEN (k + n) % 4 = 1 THEN (52742000000 + k)::VARCHAR WHEN (k + n) % 4 = 3 THEN (52742000000 + k) || '-x' ELSE 'R' || k END AS sku, store_id, (k // 4 + k // 64) % 16 AS j, cents,
+    CASE WHEN (k + n) % 8 = 0 THEN '00000000' WHEN (k + n) % 4 = 0 THEN (52742000000 + k)::VARCHAR WHEN (k + n) % 4 = 2 THEN '000' || (52742000000 + k) END AS gtin
+  FROM (SELECT sku AS k, store_id, cents, r_regionkey AS n FROM latest JOIN region ON r_name = store_id WHERE store_id <> 'EUROPE' AND cents > 0)),
+own_keys AS (
+  SELECT DISTINCT sku AS my_sku, lpad(raw, 14, '0') AS key, CASE WHEN regexp_full_match(code, '[0-9]{8,14}') OR raw = sku THEN raw END AS literal
+  FROM (SELECT sku, code, unnest([regexp_extract(code, '^[0-9]{8,14}'), regexp_extract(sku, '^[0-9]{8,14}$')]) AS raw FROM coded_own) WHERE raw <> ''),
+rival_keys AS (
+  SELECT DISTINCT sku AS rival_sku, store_id, lpad(raw, 14, '0') AS key, raw FROM (SELECT sku, store_id, unnest([gtin, regexp_extract(sku, '^[0-9]{8,14}$')]) AS raw FROM coded_rivals) WHERE raw <> ''),
+met AS (
+  SELECT my_sku, rival_sku, r.store_id, bool_or(coalesce(literal = raw OR literal = r.key, false)) AS literal FROM own_keys o JOIN rival_keys r ON o.key = r.key GROUP BY ALL),
+guarded AS (
+  SELECT m.*, o.cents AS my_cents, r.cents AS rival_cents FROM met m JOIN coded_own o ON o.sku = my_sku JOIN coded_rivals r ON r.sku = rival_sku AND r.store_id = m.store_id, facts
+  WHERE pack[i + 1] = pack[j + 1] AND NOT coalesce(greatest(grams[i + 1], grams[j + 1])::DOUBLE / least(grams[i + 1], grams[j + 1]) > 1.1::DOUBLE, false)
+    AND (greatest(o.cents, r.cents)::DOUBLE / least(o.cents, r.cents) < 6 OR coalesce(stated[i + 1] = stated[j + 1], false) OR (i IN (0, 1) AND j IN (0, 1) AND i <> j)))"""
+
+
+@query(SNAPS, RECENT, LATEST, FACTS, CODED, """
+SELECT my_sku, rival_sku, store_id, my_cents, rival_cents, 99 AS confidence, CASE WHEN literal THEN 'literal' ELSE 'gtin14' END AS barcode_key
+FROM guarded QUALIFY row_number() OVER (PARTITION BY my_sku, store_id ORDER BY rival_cents, rival_sku) = 1""")
+def key_set_matches(t):
+    """Matches by sets of codes: as sku, with leading zeros, with something after them, and a placeholder that many products share."""
+    k, number = F.col("k"), F.lit(52742000000)
+    code = (number + k).cast("string")
+    own = tables.table(t.spark, t.sf_dir, "part").where("p_partkey % 4 = 0").withColumn("k", F.col("p_partkey").cast("long")).select(
+        F.when(k % 5 == 2, code).otherwise(F.concat(F.lit("P"), k.cast("string"))).alias("sku"), tables.name_at("k div 4").alias("name"), F.round(F.col("p_retailprice") * 100 * 35).cast("long").alias("cents"),
+        F.when(k % 40 == 4, "00000000").when(k % 5 == 0, F.concat(F.lit("0"), code)).when(k % 5 == 1, F.concat(code, F.lit("carton"))).when(k % 5 == 3, code).alias("barcode"),
+    )
+    numbered = t.latest.join(F.broadcast(t.store_meta.select("store_id", "number")), "store_id").where(F.col("store_id") != tables.OWN_STORE).withColumn("k", F.col("sku").cast("long"))
+    n = (k + F.col("number")) % 4
+    rivals = numbered.select(
+        F.when(n == 1, code).when(n == 3, F.concat(code, F.lit("-x"))).otherwise(F.concat(F.lit("R"), k.cast("string"))).alias("sku"), "store_id", tables.name_at("k div 4 + k div 64").alias("name"), "cents",
+        F.when((k + F.col("number")) % 8 == 0, "00000000").when(n == 0, code).when(n == 2, F.concat(F.lit("000"), code)).alias("gtin"),
+    )
+    return matching.key_matches(own, rivals).where("method = 'barcode'").select("my_sku", "rival_sku", "store_id", "my_cents", "rival_cents", "confidence", "barcode_key")
