@@ -30,11 +30,15 @@ def fired(alerts: DataFrame, snaps: DataFrame, low: int = 10) -> DataFrame:
     the threshold, or of `low` where there is none.
     """
     order = Window.partitionBy("sku").orderBy(F.desc("crawled_at"), F.desc("store_id"), F.desc("seq"))
-    asked = alerts.where("is_active").select("id", "sku", "alert_type", F.coalesce("threshold", F.lit(0)).alias("threshold"))
-    rows = snaps.join(asked.select("sku").distinct(), "sku", "left_semi").withColumn("n", F.row_number().over(order)).where("n <= 2")
+    rows = snaps.join(alerts.where("is_active").select("sku").distinct(), "sku", "left_semi").withColumn("n", F.row_number().over(order)).where("n <= 2")
     now, before = (F.max(F.when(F.col("n") == i, F.struct("cents", "qty", "in_stock"))) for i in (1, 2))
-    both = rows.groupBy("sku").agg(now.alias("now"), before.alias("before")).where("before IS NOT NULL")
-    both = asked.join(both, "sku").withColumn("mark", F.when(F.col("threshold") > 0, F.col("threshold")).otherwise(low))
+    return judged(alerts, rows.groupBy("sku").agg(now.alias("now"), before.alias("before")), low)
+
+
+def judged(alerts: DataFrame, both: DataFrame, low: int = 10) -> DataFrame:
+    """fired() by each product's newest reading and the one before: both (sku, now, before), each a struct with cents, qty and in_stock."""
+    asked = alerts.where("is_active").select("id", "sku", "alert_type", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+    both = asked.join(both.where("before IS NOT NULL"), "sku").withColumn("mark", F.when(F.col("threshold") > 0, F.col("threshold")).otherwise(low))
     pct = F.when(F.col("before.cents") > 0, F.round((F.col("now.cents") - F.col("before.cents")) * 100 / F.col("before.cents"), 1)).otherwise(0.0)
     is_ = lambda kind: F.col("alert_type") == kind
     price = (is_("price_drop") & (F.col("now.cents") < F.col("before.cents")) & (-pct >= F.col("threshold"))) | (is_("price_increase") & (F.col("now.cents") > F.col("before.cents")) & (pct >= F.col("threshold")))

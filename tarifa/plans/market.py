@@ -330,7 +330,7 @@ def own_sync_presence(t):
     return admin.discovered(admin.absent_flagged(t.own_catalogue, seen).select("sku", "present"), seen, "sync").select("sku", "present")
 
 
-ALERTS = """alerts AS (SELECT p_partkey AS id, p_partkey % 500 AS sku, ['price_drop', 'price_increase', 'out_of_stock', 'back_in_stock', 'low_stock'][(p_partkey % 5)::INT + 1] AS alert_type, CASE WHEN p_partkey % 3 = 0 THEN p_size % 20 END AS threshold, p_partkey % 7 <> 0 AS is_active FROM part),
+ALERTS = """alerts AS (SELECT p_partkey AS id, p_partkey AS sku, ['price_drop', 'price_increase', 'out_of_stock', 'back_in_stock', 'low_stock'][(p_partkey % 5)::INT + 1] AS alert_type, CASE WHEN p_partkey % 3 = 0 THEN p_size % 20 END AS threshold, p_partkey % 7 <> 0 AS is_active FROM part),
 placed AS (SELECT sku, cents, qty, in_stock, row_number() OVER (PARTITION BY sku ORDER BY crawled_at DESC, store_id DESC, seq DESC) AS n FROM snaps QUALIFY n <= 2),
 two AS (SELECT sku, max(cents) FILTER (n = 1) AS a, max(cents) FILTER (n = 2) AS b, max(qty) FILTER (n = 1) AS qa, max(qty) FILTER (n = 2) AS qb, bool_or(in_stock) FILTER (n = 1) AS ia, bool_or(in_stock) FILTER (n = 2) AS ib FROM placed GROUP BY sku HAVING count(*) = 2),
 judged AS (SELECT *, round((a - b) * 100 / b, 1) AS pct, coalesce(threshold, 0) AS t, CASE WHEN threshold > 0 THEN threshold ELSE 10 END AS mark FROM alerts JOIN two USING (sku) WHERE is_active)"""
@@ -341,7 +341,7 @@ judged AS (SELECT *, round((a - b) * 100 / b, 1) AS pct, coalesce(threshold, 0)
 def alerts_fired(t):
     kinds = F.array(*map(F.lit, ("price_drop", "price_increase", "out_of_stock", "back_in_stock", "low_stock")))
     part = tables.table(t.spark, t.sf_dir, "part")
-    alerts = part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 500).alias("sku"), F.element_at(kinds, (F.col("p_partkey") % 5).cast("int") + 1).alias("alert_type"), F.expr("CASE WHEN p_partkey % 3 = 0 THEN p_size % 20 END").alias("threshold"), (F.col("p_partkey") % 7 != 0).alias("is_active"))
+    alerts = part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("sku"), F.element_at(kinds, (F.col("p_partkey") % 5).cast("int") + 1).alias("alert_type"), F.expr("CASE WHEN p_partkey % 3 = 0 THEN p_size % 20 END").alias("threshold"), (F.col("p_partkey") % 7 != 0).alias("is_active"))
     return audits.fired(alerts, t.snapshots.drop("sold"))
 
 
