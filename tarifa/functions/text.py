@@ -141,6 +141,32 @@ def brand(name: Column) -> Column:
     return F.coalesce(reduce(lambda c, b: c.when(lowered.contains(b.lower()), b), BRANDS[1:], F.when(lowered.contains(BRANDS[0].lower()), BRANDS[0])), F.lit(""))
 
 
+# The brands that matching knows, in the order in which they are looked for.
+MATCHED_BRANDS = (
+    "royal canin", "رويال كانين", "whiskas", "ويسكاس", "pedigree", "بيدقري",
+    "purina", "بورينا", "hill's", "hills", "هيلز", "n&d", "orijen", "اوريجن", "acana", "اكانا",
+    "friskies", "فريسكيز", "me-o", "مي-او", "kong", "كونغ", "furminator", "فرمينيتور",
+    "frontline", "فرونت لاين", "versele-laga", "فيرسيل", "catit", "oxbow", "tetra",
+    "virbac", "ever clean", "josera", "brit", "schesir", "gimcat", "trixie", "beaphar",
+    "perfect fit", "sheba", "fancy feast", "iams", "wellness", "natural balance",
+    "advance", "applaws", "cesar", "felix", "almo nature", "arden grange",
+)
+
+
+def matched_brand(name: Column) -> Column:
+    """The brand by which names are compared, in small letters; null where none is known."""
+    lowered = F.lower(name)
+    return F.get(F.filter(F.array(*map(F.lit, MATCHED_BRANDS)), lambda b: lowered.contains(b)), F.lit(0))
+
+
+def absolute_url(url: Column, domain: Column) -> Column:
+    """A whole address, a path, or a product's short name as an address at a shop's domain; empty without one or without a domain."""
+    said = F.trim(F.coalesce(url, F.lit("")))
+    at = F.concat(F.lit("https://"), domain)
+    found = F.when(said.rlike("^https?://"), said).when(said.startswith("//"), F.concat(F.lit("https:"), said)).when(said.startswith("/"), F.concat(at, said)).otherwise(F.concat(at, F.lit("/products/"), said))
+    return F.when((said == "") | (F.coalesce(domain, F.lit("")) == ""), F.lit("")).otherwise(found)
+
+
 def treat(text: Column) -> Column:
     return has_any(text, TREATS) | text.rlike(TREAT_WORD)
 

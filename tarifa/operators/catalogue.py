@@ -152,6 +152,30 @@ def sellers(hubs: DataFrame, links: DataFrame, snaps: DataFrame, names: DataFram
     return out.select("sku", "store_id", "key", "cents", "qty", "match_source", "excluded", *freshness_labels(F.col("crawled_at"), as_of), oos.alias("is_oos"))
 
 
+def seller_list(found: DataFrame) -> DataFrame:
+    """sellers() that are not excluded, with their place in a product's list: by price, those without one last, then by store."""
+    order = Window.partitionBy("sku").orderBy(F.asc_nulls_last("cents"), "store_id")
+    return found.where(~F.col("excluded")).withColumn("place", F.row_number().over(order))
+
+
+def addresses(products: DataFrame, own: DataFrame, newest: DataFrame, stores: DataFrame, own_domain: str | None) -> DataFrame:
+    """sku, url, source of products (sku, url): the own address, the catalogue's, that of the newest reading at the first store that shows one, else a search.
+
+    own: sku, url; newest: each pair's newest reading (sku, store_id, url); stores: store_id, domain. The search is at the own shop, or without an own domain at the
+    first store that has the product. Stores come in the order of their names; empty addresses count as none.
+    """
+    told = lambda c: F.nullif(F.trim(c), F.lit(""))
+    seen = newest.join(F.broadcast(stores), "store_id", "left").groupBy("sku").agg(  # a row a store
+        F.min_by(told(F.col("url")), F.when(told(F.col("url")).isNotNull(), F.col("store_id"))).alias("read"), F.min_by("domain", "store_id").alias("domain")
+    )
+    mine = own.groupBy("sku").agg(F.max(told(F.col("url"))).alias("mine"))
+    rows = products.select("sku", told(F.col("url")).alias("listed")).join(mine, "sku", "left").join(seen, "sku", "left")
+    at = F.lit(own_domain) if own_domain else told(F.col("domain"))
+    search = F.concat(F.lit("https://"), at, F.lit("/search?keyword="), F.col("sku").cast("string"))
+    source = F.when(F.col("mine").isNotNull(), "own").when(F.col("listed").isNotNull(), "catalogue").when(F.col("read").isNotNull(), "reading").when(search.isNotNull(), "search")
+    return rows.select("sku", F.coalesce("mine", "listed", "read", search, F.lit("")).alias("url"), source.alias("source"))
+
+
 def seller_summary(found: DataFrame) -> DataFrame:
     """Counts, price range and live volume of each product's sellers()."""
     kept = ~F.col("excluded")

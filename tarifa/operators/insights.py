@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarifa.functions import text
 from tarifa.operators.rollups import PAIR, latest, since
 
 
@@ -102,6 +103,16 @@ def trending(pairs: DataFrame, products: DataFrame, each: int = 5) -> DataFrame:
     return dropped.groupBy("category").agg(F.sum("qty_drop").alias("qty_drop")).join(listed, "category")
 
 
+def trending_kinds(pairs: DataFrame, products: DataFrame, each: int = 5) -> DataFrame:
+    """Stock that went, by food form where the name says it and by category else, of all products (sku, name): kinds where nothing went too, with the first products of which some did."""
+    kind = text.category(F.col("name"))
+    named = products.select("sku", kind.alias("kind"), "name").select("sku", F.coalesce(text.food_form(F.col("kind"), F.col("name")), "kind").alias("category"))
+    went = named.join(pairs.groupBy("sku").agg(F.sum("qty_drop").alias("qty_drop")), "sku", "left").fillna(0, ["qty_drop"])
+    some = went.where("qty_drop > 0")
+    listed = trending(some.select("sku", "qty_drop"), some.select("sku", "category"), each).select("category", "first_products")
+    return went.groupBy("category").agg(F.sum("qty_drop").alias("qty_drop")).join(listed, "category", "left")
+
+
 def brand_share(pairs: DataFrame, products: DataFrame, top: int = 20) -> DataFrame:
     """Units and revenue by brand; shares are of all brands."""
     brand = F.when(F.coalesce(F.trim("brand"), F.lit("")) == "", "Unknown").otherwise(F.trim("brand"))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarifa.model import FRESH_HOURS, WEIGHTS
+from tarifa.model import FRESH_HOURS, MIN_CONFIDENCE, WEIGHTS
 from tarifa.operators.rollups import PAIR, since
 
 
@@ -26,6 +26,22 @@ def market_position(own: DataFrame, rivals: DataFrame) -> DataFrame:
     return rows.where("mine AND sellers >= 2").select("sku", "cents", "rank", "percentile", "sellers", "low", "high", "middle", tag.alias("tag"))
 
 
+def seller_ranks(own: DataFrame, rivals: DataFrame, own_store: str, as_of: datetime, stale_days: int = 7, floor: int = MIN_CONFIDENCE) -> DataFrame:
+    """sku, sellers, stale_sellers, low_confidence_sellers of what market_position() ranks: every seller in the order of the price, for a range bar.
+
+    own: sku, cents; rivals: sku, store_id, cents, crawled_at, confidence. sellers: an array of (rank, cents, is_mine, store_id); equal prices share the lower rank, among
+    them the own one stands first, then stores by name. A product has a row a store at most.
+    """
+    old = F.col("crawled_at") < since(as_of, stale_days)
+    theirs = rivals.select("sku", "store_id", "cents", F.lit(False).alias("is_mine"), old.cast("int").alias("old"), (F.coalesce("confidence", F.lit(0)) < floor).cast("int").alias("unsure"))
+    both = own.select("sku", F.lit(own_store).alias("store_id"), "cents", F.lit(True).alias("is_mine"), F.lit(0).alias("old"), F.lit(0).alias("unsure")).unionByName(theirs).where("cents > 0")
+    ranked = both.withColumn("rank", F.rank().over(Window.partitionBy("sku").orderBy("cents")))
+    one = F.struct("rank", "cents", (~F.col("is_mine")).alias("theirs"), "store_id")
+    rows = ranked.groupBy("sku").agg(F.array_sort(F.collect_list(one)).alias("s"), F.sum("old").alias("stale_sellers"), F.sum("unsure").alias("low_confidence_sellers"), F.bool_or("is_mine").alias("mine"))
+    listed = F.transform("s", lambda x: F.struct(x["rank"].alias("rank"), x["cents"].alias("cents"), (~x["theirs"]).alias("is_mine"), x["store_id"].alias("store_id")))
+    return rows.where(F.col("mine") & (F.size("s") >= 2)).select("sku", listed.alias("sellers"), "stale_sellers", "low_confidence_sellers")
+
+
 def position_summary(positions: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("tag") == t).alias(t) for t in ("cheapest", "most_expensive", "above_median", "below_median", "at_median")]
     return positions.agg(F.count("*").alias("ranked"), *counts, F.round(F.avg("percentile"), 3).alias("avg_percentile"))

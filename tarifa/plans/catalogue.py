@@ -119,10 +119,37 @@ def seller_summaries(t):
     return found.select("sku", "total", "live", "stale", "via_sku", "via_match", "excluded_wrong_match")
 
 
-@query(SNAPS, """kept AS (SELECT * FROM snaps QUALIFY row_number() OVER (PARTITION BY sku, store_id ORDER BY crawled_at DESC, seq DESC) <= 3)""",
+@query(*BASE, PACKS, SELLERS, """SELECT sku, store_id, cents, row_number() OVER (PARTITION BY sku ORDER BY cents ASC NULLS LAST, store_id)::INT AS place
+  FROM (SELECT sku, store_id, CASE WHEN cents % 9 <> 0 THEN cents END AS cents FROM sellers WHERE NOT excluded)""")
+def product_seller_list(t):
+    """Every product's sellers by price; a ninth of the prices is taken as not known."""
+    names = t.catalogue.select("sku", "name").union(t.own_catalogue.select("sku", "name")).distinct()
+    found = catalogue.sellers(t.own_catalogue.select("sku"), t.links, t.snapshots, names, AS_OF)
+    return catalogue.seller_list(found.withColumn("cents", F.when(F.col("cents") % 9 != 0, F.col("cents")))).select("sku", "store_id", "cents", "place")
+
+
+@query(*BASE, """listed AS (SELECT sku, CASE WHEN sku % 5 = 0 THEN 'https://list.example/' || sku WHEN sku % 5 = 1 THEN ' ' END AS url FROM catalogue),
+read_ AS (SELECT sku, min(store_id) FILTER (sku % 3 <> 0 AND cents % 2 = 0) AS store_id FROM latest GROUP BY sku),
+own_urls AS (SELECT sku, max(nullif(url, '')) AS url FROM own_rows WHERE sku % 8 <> 0 GROUP BY sku)""",
+"""SELECT l.sku, coalesce(o.url, nullif(trim(l.url), ''), 'https://' || lower(replace(r.store_id, ' ', '-')) || '.example/p/' || l.sku, 'https://own.example/search?keyword=' || l.sku) AS url,
+  CASE WHEN o.url IS NOT NULL THEN 'own' WHEN trim(l.url) <> '' THEN 'catalogue' WHEN r.store_id IS NOT NULL THEN 'reading' ELSE 'search' END AS source
+  FROM listed l LEFT JOIN own_urls o ON o.sku = l.sku LEFT JOIN read_ r ON r.sku = l.sku""")
+def product_addresses(t):
+    """Where a product is shown: the own shop, the catalogue, the first store that shows an address, or a search."""
+    listed = t.catalogue.select("sku", F.expr("CASE WHEN sku % 5 = 0 THEN concat('https://list.example/', sku) WHEN sku % 5 = 1 THEN ' ' END").alias("url"))
+    shown = F.when((F.col("sku") % 3 != 0) & (F.col("cents") % 2 == 0), F.concat(F.lit("https://"), F.lower(F.replace("store_id", F.lit(" "), F.lit("-"))), F.lit(".example/p/"), F.col("sku").cast("string")))
+    newest = t.latest.select("sku", "store_id", shown.alias("url"))
+    return catalogue.addresses(listed, t.own_catalogue.where("sku % 8 <> 0").select("sku", "url"), newest, t.store_meta.select("store_id", "domain"), "own.example")
+
+
+#: How many readings of a pair its history shows.
+HISTORY_CAP = 8_000
+
+
+@query(SNAPS, """kept AS (SELECT * FROM snaps QUALIFY row_number() OVER (PARTITION BY sku, store_id ORDER BY crawled_at DESC, seq DESC) <= 8000)""",
        "SELECT sku, store_id, string_agg(strftime(crawled_at, '%Y-%m-%d') || '=' || cents, ',' ORDER BY crawled_at, seq) AS points FROM kept GROUP BY ALL")
 def price_history_by_store(t):
-    found = catalogue.history(t.snapshots.drop("sold"), 3).select("sku", F.explode("history").alias("store_id", "points"))
+    found = catalogue.history(t.snapshots.drop("sold"), HISTORY_CAP).select("sku", F.explode("history").alias("store_id", "points"))
     return found.select("sku", "store_id", F.array_join(F.transform("points", lambda p: F.concat(F.date_format(p["at"], "yyyy-MM-dd"), F.lit("="), p["cents"].cast("string"))), ",").alias("points"))
 
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tarifa.functions import text
 from tarifa.plans.oracles import CLOSES, COVER, ROLLUPS, SALES, SNAPS, query
 from tarifa.session import shared_folder
 from tarifa.sources import cursors, landed, tables
@@ -55,6 +56,21 @@ def page_cards(t):
     return landed.page_cards(tables.table(t.spark, t.sf_dir, "pages"), profile).groupBy("page_id", "name").agg(F.count("*").alias("times"))
 
 
+@query(
+    ANCHORS,
+    f"""
+SELECT a.page_id, place, CASE WHEN said LIKE '//%' THEN 'https:' || said WHEN said LIKE '/%' THEN 'https://' || domain || said WHEN regexp_matches(said, '^https?://') THEN said WHEN said = '' THEN '' ELSE 'https://' || domain || '/products/' || said END AS address
+FROM (SELECT page_id, place, trim({_PLAIN.format("regexp_extract(anchor, 'href=\"([^\"]*)\"', 1)")}) AS said FROM anchors) a
+JOIN (SELECT page_id, lower(regexp_extract(url, '^(?:[A-Za-z]+://)?(?:www[.])?([^/?#:]+)', 1)) AS domain FROM pages) USING (page_id)""",
+)
+def page_link_addresses(t):
+    """Where the links of pages lead, as whole addresses."""
+    pages = tables.table(t.spark, t.sf_dir, "pages")
+    found = landed.page_elements(pages, {"link": (("nav li a",), "href")})
+    domains = pages.select("page_id", text.domain(F.col("url")).alias("domain"))
+    return found.join(domains, "page_id").select("page_id", "place", text.absolute_url(F.col("value"), F.col("domain")).alias("address"))
+
+
 _URL = "'https://shop.example/en/api/' || {0} || '/' || {1}"
 CHAINS = f"""
 ordered AS (

@@ -6,9 +6,9 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from tarifa.operators import admin, audits, catalogue, discounts, estimates, insights, intel, orders, revenue, rollups
+from tarifa.operators import admin, audits, catalogue, discounts, estimates, insights, intel, orders, position, revenue, rollups
 from tarifa.plans.catalogue import BASE, CATALOGUE, LINKS, META, OWN_ROWS, PACKS, SELLERS
-from tarifa.plans.oracles import AS_OF, BADGES, CLOSES, COVER, DAYS, ESTIMATED, LATEST, ORACLE, PRODUCTS, RECENT, SALES, SINCE, SNAPS, STORES, query, revenue_back_test
+from tarifa.plans.oracles import AS_OF, BADGES, CLOSES, COVER, DAYS, ESTIMATED, LATEST, ORACLE, OWN, PRODUCTS, RECENT, RIVALS, SALES, SINCE, SNAPS, STORES, query, revenue_back_test
 from tarifa.sources import tables
 
 INTEL = """
@@ -208,6 +208,23 @@ def subcategory_distribution(t):
 KIND = "['cat_food', 'cat_food', 'dog_food', 'dog_food', 'dog_food', 'litter', 'accessories', 'toys', 'bird_food', 'fish_food', 'grooming', 'healthcare', 'dog_food', 'cat_food', 'dog_food', 'accessories'][((sku // 4) % 16)::INT + 1]"
 
 
+@query(SNAPS, CLOSES, SALES, CATALOGUE, f"""went AS (SELECT c.sku, coalesce({FOODS.replace("(sku", "(c.sku")}, {KIND.replace("(sku", "(c.sku")}) AS category, coalesce(q, 0)::BIGINT AS qty_drop FROM catalogue c LEFT JOIN (SELECT sku, sum(qty_drop) AS q FROM pairs GROUP BY sku) p ON p.sku = c.sku)""",
+"""SELECT category, sum(qty_drop)::BIGINT AS qty_drop, string_agg(sku::VARCHAR, ',' ORDER BY place) FILTER (place <= 5 AND qty_drop > 0) AS first_products
+  FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY qty_drop DESC, sku) AS place FROM went) GROUP BY category""")
+def trending_kinds(t):
+    return insights.trending_kinds(t.pairs, t.catalogue)
+
+
+@query(SNAPS, RECENT, LATEST, OWN, RIVALS, """sold_by AS (SELECT sku, cents, 'EUROPE' AS store_id, true AS mine, 0 AS old FROM own UNION ALL SELECT sku, cents, store_id, false, (crawled_at < TIMESTAMP '2001-11-04' - INTERVAL 7 DAYS)::INT FROM rivals),
+placed AS (SELECT *, rank() OVER (PARTITION BY sku ORDER BY cents) AS rank FROM sold_by WHERE cents > 0)""",
+"""SELECT sku, string_agg(rank || ':' || cents || ':' || mine || ':' || store_id, ',' ORDER BY rank, NOT mine, store_id) AS sellers, sum(old)::BIGINT AS stale_sellers, 0::BIGINT AS low_confidence_sellers
+  FROM placed GROUP BY sku HAVING bool_or(mine) AND count(*) >= 2""")
+def market_position_sellers(t):
+    rows = position.seller_ranks(t.own_products, t.latest.where(F.col("store_id") != tables.OWN_STORE), tables.OWN_STORE, AS_OF)
+    shown = F.transform("sellers", lambda s: F.concat_ws(":", s["rank"].cast("string"), s["cents"].cast("string"), s["is_mine"].cast("string"), s["store_id"]))
+    return rows.select("sku", F.array_join(shown, ",").alias("sellers"), "stale_sellers", "low_confidence_sellers")
+
+
 @query(CATALOGUE, f"""before AS (SELECT sku, name, CASE sku % 4 WHEN 0 THEN NULL WHEN 1 THEN 'pet_food' WHEN 2 THEN 'toys' ELSE {KIND} END AS old, {KIND} AS fresh FROM catalogue),
 after AS (SELECT sku, (sku // 4) % 16 AS place, old, CASE WHEN old IS NULL OR (old LIKE '%food') = (fresh LIKE '%food') THEN fresh ELSE old END AS category FROM before)""",
 """SELECT sku, old, category, CASE WHEN category NOT IN ('cat_food', 'dog_food') THEN NULL WHEN place IN (0, 1) THEN 'cat_food_dry' WHEN place IN (2, 3) THEN 'dog_food_wet' WHEN place = 4 THEN 'dog_treats' END AS subcategory FROM after""")

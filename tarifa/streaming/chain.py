@@ -57,14 +57,13 @@ def parsed(posts: DataFrame) -> DataFrame:
     reason = F.when(~an_object, "not an object").when(F.col("sku") == "", "no sku").when(F.col("_price") <= 0, "no price")
     on_sale = (F.col("_sale") > 0) & (F.col("_sale") < F.col("_price"))
     said, qty = F.get_json_object("row", "$.in_stock"), _amount(field("quantity")).cast("int")
-    url = F.when(F.col("_url").rlike("^https?://"), F.col("_url")).when(F.col("_url").startswith("/"), F.concat(F.lit("https://"), "domain", "_url"))
     price = F.when(on_sale, F.col("_sale")).otherwise(F.col("_price"))
     return rows.select(
         *posts.columns, reason.alias("reason"), "sku", field("name_ar").alias("name_ar"), field("name_en").alias("name_en"), field("barcode").alias("barcode"),
         _cents(price).alias("cents"), _cents(F.col("_price")).alias("list_cents"), F.when(on_sale, _cents(F.col("_sale"))).alias("sale_cents"),
         discount_pct(price, F.col("_price")).alias("discount_pct"), qty.alias("raw_qty"), F.greatest(qty, F.lit(0)).alias("qty"), _amount(field("sold_count")).cast("long").alias("sold"),
         F.coalesce(~F.lower(said).isin("false", "0", "0.0", ""), qty > 0).alias("in_stock"),
-        F.when(F.col("_url") == "", "").otherwise(F.coalesce(url, F.concat(F.lit("https://"), "domain", F.lit("/products/"), "_url"))).alias("product_url"),
+        text.absolute_url(F.col("_url"), F.col("domain")).alias("product_url"),
     )
 
 
