@@ -130,9 +130,9 @@ def is_oos(signal: Column, in_stock: Column, qty: Column) -> Column:
 
 
 def sellers(hubs: DataFrame, links: DataFrame, snaps: DataFrame, names: DataFrame, as_of: datetime, lookback: int = LOOKBACK_DAYS) -> DataFrame:
-    """Every store's newest reading of each product of hubs (sku): by the product's own sku anywhere, or by a matched sku at that match's store only.
+    """Every store's newest reading of each product of hubs (sku): by the product's own sku anywhere, by its barcode as a sku anywhere where hubs has one (barcode), or by a matched sku at that match's store only.
 
-    Rows reached by sku pass; matched rows are checked again for the pack their names state, and rejected ones are marked, not lost.
+    Rows reached by sku or barcode pass; matched rows are checked again for the pack their names state, and rejected ones are marked, not lost.
     """
     recent = snaps.where(F.col("crawled_at") >= F.lit(as_of) - F.expr(f"INTERVAL {lookback} DAYS"))
     direct = hubs.select("sku", F.col("sku").alias("key"), F.lit(None).cast("string").alias("at_store"))
@@ -141,10 +141,14 @@ def sellers(hubs: DataFrame, links: DataFrame, snaps: DataFrame, names: DataFram
     by_sku = direct.drop("at_store").join(read, "key").withColumn("match_source", F.lit("sku"))
     by_match = alias.withColumnRenamed("at_store", "store_id").join(read, ["key", "store_id"]).withColumn("match_source", F.lit("matched"))
     both = by_sku.unionByName(by_match.select(*by_sku.columns))
+    if "barcode" in hubs.columns:
+        coded = hubs.where(text.is_barcode(F.trim("barcode")) & (F.trim("barcode") != F.col("sku").cast("string"))).select("sku", F.trim("barcode").alias("code"))
+        by_code = coded.join(read, F.col("code") == F.col("key").cast("string")).drop("code").withColumn("match_source", F.lit("barcode"))
+        both = both.unionByName(by_code.select(*by_sku.columns))
     hub_name, key_name = names.select("sku", F.col("name").alias("hub_name")), names.select(F.col("sku").alias("key"), F.col("name").alias("key_name"))
     both = both.join(hub_name, "sku", "left").join(key_name, "key", "left")
     named = F.coalesce(F.col("hub_name"), F.lit("")) != ""
-    fits = (F.col("match_source") == "sku") | ~named | (F.coalesce("key_name", F.lit("")) == "") | text.packs_agree(F.col("hub_name"), F.col("key_name"))
+    fits = F.col("match_source").isin("sku", "barcode") | ~named | (F.coalesce("key_name", F.lit("")) == "") | text.packs_agree(F.col("hub_name"), F.col("key_name"))
     both = both.withColumn("excluded", ~fits)
     newest = F.row_number().over(Window.partitionBy("sku", "store_id", "excluded").orderBy(F.desc("crawled_at"), F.desc("seq"), "match_source"))
     out = both.withColumn("newest", newest).where("newest = 1")

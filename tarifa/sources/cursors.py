@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarifa.session import cut
-from tarifa.sources.landed import ENVELOPES, enveloped
+from tarifa.sources.landed import enveloped
 
 
 def next_address(first: Column, cursor: Column) -> Column:
@@ -26,9 +26,7 @@ def linked(pages: DataFrame, firsts: DataFrame) -> DataFrame:
     (the next one has not landed), cycle (the next one is of the walk already), or exhausted. A page that fails is of the walk; a first page that has not landed is rank 1 with missing_page.
     """
     landed = pages.groupBy("url").agg(F.min_by(F.struct("status", "payload"), F.struct("status", "payload")).alias("p")).select("url", "p.*")
-    body = F.ltrim("payload")
-    listing = body.startswith("[") | F.coalesce(*(F.get_json_object("payload", f"$.{name}") for name in ENVELOPES)).startswith("[")
-    items = F.when(listing, enveloped(F.col("payload")))
+    items = enveloped(F.col("payload"))
     fails = F.when(F.col("status") != 200, F.concat(F.lit("http_"), F.col("status").cast("string"))).when(items.isNull(), "page_error").when(F.size(items) == 0, "empty_page")
     cursor = F.nullif(F.coalesce(F.get_json_object("payload", "$.cursor.next"), F.get_json_object("payload", "$.next_cursor")), F.lit(""))
     steps = cut(landed.select("url", fails.alias("fails"), F.when(fails.isNull(), next_address(F.col("url"), cursor)).alias("next")))

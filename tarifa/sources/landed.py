@@ -38,9 +38,10 @@ LEAST_CARDS, LINKED_BELOW = 3, 5
 
 
 def enveloped(payload: Column) -> Column:
-    """The products of a JSON payload, from whichever envelope holds a list; a bare list is its own."""
-    lists = [F.from_json(F.get_json_object(payload, f"$.{name}"), f"array<{_ITEM}>") for name in ENVELOPES]
-    return F.coalesce(*lists, F.from_json(payload, f"array<{_ITEM}>"))
+    """The products of a JSON payload, from whichever envelope holds a list, be it one within another; a bare list is its own. Null without any list."""
+    listed = lambda text: F.from_json(F.when(F.ltrim(text).startswith("["), text), f"array<{_ITEM}>")  # noqa: E731  an object would count as a list of one
+    nested = [f"$.{name}{inner}" for inner in ("", ".products.data", ".data") for name in ENVELOPES]
+    return F.coalesce(*(listed(F.get_json_object(payload, path)) for path in nested), listed(payload))
 
 
 def catalogue(payloads: DataFrame) -> DataFrame:
