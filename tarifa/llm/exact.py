@@ -1,6 +1,7 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
-The index is keyed by 64 bits of the normalised text's SHA-256. A key that one row has needs no comparison; the others are indexed.
+The index is keyed by 64 bits of the normalised text's SHA-256. A key that one row has needs no comparison; the others are indexed: a bit
+for each prefix of a shared key, some SPREAD bits a key, tells tasks which texts to send. Few others come along, more where the bits have reached their limit.
 Their directory starts with one bucket and doubles while a bucket holds more than BUCKET_BYTES of text and more than one key: LEVEL
 doublings are worked out at a time, from bytes by key prefix, and go on below the prefixes that are overfull still, until nothing is. Each
 task sends one entry for the equal texts it has seen. Owners get ranges of keys, made up of whole buckets, read the entries in key order,
@@ -19,12 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.shared import BROADCAST_ROWS, forget, join_small, stored
+from tarifa.llm.shared import forget, join_small, stored
 
 #: Bytes of text that a bucket, an owner's range, and a task between two sendings hold.
 BUCKET_BYTES, OWNER_BYTES, HELD_BYTES = 4 << 20, 16 << 20, 16 << 20
 #: Doublings that are worked out at a time; the key has 64 bits.
 LEVEL = 16
+#: Bits for each key that rows share, log2 of the fewest and of the most bits, and the ranges in which they are set.
+SPREAD, LEAST_BITS, MOST_BITS, RANGES = 16, 16, 28, 64
 #: Groups with more rows than this are joined by broadcast or salt: one of them may hold a third of all rows.
 HOT_GROUP = 10_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -111,33 +114,67 @@ def buckets(sizes: DataFrame, bucket_bytes: int = BUCKET_BYTES, level: int = LEV
         depth = fine
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal texts of a task become one entry, as long as what it holds is small: chained by key, compared byte by byte."""
-    forget()
-    seen: dict[int, list[list]] = {}
-    held = 0
-
-    def flush() -> pa.RecordBatch:
-        flat = [x for chain in seen.values() for x in chain]
-        columns = [pa.array([k for k, chain in seen.items() for _ in chain], pa.int64())]
-        columns += [pa.array([x[i] for x in flat], t) for i, t in enumerate([pa.string(), pa.binary(), pa.int64(), pa.int64()])]
-        return pa.RecordBatch.from_arrays(columns, ["key", "text_sha256", "text", "keep_id", "group_size"])
-
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), _texts(batch)):
-            digest = hashlib.sha256(text).digest()
-            chain = seen.setdefault(_key(digest), [])
-            entry = next((x for x in chain if x[1] == text), None)
-            if entry is None:
-                chain.append([digest.hex(), text, doc_id, 1])
-                held += len(text)
-            else:
-                entry[2] = doc_id if entry[2] is None else max(entry[2], doc_id if doc_id is not None else entry[2])
-                entry[3] += 1
-        if held > HELD_BYTES:
-            yield flush()
-            seen, held = {}, 0
-    yield flush()
+def _marked(width: int):
+    """The bits of the keys in each range of keys, packed; rows (range, slot) come in one at a time."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at, slot = (batch.column(c).to_numpy() for c in ("range", "slot"))
+            for n in np.unique(at).tolist():
+                held.setdefault(n, np.zeros(width, bool))[slot[at == n] - n * width] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], ["range", "bits"])
+
+    return marked
+
+
+def shared_keys(several: DataFrame) -> tuple[int, np.ndarray]:
+    """log2 of the bits, and a bit for each prefix of a key that several rows have: some SPREAD bits a key, within limits. It loses no such key; a key of one row may share a bit."""
+    bits = min(max((several.count() * SPREAD).bit_length(), LEAST_BITS), MOST_BITS)
+    width = (1 << bits) // RANGES
+    slots = several.select(F.shiftrightunsigned("key", 64 - bits).alias("slot"))
+    slots = slots.select(F.floor(F.col("slot") / width).alias("range"), "slot")
+    parts = slots.repartition(RANGES, "range").mapInArrow(_marked(width), "range bigint, bits binary").collect()  # 2**bits bits together
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in parts:
+        out[row["range"] * width // 8 : (row["range"] + 1) * width // 8] = np.frombuffer(row["bits"], np.uint8)
+    return bits, out
+
+
+def _entries(bits: int, shared):
+    """Of the texts whose key may be shared, equal ones of a task become one entry, as long as what it holds is small: chained by key, compared byte by byte."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        seen: dict[int, list[list]] = {}
+        held, marks = 0, shared.value
+
+        def flush() -> pa.RecordBatch:
+            flat = [x for chain in seen.values() for x in chain]
+            columns = [pa.array([k for k, chain in seen.items() for _ in chain], pa.int64())]
+            columns += [pa.array([x[i] for x in flat], t) for i, t in enumerate([pa.string(), pa.binary(), pa.int64(), pa.int64()])]
+            return pa.RecordBatch.from_arrays(columns, ["key", "text_sha256", "text", "keep_id", "group_size"])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), _texts(batch)):
+                digest = hashlib.sha256(text).digest()
+                slot = int.from_bytes(digest[:8], "big") >> (64 - bits)
+                if not marks[slot >> 3] >> (7 - (slot & 7)) & 1:
+                    continue
+                chain = seen.setdefault(_key(digest), [])
+                entry = next((x for x in chain if x[1] == text), None)
+                if entry is None:
+                    chain.append([digest.hex(), text, doc_id, 1])
+                    held += len(text)
+                else:
+                    entry[2] = doc_id if entry[2] is None else max(entry[2], doc_id if doc_id is not None else entry[2])
+                    entry[3] += 1
+            if held > HELD_BYTES:
+                yield flush()
+                seen, held = {}, 0
+        yield flush()
+
+    return entries
 
 
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +209,11 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def index(docs: DataFrame, rows: DataFrame, bucket_bytes: int = BUCKET_BYTES, level: int = LEVEL) -> DataFrame:
     """The index of keys that several of rows (key, n_bytes) have: slot, key, place in the chain, text_sha256, keep_id, group_size of every different text.
 
-    Where few keys are shared, only their texts travel; beyond BROADCAST_ROWS such keys all texts do, and those of single rows are indexed too.
+    Only texts whose key may be shared travel, by shared_keys(); a text of one row that comes along is a chain of its own.
     """
     several = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).where("n > 1").drop("n"), "dedup-several")
-    if several.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        sizes, entries = several, docs.select("doc_id", "text").mapInArrow(_entries, _ENTRIES).join(F.broadcast(several), "key", "left_semi")
-    else:
-        sizes, entries = rows.groupBy("key").agg(F.sum("n_bytes").alias("bytes")), docs.select("doc_id", "text").mapInArrow(_entries, _ENTRIES)
+    bits, marks = shared_keys(several)
+    sizes, entries = several, docs.select("doc_id", "text").mapInArrow(_entries(bits, docs.sparkSession.sparkContext.broadcast(marks)), _ENTRIES)  # 2**MOST_BITS bits at most
     (fine, table), *deeper = buckets(sizes, bucket_bytes, level)
     placed = join_small(entries.withColumn("slot", F.shiftright("key", 64 - fine)), table.select("slot", "first", "owner"), ["slot"]).withColumnRenamed("slot", "top")
     for fine, table in deeper:

@@ -301,10 +301,12 @@ def test_directory_doubles_until_nothing_is_overfull(spark):
     assert all(n <= 20 or sum(k >= f and k < f + (1 << (64 - d)) for k in sizes) == 1 for (f, d), n in held.items())
 
 
-@pytest.mark.parametrize("hot, few, level", [(10_000, 100_000, 16), (1, 0, 4)])
-def test_exact_duplicates(odd, hot, few, level, monkeypatch):
+@pytest.mark.parametrize("hot, bits, level", [(10_000, 28, 16), (1, 9, 4)])
+def test_exact_duplicates(odd, hot, bits, level, monkeypatch):
+    """With few bits, texts of single rows travel too."""
     monkeypatch.setattr(exact, "HOT_GROUP", hot)
-    monkeypatch.setattr(exact, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(exact, "LEAST_BITS", min(bits, 16))
+    monkeypatch.setattr(exact, "MOST_BITS", bits)
     texts = {r.doc_id: (r.text or "").translate(LOWER) for r in odd.collect()}
     by_text = collections.defaultdict(list)
     for d, t in texts.items():
@@ -313,6 +315,16 @@ def test_exact_duplicates(odd, hot, few, level, monkeypatch):
     assert got == {d: (max(by_text[t]), len(by_text[t]), d == max(by_text[t]), hashlib.sha256(t.encode()).hexdigest()) for d, t in texts.items()}
 
 
+def test_every_shared_key_has_its_bit_and_few_others_do(spark):
+    r = random.Random(7)
+    keys = [r.randint(-(2**63), 2**63 - 1) for _ in range(3000)] + [-1, 0, 2**63 - 1, -(2**63)]
+    bits, marks = exact.shared_keys(spark.createDataFrame([(k,) for k in keys], "key long"))
+    has = lambda k: bool(marks[(s := k % (1 << 64) >> (64 - bits)) >> 3] >> (7 - (s & 7)) & 1)
+    assert bits == 16 and all(map(has, keys))
+    assert sum(has(r.randint(-(2**63), 2**63 - 1)) for _ in range(4000)) < 4000 * 0.08
+    assert exact.shared_keys(spark.createDataFrame([], "key long"))[1].sum() == 0
+
+
 # 6 chat
 
 
