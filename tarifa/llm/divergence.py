@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarifa.llm import terms
-from tarifa.llm.shared import BROADCAST_ROWS, forget, join_small, mix64, stored, top
+from tarifa.llm.shared import BROADCAST_ROWS, forget, join_small, mix64, seen, stored, top
 
 #: Rows of the sketch; log2 of a row's cells: least, most, and cells for each document in between; ranges in which it is merged.
 ROWS, LEAST_BITS, MOST_BITS, CELLS_A_DOC, RANGES = 3, 16, 27, 16, 64
@@ -186,7 +186,7 @@ def audit(docs: DataFrame, least: int = 30, most_terms: int = 50) -> DataFrame:
     above = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     above = top(above, ["lang", "source"], [F.desc("value"), "item"], most_terms)
 
-    few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = seen(groups)["rows"] <= BROADCAST_ROWS
     others = groups.select("lang", F.col("source").alias("other"), F.col("z").alias("other_z"))
     others = F.broadcast(others) if few else others
     apart = F.abs(F.col("z") - F.col("other_z"))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.shared import forget, join_small, stored
+from tarifa.llm.shared import forget, join_small, seen, stored
 
 #: Bytes of text that a bucket, an owner's range, and a task between two sendings hold.
 BUCKET_BYTES, OWNER_BYTES, HELD_BYTES = 4 << 20, 16 << 20, 16 << 20
@@ -105,10 +105,10 @@ def buckets(sizes: DataFrame, bucket_bytes: int = BUCKET_BYTES, level: int = LEV
         fine = depth + level
         parent = F.shiftright("key", 64 - depth) if depth else F.lit(0).cast("long")
         sums = left.groupBy(parent.alias("parent"), F.shiftright("key", 64 - fine).alias("slot")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("keys"))
-        table = stored(sums.groupBy("parent").applyInPandas(_split(depth, level, bucket_bytes, max(OWNER_BYTES, bucket_bytes)), _SLOTS), f"dedup-directory{fine}")
+        table = stored(sums.groupBy("parent").applyInPandas(_split(depth, level, bucket_bytes, max(OWNER_BYTES, bucket_bytes)), _SLOTS), f"dedup-directory{fine}", overfull=F.count_if("overfull"))
         found.append((fine, table))
         over = table.where("overfull").select("slot")
-        if fine + level > 64 or not over.limit(1).count():
+        if fine + level > 64 or not seen(table)["overfull"]:
             return found
         left = join_small(left.withColumn("slot", F.shiftright("key", 64 - fine)), stored(over, "dedup-overfull"), ["slot"]).drop("slot")
         depth = fine
@@ -128,9 +128,9 @@ def _marked(width: int):
     return marked
 
 
-def shared_keys(several: DataFrame) -> tuple[int, np.ndarray]:
-    """log2 of the bits, and a bit for each prefix of a key that several rows have: some SPREAD bits a key, within limits. It loses no such key; a key of one row may share a bit."""
-    bits = min(max((several.count() * SPREAD).bit_length(), LEAST_BITS), MOST_BITS)
+def shared_keys(several: DataFrame, rows: int | None = None) -> tuple[int, np.ndarray]:
+    """log2 of the bits, and a bit for each prefix of a key that several rows have: some SPREAD bits a key, within limits. It loses no such key; a key of one row may share a bit. rows: how many they are, if known."""
+    bits = min(max(((several.count() if rows is None else rows) * SPREAD).bit_length(), LEAST_BITS), MOST_BITS)
     width = (1 << bits) // RANGES
     slots = several.select(F.shiftrightunsigned("key", 64 - bits).alias("slot"))
     slots = slots.select(F.floor(F.col("slot") / width).alias("range"), "slot")
@@ -212,13 +212,13 @@ def index(docs: DataFrame, rows: DataFrame, bucket_bytes: int = BUCKET_BYTES, le
     Only texts whose key may be shared travel, by shared_keys(); a text of one row that comes along is a chain of its own.
     """
     several = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).where("n > 1").drop("n"), "dedup-several")
-    bits, marks = shared_keys(several)
+    bits, marks = shared_keys(several, seen(several)["rows"])
     sizes, entries = several, docs.select("doc_id", "text").mapInArrow(_entries(bits, docs.sparkSession.sparkContext.broadcast(marks)), _ENTRIES)  # 2**MOST_BITS bits at most
     (fine, table), *deeper = buckets(sizes, bucket_bytes, level)
-    placed = join_small(entries.withColumn("slot", F.shiftright("key", 64 - fine)), table.select("slot", "first", "owner"), ["slot"]).withColumnRenamed("slot", "top")
+    placed = join_small(entries.withColumn("slot", F.shiftright("key", 64 - fine)), table.select("slot", "first", "owner"), ["slot"], rows=seen(table)["rows"]).withColumnRenamed("slot", "top")
     for fine, table in deeper:
-        table = table.select("slot", F.col("first").alias("f"), F.col("owner").alias("o"))
-        placed = join_small(placed.withColumn("slot", F.shiftright("key", 64 - fine)), table, ["slot"], "left").drop("slot")
+        slots = table.select("slot", F.col("first").alias("f"), F.col("owner").alias("o"))
+        placed = join_small(placed.withColumn("slot", F.shiftright("key", 64 - fine)), slots, ["slot"], "left", seen(table)["rows"]).drop("slot")
         placed = placed.withColumns({"first": F.coalesce("f", "first"), "owner": F.when(F.col("o").isNull(), F.col("owner")).otherwise(F.hash("top", "o"))}).drop("f", "o")
     owners = placed.repartition("owner").sortWithinPartitions("owner", "first", "key")
     return stored(owners.select(F.col("top").cast("int").alias("slot"), "key", "text_sha256", "text", "keep_id", "group_size").mapInArrow(_owned, _INDEX), "dedup-index")

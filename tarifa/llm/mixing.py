@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarifa.llm.shared import join_small, stored, word_count
+from tarifa.llm.shared import join_small, seen, stored, word_count
 
 #: Bits of the hash that each of the LEVELS histograms resolves.
 BITS, LEVELS = 12, 3
@@ -39,10 +39,10 @@ def hashed(rows: DataFrame) -> DataFrame:
     matter: they are alike. They are numbered part by part, so a row that a third of all rows repeat isn't one task's.
     """
     repeated = stored(rows.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "mix-repeats")
-    if not repeated.limit(1).count():
+    if not seen(repeated)["rows"]:
         return rows.withColumn("hash", _bits("print")).drop("print")
     rows = stored(rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "mix-numbered")
-    rows = join_small(rows, repeated.withColumn("again", F.lit(True)), ["print"], "left")
+    rows = join_small(rows, repeated.withColumn("again", F.lit(True)), ["print"], "left", seen(repeated)["rows"])
     many = rows.where("again")
     before = Window.partitionBy("print").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = many.groupBy("print", "part").agg(F.count("*").alias("n")).select("print", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -84,12 +84,12 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = goals.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
     state = stored(state.withColumn("prefix", F.lit(0).cast("long")).withColumn("before", F.lit(0).cast("long")), "mix-goals")
-    inside = rows
+    sources, inside = seen(state)["rows"], rows  # each level has as many
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
         if level > 1:  # only the bucket in which the budget ends
             at = state.select(*KEYS, "prefix")
-            inside = join_small(rows, at, KEYS).where(F.shiftright("hash", shift + BITS) == F.col("prefix")).drop("prefix")
+            inside = join_small(rows, at, KEYS, rows=sources).where(F.shiftright("hash", shift + BITS) == F.col("prefix")).drop("prefix")
         sums = inside.where("size > 0").groupBy(*KEYS, F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("in_bucket"))
         up_to = Window.partitionBy(*KEYS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         sums = sums.withColumn("after", F.sum("in_bucket").over(up_to)).join(state, KEYS)

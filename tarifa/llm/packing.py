@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.shared import REMEMBERED, blocks, forget, stored, utf8, word_ranges
+from tarifa.llm.shared import REMEMBERED, blocks, forget, seen, stored, utf8, word_ranges
 
 SIZE, GROUP = 2048, 1 << 16
 #: Bytes of parts of words and ids that a worker remembers in each of two generations; the longest part that it remembers; bytes of text
@@ -233,7 +233,7 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = SIZE, end_id: int = 0
     """
     cut = pieces(docs, tokenizer_file, size, end_id).withColumn("row", F.monotonically_increasing_id())
     cut = stored(cut if ids else cut.drop("ids"), "pack-pieces")  # row is fixed from here on
-    groups = max(1, -(-cut.count() // group))
+    groups = max(1, -(-seen(cut)["rows"] // group))
     dealt = cut.drop("ids").withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     placed = dealt.groupBy("group").applyInPandas(_placed(size), _PLACED)
     return (placed.join(cut.select("row", "ids"), "row") if ids else placed).drop("row")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarifa.llm import exact, jaccard, mixing, packing, rules
-from tarifa.llm.shared import BROADCAST_ROWS, forget, join_small, stored
+from tarifa.llm.shared import BROADCAST_ROWS, forget, join_small, seen, stored
 
 
 #: The key of a row within a stage: 64 bits of its id and text. Ids may be null, repeated or shared; rows with one id and one text are repeats.
@@ -31,11 +31,9 @@ def _whole(docs: DataFrame, *more) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *more)
 
 
-def _join(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """rows joined by key; keys are broadcast up to BROADCAST_ROWS, and shuffled beyond."""
-    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    return rows.join(keys, ROW, how)
+def _join(rows: DataFrame, keys: DataFrame, how: str, n: int) -> DataFrame:
+    """rows joined by key; the n keys are broadcast up to BROADCAST_ROWS, and shuffled beyond."""
+    return rows.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, ROW, how)
 
 
 def _one_a_group(docs: DataFrame, found: DataFrame, best) -> DataFrame:
@@ -44,12 +42,13 @@ def _one_a_group(docs: DataFrame, found: DataFrame, best) -> DataFrame:
     members = stored(members.join(docs.select(_row(), "doc_id").distinct(), ROW), "stage-members")
     stays = stored(members.groupBy("group").agg(best.alias("stays")).select("group", F.col(f"stays.{ROW}").alias("stays")), "stage-stays")
     judged = join_small(members, stays, ["group"])
-    gone = stored(judged.where(F.col(ROW) != F.col("stays")).select(ROW), "stage-gone")
-    again = stored(judged.where((F.col(ROW) == F.col("stays")) & (F.col("times") > 1)).select(ROW), "stage-again")
-    kept = _join(_whole(docs, _row()), gone, "left_anti")
-    if again.limit(1).count():
-        once = _join(kept, again, "left_semi").groupBy(ROW).agg(F.any_value("doc").alias("doc"))  # repeats: any will do, whatever their columns' types
-        kept = _join(kept, again, "left_anti").select("doc").unionByName(once.select("doc"))
+    judged = judged.withColumn("goes", F.col(ROW) != F.col("stays")).where("goes or times > 1").select(ROW, "goes")
+    judged = stored(judged, "stage-judged", gone=F.count_if("goes"), again=F.count_if(~F.col("goes")))
+    gone, again, n = judged.where("goes").select(ROW), judged.where("not goes").select(ROW), seen(judged)
+    kept = _join(_whole(docs, _row()), gone, "left_anti", n["gone"])
+    if n["again"]:
+        once = _join(kept, again, "left_semi", n["again"]).groupBy(ROW).agg(F.any_value("doc").alias("doc"))  # repeats: any will do, whatever their columns' types
+        kept = _join(kept, again, "left_anti", n["again"]).select("doc").unionByName(once.select("doc"))
     return kept.select("doc.*")
 
 
