@@ -122,11 +122,12 @@ def ledger_stream(t):
     """The events as they arrive, every 17th nine days late: the sealed days, and how many came after the seal of theirs."""
     seen = t.observations.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
     delay = F.when(F.col("id") % 17 == 0, 777_600).otherwise(0)
-    batch = F.expr("(unix_seconds(observed_at) - unix_seconds(TIMESTAMP'2024-01-01'))") + delay
-    dealt = seen.withColumn("batch", F.floor(batch / 777_600))
+    second = F.rint(F.unix_micros("observed_at") / 1e6).cast("long")  # to the nearest one, as SQL casts
+    dealt = seen.withColumn("delayed", second + delay - F.unix_seconds(F.expr("TIMESTAMP'2024-01-01'"))).withColumn("batch", F.expr("delayed div 777600")).drop("delayed")
     log = _commits(t, "ledger", ledger.ledger_tables(seen))
-    for n, rows in _batches(dealt, dealt.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]):
-        log.publish(n, *ledger.ledger_rows(rows, log.last()))
+    first, last = dealt.agg(F.coalesce(F.min("batch"), F.lit(0)), F.coalesce(F.max("batch"), F.lit(-1))).first()
+    for n in range(first, last + 1):  # a batch before 2024 has a number below 0, a commit has none
+        log.publish(n - first, *ledger.ledger_rows(dealt.where(F.col("batch") == n).drop("batch"), log.last()))
     late = ledger.late_observations(log).groupBy("store_id", "sku", F.to_date(F.col("observed_at") + F.expr("INTERVAL 3 HOURS")).alias("day")).agg(F.count("*").alias("late"))
     closes = ledger.kept_closes(log).withColumn("late", F.lit(0).cast("long"))
     return closes.unionByName(late.select("store_id", "sku", "day", F.lit(None).cast("long").alias("close_cents"), F.lit(None).cast("long").alias("observations"), "late"))

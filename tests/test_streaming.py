@@ -202,3 +202,18 @@ def test_a_batch_that_is_cut_off_anywhere_changes_nothing(spark, tmp_path, own,
     for n, rows in enumerate(dealt):  # those before are left out
         chain.land(rows, own, ["own.example"], log, n)
     assert everything(log) == everything(whole)
+
+
+def test_events_at_the_border_of_a_batch_are_dealt_as_the_sql_deals_them(spark, tmp_path):
+    import duckdb
+
+    from tarifa.plans import registry
+
+    con = duckdb.connect()
+    at = "TIMESTAMP '2024-01-01' + to_days((9 * (i % 4) - 9 * (i % 7 // 6))::INT) + to_microseconds((hash(i) % 4000000)::BIGINT - 2000000)"
+    con.execute(f"""COPY (SELECT i AS event_id, {at} AS ts, 1 AS user_id, 'view' AS event_type, i / 7 AS value, '{{"k": ' || i % 5 || '}}' AS props FROM range(500) r(i)) TO '{tmp_path}/events.parquet'""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    names = ["store_id", "sku", "day", "close_cents", "observations", "late"]
+    theirs = con.execute(f"SELECT {', '.join(names)} FROM ({registry.ORACLE['ledger_stream']})").fetchall()
+    ours = [tuple(r) for r in registry.QUERIES["ledger_stream"](spark, str(tmp_path)).select(*names).collect()]
+    assert sorted(ours, key=str) == sorted(theirs, key=str) and any(r[-1] for r in ours)
