@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -51,6 +52,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder as a table of a few columns and read back; who reads it takes the columns that it needs. It stays there."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read back: for loops whose plans would grow, and what is read several times."""
     context = df.sparkSession.sparkContext

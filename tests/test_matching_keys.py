@@ -72,3 +72,36 @@ def test_a_placeholder_on_a_third_of_all_rows_is_dealt_over_tasks(spark, monkeyp
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sum(by_task) == 300 * 300 + 600 and max(by_task) < 300 * 300 / 4
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_crowded_keys_give_the_matches_that_all_pairs_give(spark, seed, monkeypatch):
+    r = random.Random(seed)
+    own, rivals = rows(seed, 150)
+    names = ["Cat Food Dry Adult 1kg", "Cat Food Dry Adult Tuna 1 kg", "Adult Cat Food Dry Tuna 1.05kg", "Dog Toy", "Dog Toy Pack of 6", "Toy 6 pcs", "Toy 1 pcs", "Dog Toy Pack", None, ""]
+    own = [(o[0], r.choice(names), r.choice([None, -5, 1, 6, 60, 599, 600, 601, 3600, r.randint(1, 5000)]), *o[3:]) for o in own]
+    rivals = [(x[0], x[1], r.choice(names), r.choice([0, 1, 10, 36, 100, 101, 600, 3600, 3601, r.randint(1, 5000)]), *x[4:]) for x in rivals]
+    no = spark.createDataFrame([(o[0], x[0]) for o in own for x in rivals if r.random() < 0.2], "my_sku string, rival_sku string")
+    yes = spark.createDataFrame([(x[0],) for x in rivals if r.random() < 0.1], "rival_sku string")
+    mine, theirs = spark.createDataFrame(own, OWN), spark.createDataFrame(rivals, RIVALS)
+    for rulings in ((None, None), (no, yes)):
+        got = []
+        for most in (1_000, 2):
+            monkeypatch.setattr(matching, "KEY_ROWS", most)
+            got.append(sorted(map(str, matching.key_matches(mine, theirs, *rulings).collect())))
+        assert got[0] == got[1] and len(got[0]) > 50
+
+
+def test_pairs_of_a_placeholder_are_not_all_made(spark):
+    side = lambda n, *more: spark.range(n).select(F.col("id").cast("string").alias("sku"), F.when(F.col("id") % 2 == 0, "Toy 1kg").otherwise("Toy 3kg").alias("name"), (F.col("id") % 997 + 100).alias("cents"), F.lit("00000000").alias("barcode"), *more)
+    mine = matching.with_keys(side(4_000)).select(F.col("sku").alias("my_sku"), F.col("keys").alias("my_keys"), F.col("literals").alias("my_literals"), F.col("name").alias("my_name"), F.col("cents").alias("my_cents"))
+    theirs = matching.with_keys(side(6_000, F.lit("S").alias("store_id"))).select(F.col("sku").alias("rival_sku"), "store_id", F.col("keys").alias("their_keys"), F.col("literals").alias("their_literals"), F.col("name").alias("rival_name"), F.col("cents").alias("rival_cents"), F.lit(False).alias("sure"))
+    named = lambda rows, of, name: rows.join(matching.said(rows.select(F.col(name).alias("name"))).select(F.col("name").alias(name), *(F.col(c).alias(f"{of}_{c}") for c in ("pack", "stated", "grams", "words"))), name)
+    mine, theirs = named(mine, "my", "my_name"), named(theirs, "their", "rival_name")
+    crowded = matching.crowded_keys(mine, theirs)
+    assert matching.joined_on_keys(mine, theirs, crowded).count() == 0
+    found = matching.best_of_crowd(mine, theirs, crowded, None).select("my_sku", "my_cents", "rival_cents", "rival_sku").collect()
+    assert len(found) == 4_000
+    first = {kind: sorted((i % 997 + 100, str(i)) for i in range(6_000) if i % 2 == kind) for kind in (0, 1)}
+    for r in found:
+        assert (r.rival_cents, r.rival_sku) == next((c, s) for c, s in first[int(r.my_sku) % 2] if c * 6 > r.my_cents)
