@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tarifa.functions import text
 from tarifa.functions.numbers import discount_pct, number_in
@@ -81,11 +82,10 @@ def mirrored(rows: DataFrame, own: DataFrame) -> DataFrame:
     return found.withColumn("my_sku", F.coalesce("_by_code", "_by_sku", "_by_sku_code")).where("my_sku IS NOT NULL").drop("_by_code", "_by_sku", "_by_sku_code")
 
 
-def batch_rows(posts: DataFrame, own: DataFrame, own_domains: list[str], commits: Commits, state: State, number: int) -> tuple[dict[str, DataFrame], dict]:
-    """What a batch of posts adds to each table after the commit `state`, and its marks. own: the own catalogue (sku, barcode), mirrored from own_domains."""
-    rows = parsed(posts)
+def batch_rows(rows: DataFrame, own: DataFrame, own_domains: list[str], commits: Commits, state: State, number: int) -> tuple[dict[str, DataFrame], dict]:
+    """What a batch of parsed() posts adds to each table after the commit `state`, and its marks. own: the own catalogue (sku, barcode), mirrored from own_domains."""
     order = F.struct("received_at", "place")
-    heads = posts.groupBy("domain").agg(F.min_by(F.struct("store_id", "store_name", "platform", "received_at"), order).alias("h"))
+    heads = rows.groupBy("domain").agg(F.min_by(F.struct("store_id", "store_name", "platform", "received_at"), order).alias("h"))
     stores = heads.select("domain", "h.store_id", "h.store_name", "h.platform", F.concat(F.lit("https://"), "domain").alias("base_url"), F.col("h.received_at").alias("created_at"))
     known = commits.read(STORES, state).select("domain", F.col("store_id").alias("known_id"))  # a row a store
     canonical = stores.select("domain", F.col("store_id").alias("new_id")).join(known, "domain", "left").select("domain", F.coalesce("known_id", "new_id").alias("canonical"))
@@ -103,7 +103,7 @@ def batch_rows(posts: DataFrame, own: DataFrame, own_domains: list[str], commits
     mirror = mirrored(good.where(F.col("domain").isin(own_domains)), own)
     mirror = mirror.groupBy("my_sku").agg(F.max_by(F.struct("list_cents", "sale_cents", "raw_qty", "in_stock", "received_at", "place"), order).alias("m"))
     out = {
-        STORES: stores, PRODUCTS: products, READINGS: readings, REJECTS: rows.where("reason IS NOT NULL").select(*posts.columns, "reason"),
+        STORES: stores, PRODUCTS: products, READINGS: readings, REJECTS: rows.where("reason IS NOT NULL").select(*StructType.fromDDL(POSTS).names, "reason"),
         OWN: mirror.select("my_sku", F.col("m.list_cents").alias("cents"), "m.sale_cents", F.col("m.raw_qty").alias("qty"), "m.in_stock", F.col("m.received_at").alias("last_synced_at"), "m.place"),
     }
     return out | days | kept.kept_rows(readings, commits, state, number), {**state.marks, **marks, "kept_version": kept.VERSION}
@@ -114,9 +114,9 @@ def land(posts: DataFrame, own: DataFrame, own_domains: list[str], commits: Comm
     state = commits.last()
     if number <= state.number:
         return
-    posts = posts.persist()
-    commits.publish(number, *batch_rows(posts, own, own_domains, commits, state, number))
-    posts.unpersist()
+    rows = parsed(posts.repartition("received_at", "place")).persist()  # a file of many posts may be one task's; a row is read once, not once for each table
+    commits.publish(number, *batch_rows(rows, own, own_domains, commits, state, number))
+    rows.unpersist()
 
 
 def run(stream: DataFrame, own: DataFrame, own_domains: list[str], root: str, checkpoint: str) -> StreamingQuery:

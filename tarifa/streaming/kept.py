@@ -7,7 +7,7 @@ kept closes of the stores that the batch has.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarifa.operators import rollups
@@ -35,9 +35,9 @@ def _closes(snaps: DataFrame) -> DataFrame:
 
 
 def _moves(closes: DataFrame) -> DataFrame:
-    """What each close differs from the one before by, zeros too: they take the place of older cells."""
-    cells = rollups.with_drops(closes).select(*CELL, "dropped")
-    return cells.join(rollups.sales_of(closes), CELL, "left").select(*CELL, "dropped", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in _SALES))
+    """What each close differs from the one before by, zeros too: they take the place of older cells. Windows over one partitioning, by pair."""
+    cells = rollups.with_drops(closes).select(*closes.columns, "dropped")
+    return rollups.with_sales(cells).select(*CELL, "dropped", *_SALES, *(c for c in closes.columns if c == "first_day"))
 
 
 def kept_tables(snaps: DataFrame) -> dict[str, Table]:
@@ -54,12 +54,23 @@ def kept_rows(batch: DataFrame, commits: Commits, state: State, number: int) ->
     closes = _closes(batch)
     touched = closes.groupBy(*PAIR).agg(F.min("day").alias("first_day"))
     stores = [r.store_id for r in batch.select("store_id").distinct().collect()]  # a row a store
-    known = commits.read(CLOSES, state, merged=False).where(F.col("store_id").isin([s for s in stores if s is not None])).join(touched.select(*PAIR), PAIR, "left_semi")
-    now = _by_cell(known.unionByName(closes.withColumn("born", F.lit(number).cast("bigint")))).drop("born")
-    moves = _moves(now).join(touched, PAIR).where(F.col("day") >= F.col("first_day")).drop("first_day")
+    known = commits.read(CLOSES, state, merged=False).where(F.col("store_id").isin([s for s in stores if s is not None]))
+    if state.tables.get(CLOSES):
+        known = known.join(touched.select(*PAIR), PAIR, "left_semi")
+    both = known.withColumn("first_day", F.lit(None).cast("date")).unionByName(closes.withColumn("born", F.lit(number).cast("bigint")).withColumn("first_day", F.col("day")))
+    # dealt by pair once: the newest row of a cell, the first day touched and what moved are found within a pair
+    now = _newest_cells(both.repartition(*PAIR)).withColumn("first_day", F.min("first_day").over(Window.partitionBy(*PAIR)))
+    moves = _moves(now.drop("born")).where(F.col("day") >= F.col("first_day")).drop("first_day")
     return {COVERAGE: rollups.coverage_state(batch), CLOSES: closes, TRUST: rollups.trust(batch), MOVES: moves}
 
 
+def _newest_cells(rows: DataFrame) -> DataFrame:
+    """_by_cell() of rows with the day that a batch touches (first_day), which stays with its cell whichever row is the newest."""
+    rest = [c for c in rows.columns if c not in (*CELL, "first_day")]
+    found = rows.groupBy(*CELL).agg(F.max_by(F.struct(*rest), F.struct("crawled_at", "seq", "born")).alias("r"), F.min("first_day").alias("first_day"))
+    return found.select(*CELL, *(f"r.{c}" for c in rest), "first_day")
+
+
 def refreshed(commits: Commits, batch: DataFrame, number: int) -> None:
     """Add a batch of readings to kept tables that stand alone."""
     state = commits.last()

@@ -217,3 +217,12 @@ def test_events_at_the_border_of_a_batch_are_dealt_as_the_sql_deals_them(spark,
     theirs = con.execute(f"SELECT {', '.join(names)} FROM ({registry.ORACLE['ledger_stream']})").fetchall()
     ours = [tuple(r) for r in registry.QUERIES["ledger_stream"](spark, str(tmp_path)).select(*names).collect()]
     assert sorted(ours, key=str) == sorted(theirs, key=str) and any(r[-1] for r in ours)
+
+
+def test_a_batch_of_posts_is_parsed_once_by_all_cores(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(chain, "batch_rows", lambda rows, *rest, made=chain.batch_rows: (seen.append((rows.storageLevel.useMemory, "reason" in rows.columns, rows.groupBy(F.spark_partition_id()).count().count())), made(rows, *rest))[1])
+    posts = spark.range(20_000).coalesce(1).selectExpr("'a.example' AS domain", "'A' AS store_id", "'Shop' AS store_name", "'salla' AS platform", f"TIMESTAMP'{DAY}' AS received_at", "id AS place", "concat('{\"sku\": \"', id, '\", \"price\": 5}') AS row")
+    log = commits.Commits(spark, f"file://{tmp_path}/log", chain.tables(spark))
+    chain.land(posts, spark.createDataFrame([], "sku string, barcode string"), [], log, 0)
+    assert seen == [(True, True, 4)] and log.read(chain.READINGS).count() == 20_000
