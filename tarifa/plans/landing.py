@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarifa.functions import text
 from tarifa.plans.oracles import CLOSES, COVER, ROLLUPS, SALES, SNAPS, query
-from tarifa.session import shared_folder
+from tarifa.session import shared_folder, stored, unstored
 from tarifa.sources import cursors, landed, tables
 from tarifa.streaming import chain, kept, ledger
 from tarifa.streaming.commits import Commits
@@ -144,9 +144,10 @@ def kept_tables(t):
     """All readings in five batches, each with some of every time: what the kept tables have then."""
     snaps = t.snapshots
     log = _commits(t, "kept", kept.kept_tables(snaps))
-    dealt = snaps.withColumn("batch", F.pmod(F.xxhash64("seq"), F.lit(5)))
+    dealt = stored(snaps.select(*kept.READ).withColumn("batch", F.pmod(F.xxhash64("seq"), F.lit(5))), "kept-dealt", "batch")  # a batch's rows are read several times
     for n, rows in _batches(dealt, 5):
         kept.refreshed(log, rows, n)
+        unstored(dealt, f"batch={n}")
     long = lambda *names: [F.col(name).cast("long").alias(as_) for name, as_ in zip(names, "abc")]
     rollups = kept.daily_rollups(log).select(F.lit("rollup").alias("kind"), "store_id", F.lit(None).cast("int").alias("sku"), "day", *long("drops", "conf_sum", "conf_count"))
     sales = kept.sales_daily(log).select(F.lit("sale").alias("kind"), "store_id", F.col("sku").cast("int").alias("sku"), "day", *long("units_sold", "units_qty", "rev_sold"))

@@ -52,11 +52,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder as a table of a few columns and read back; who reads it takes the columns that it needs. It stays there."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df, written once to the shared folder as a table, in folders by a column, and read back; who reads it takes the columns that it needs. It stays there."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    release(df.sparkSession)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._tarifa_path = path
+    return table
+
+
+def unstored(table: DataFrame, part: str = "") -> None:
+    """Remove a stored() table, or one of its folders (column=value), from which nothing will be read any more."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table._tarifa_path}/{part}".rstrip("/"))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go: Spark keeps them until the driver collects its garbage, which it may not do for long."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tarifa.session import release
+
 #: Folders of one level that are merged.
 FAN = 4
 
@@ -80,6 +82,7 @@ class Commits:
     def _write(self, rows: DataFrame, name: str, folder: str) -> None:
         out = rows.write.mode("overwrite")
         (out.partitionBy(*self.tables[name].by) if self.tables[name].by else out).parquet(f"{self.root}/{folder}")
+        release(self.spark)
 
     def publish(self, number: int, rows: dict[str, DataFrame], marks: dict | None = None, anew: bool = False) -> None:
         """Write a batch's rows to its tables, merge where it is time, and commit; a batch that is committed already is left as it is.
@@ -110,6 +113,7 @@ class Commits:
         for old in [*state.replaced, *(f"_commits/{n}.json" for n in (state.number - 1,) if n >= 0)]:  # readers had a batch's time to finish
             path, files = self._path(old)
             files.delete(path, True)
+        release(self.spark)
 
     def _commit(self, state: State) -> None:
         draft, files = self._path(f"_commits/{state.number}.draft")

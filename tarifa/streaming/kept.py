@@ -17,6 +17,10 @@ from tarifa.streaming.commits import Commits, State, Table, newest
 #: Raised whenever the kept tables' columns or rules change: tables of another version are made anew from the log.
 VERSION = 1
 CELL = [*PAIR, "day"]
+#: The columns of readings that the kept tables are made of.
+READ = [*PAIR, "crawled_at", "seq", "cents", "qty", "sold", "in_stock", "confidence"]
+#: Pairs of a batch up to which only their known closes are looked at.
+FEW_PAIRS = 100_000
 COVERAGE, CLOSES, TRUST, MOVES = "coverage", "closes", "trust", "moves"
 _SALES = ("units_sold", "rev_sold", "units_qty", "rev_qty", "qty_drop")
 _by_cell, _latest_cell = newest(CELL, ["crawled_at", "seq"]), newest(CELL, [])
@@ -52,11 +56,10 @@ def kept_tables(snaps: DataFrame) -> dict[str, Table]:
 def kept_rows(batch: DataFrame, commits: Commits, state: State, number: int) -> dict[str, DataFrame]:
     """What a batch of readings adds to the kept tables after the commit `state`."""
     closes = _closes(batch)
-    touched = closes.groupBy(*PAIR).agg(F.min("day").alias("first_day"))
-    stores = [r.store_id for r in batch.select("store_id").distinct().collect()]  # a row a store
-    known = commits.read(CLOSES, state, merged=False).where(F.col("store_id").isin([s for s in stores if s is not None]))
-    if state.tables.get(CLOSES):
-        known = known.join(touched.select(*PAIR), PAIR, "left_semi")
+    counts = batch.groupBy("store_id").agg(F.approx_count_distinct("sku").alias("n")).where("store_id IS NOT NULL").collect()  # a row a store
+    known = commits.read(CLOSES, state, merged=False).where(F.col("store_id").isin([r.store_id for r in counts]))
+    if sum(r.n for r in counts) <= FEW_PAIRS:  # else what is known is dealt by pair as it is, once, and other pairs fall out there
+        known = known.join(F.broadcast(closes.select(*PAIR).distinct()), PAIR, "left_semi")
     both = known.withColumn("first_day", F.lit(None).cast("date")).unionByName(closes.withColumn("born", F.lit(number).cast("bigint")).withColumn("first_day", F.col("day")))
     # dealt by pair once: the newest row of a cell, the first day touched and what moved are found within a pair
     now = _newest_cells(both.repartition(*PAIR)).withColumn("first_day", F.min("first_day").over(Window.partitionBy(*PAIR)))

@@ -226,3 +226,17 @@ def test_a_batch_of_posts_is_parsed_once_by_all_cores(spark, tmp_path, monkeypat
     log = commits.Commits(spark, f"file://{tmp_path}/log", chain.tables(spark))
     chain.land(posts, spark.createDataFrame([], "sku string, barcode string"), [], log, 0)
     assert seen == [(True, True, 4)] and log.read(chain.READINGS).count() == 20_000
+
+
+def test_what_moved_is_found_with_one_exchange_by_pair(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(kept, "FEW_PAIRS", -1)
+    snaps = tables.snapshots(spark, SMALL).select(*kept.READ)
+    snaps.write.parquet(f"file://{tmp_path}/batch")
+    log = commits.Commits(spark, f"file://{tmp_path}/kept", kept.kept_tables(snaps))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moves = kept.kept_rows(spark.read.parquet(f"file://{tmp_path}/batch"), log, log.last(), 0)[kept.MOVES]
+        plan = moves._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2, plan  # the closes by cell, then all by pair
