@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tarifa.operators import admin, audits, catalogue, discounts, estimates, insights, intel, orders, position, revenue, rollups
 from tarifa.plans.catalogue import BASE, CATALOGUE, LINKS, META, OWN_ROWS, PACKS, SELLERS
 from tarifa.plans.oracles import AS_OF, BADGES, CLOSES, COVER, DAYS, ESTIMATED, LATEST, ORACLE, OWN, PRODUCTS, RECENT, RIVALS, SALES, SINCE, SNAPS, STORES, query, revenue_back_test
+from tarifa.session import stored, stored_in_turn, unstored
 from tarifa.sources import tables
 
 INTEL = """
@@ -84,8 +85,8 @@ estimated AS (SELECT store_id, (round(sum(coalesce(a, b, g) * cents) / 100) * 10
 MONEY = (SNAPS, CLOSES, COVER, SALES, STORES, PRODUCTS, SEEN)
 
 
-def _estimates(t):
-    cover, pairs = t.cover, t.pairs
+def _estimates(t, cover=None, pairs=None):
+    cover, pairs = t.cover if cover is None else cover, t.pairs if pairs is None else pairs
     return revenue.estimates(revenue.priced(cover, t.products, AS_OF, DAYS), revenue.observed(cover, pairs, t.products, t.stores, AS_OF, DAYS))
 
 
@@ -99,8 +100,16 @@ BADGE_MONEY = """badge_money AS (SELECT store_id, coalesce(sum(revenue) FILTER (
   count(*) FILTER (status = 'all_capped') AS products_capped, count(*) AS products_total, round(count(*) FILTER (status = 'measured_approx' AND revenue IS NOT NULL) * 100 / count(*), 1) AS coverage_pct, count(*) FILTER (status = 'measured_approx' AND revenue IS NOT NULL) > 0 AS usable FROM badges GROUP BY store_id)"""
 
 
+#: Parts of the pairs that store_revenue_axis takes in turn.
+AXIS_PARTS = 4
+
+
 def _badge_readings(t):
-    return t.snapshots.withColumn("capped", F.col("sold") % 7 == 0).withColumn("sold", F.col("sold") % 300)
+    return _with_badges(t.snapshots)
+
+
+def _with_badges(snaps):
+    return snaps.withColumn("capped", F.col("sold") % 7 == 0).withColumn("sold", F.col("sold") % 300)
 
 
 @query(SNAPS, BADGES, BADGE_MONEY, "SELECT * FROM badge_money")
@@ -128,8 +137,16 @@ based AS (SELECT *, CASE WHEN NOT is_own AND NOT measurable AND approx IS NULL A
   coalesce(exact, approx, guess)::BIGINT AS revenue, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN approx IS NOT NULL THEN 'measured_approx' WHEN guess IS NOT NULL THEN 'estimated' ELSE 'none' END AS basis,
   row_number() OVER (ORDER BY coalesce(exact, approx, guess) DESC NULLS LAST, products DESC, store_id)::INT AS rank FROM based""")
 def store_revenue_axis(t):
-    badges = revenue.badge_revenue(estimates.badge_velocity(_badge_readings(t)))
-    return revenue.axis(t.cover, t.stores, t.pairs, orders.totals(t.orders), badges, _estimates(t), AS_OF, DAYS)
+    """Readings are written once, in parts by pair, and what is made of them in turn: the shuffle of one part is on disk at a time, not that of all."""
+    part = F.pmod(F.xxhash64("sku", "store_id"), F.lit(AXIS_PARTS)).cast("int")
+    snaps = stored(t.snapshots.select("sku", "store_id", "crawled_at", "seq", "cents", "qty", "sold", "in_stock", "confidence").withColumn("part", part), "axis-readings", "part")
+    in_turn = lambda make, name: stored_in_turn((make(snaps.where(F.col("part") == n).drop("part")) for n in range(AXIS_PARTS)), name)
+    cover = in_turn(rollups.coverage, "axis-cover")
+    pairs = in_turn(lambda rows: rollups.sales_pairs(rollups.sales_daily(rows), AS_OF, DAYS), "axis-pairs")
+    badges = in_turn(lambda rows: estimates.badge_velocity(_with_badges(rows)), "axis-badges")
+    unstored(snaps)
+    totals, guessed = stored(orders.totals(t.orders), "axis-orders"), stored(_estimates(t, cover, pairs), "axis-estimates")
+    return revenue.axis(cover, t.stores, pairs, totals, revenue.badge_revenue(badges), guessed, AS_OF, DAYS)
 
 
 @query(ORACLE["revenue_back_test"].removeprefix("WITH ").rpartition("\nSELECT store_id, actual")[0], f"tested_stores AS (SELECT store_id, actual{ORACLE['revenue_back_test'].rpartition(chr(10) + 'SELECT store_id, actual')[2]})", """SELECT *, CASE WHEN stores_tested < 3 THEN 'inconclusive' WHEN median_abs_error_pct <= 30 THEN 'trustworthy' WHEN median_abs_error_pct <= 100 THEN 'weak' ELSE 'too_weak' END AS verdict FROM (

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,18 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return table
 
 
+def stored_in_turn(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """One stored() table of several with equal columns, each written before the next one is made: of their shuffle files only one's are there at a time."""
+    path = None
+    for n, df in enumerate(parts):
+        path = path or f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{path}/turn={n}")
+        release(df.sparkSession)
+    table = df.sparkSession.read.schema(df.schema).option("recursiveFileLookup", True).parquet(path)
+    table._tarifa_path = path
+    return table
+
+
 def unstored(table: DataFrame, part: str = "") -> None:
     """Remove a stored() table, or one of its folders (column=value), from which nothing will be read any more."""
     spark = table.sparkSession

@@ -220,3 +220,15 @@ def test_seller_set_hubs_reads_all_of_lineitem_with_its_own_keys(spark):
     assert {(r.my_sku, r.other_sku) for r in hubs.where("relation = 'hub'").collect()} == edges
     got = matching.partners(hubs, hubs.select("my_sku").distinct()).collect()
     assert sorted(map(tuple, got)) == sorted(brute_seller_set(edges))
+
+
+def test_the_revenue_axis_takes_readings_in_turn(spark, monkeypatch):
+    from tarifa.plans import market
+    from tests.conftest import SMALL
+
+    taken, made = [], market.stored_in_turn
+    monkeypatch.setattr(market, "stored_in_turn", lambda parts, name: (table := made(parts, name), taken.append((name, table.inputFiles())))[0])
+    rows = market.store_revenue_axis(market.query.__globals__["Tables"](spark, SMALL))
+    assert [name for name, _ in taken] == ["axis-cover", "axis-pairs", "axis-badges"]
+    assert all(f"/turn={n}/" in str(files) for _, files in taken for n in range(market.AXIS_PARTS))
+    assert not any("lineitem" in f for f in rows.inputFiles()) and rows.count() == 5  # what the result is made of is written, readings are read no more
